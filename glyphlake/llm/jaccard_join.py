@@ -378,20 +378,22 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = 8 * partitions(spark)
     posted = texts.mapInArrow(_post(k, percent, frequent, buckets), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
     edges = scratch.table(posted.repartition(partitions(spark), "bucket").mapInArrow(_lists(percent), "a long, b long"))
-    groups = connected_components(edges, scratch)
+    del posted
+    scratch.release()
+    groups = scratch.table(connected_components(edges, scratch))
     wanted = spark.sparkContext.broadcast(members(groups, "id"))
-    found = texts.mapInArrow(_contents(k, wanted), "id long, hashes binary")
-    sets = scratch.table(found.groupBy("id").agg(F.first("hashes").alias("hashes")).join(groups, "id"))
 
     # Groups by the number of their hashes; those over the limit are cut into blocks in order of size.
-    weight = sets.groupBy("root").agg(F.sum(F.length("hashes") / 8).cast("long").alias("weight"))
-    weight = scratch.table(weight)
-    links = sets.join(weight.where(F.col("weight") <= GROUP_HASHES).select("root"), "root").select(F.col("root").alias("grp"), F.lit(0).alias("side"), "id", "hashes")
-    links = links.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "id").mapInArrow(_search(percent, False), "a long, b long")
-    large = weight.where(F.col("weight") > GROUP_HASHES)
+    sizes = described.where("n_shingles > 0").groupBy("id").agg(F.first("n_shingles").alias("n"))
+    large = scratch.table(groups.join(sizes, "id").groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > GROUP_HASHES).select("root"))
+    found = texts.mapInArrow(_contents(k, wanted), "id long, hashes binary")
+    links = _links_in(found, groups if large.isEmpty() else groups.join(large, "root", "left_anti"), percent)
     if not large.isEmpty():
-        links = links.unionByName(_large_groups(sets, large, percent, scratch))
-    final = connected_components(scratch.table(links), scratch)
+        links = links.unionByName(_large_groups(scratch.table(_once(found, groups.join(large, "root"))), percent, scratch))
+    links = scratch.table(links)
+    del found
+    scratch.release()
+    final = connected_components(links, scratch)
     out = described.where("hits = 0").drop("hits")
     out = out.join(final, "id", "left").withColumn("key", F.coalesce("root", "id"))
     solid = out.where("n_shingles > 0")
@@ -400,7 +402,18 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return solid.unionByName(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _large_groups(sets: DataFrame, large: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _once(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, hashes, root): each set of the groups once; equal sets come in from many rows."""
+    return found.join(groups, "id").groupBy("id").agg(F.first("hashes").alias("hashes"), F.first("root").alias("root"))
+
+
+def _links_in(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    sets = _once(found, groups).select(F.col("root").alias("grp"), F.lit(0).alias("side"), "id", "hashes")
+    n = partitions(found.sparkSession)
+    return sets.repartition(n, "grp").sortWithinPartitions("grp", "id").mapInArrow(_search(percent, False), "a long, b long")
+
+
+def _large_groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links inside groups that exceed one task, from pairs of blocks of near sizes.
 
     Sets of a group are dealt to blocks of at most a quarter of GROUP_HASHES by
@@ -410,7 +423,7 @@ def _large_groups(sets: DataFrame, large: DataFrame, percent: int, scratch: Scra
     spark = sets.sparkSession
     ratio = 100.0 / percent
     n = F.length("hashes") / 8
-    cells = sets.join(large, "root").withColumn("class", F.floor(F.log(n) / F.log(F.lit(ratio))).cast("int"))
+    cells = sets.withColumn("class", F.floor(F.log(n) / F.log(F.lit(ratio))).cast("int"))
     many = cells.groupBy("root", "class").agg(F.ceil(F.sum(n) / (GROUP_HASHES // 4)).cast("int").alias("blocks"))
     many = scratch.table(many)
     # A size on the border of its class may differ by rounding; classes c, c+1 and c+2 cover it.

@@ -12,6 +12,7 @@ from .language_id import identify_language, train_language_model
 from .quality_classifier import score_quality, train_quality_model
 from .quality_rules import quality_rules
 from .secrets import secret_scan
+from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
 
 # The rules of op1.
@@ -66,6 +67,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
