@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import ngram_jaccard_join
 from .language_id import identify_language, train_language_model
+from .packing import pack_documents
 from .quality_classifier import score_quality, train_quality_model
 from .quality_rules import quality_rules
 from .secrets import secret_scan
@@ -39,6 +40,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, URL_RULES).drop("url")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
