@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality_classifier import score_quality, train_quality_model
 from .quality_rules import quality_rules
 from .secrets import secret_scan
+from .sentencepiece_codec import sentencepiece_encode
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
 
@@ -45,6 +46,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    return out.select("doc_id", *(f"pieces.{c}" for c in ("n_ids", "ids_crc32", "round_trip")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
