@@ -4,7 +4,7 @@ A window is ``window`` consecutive words of a document; a word is removed if a
 window over it also starts in a document with a smaller id.
 
 Shards are cut by content, not by document, so that a window is looked up in
-one shard only.  A window's key is the least hash of the three-word grams in it
+one shard only.  A window's key is the least hash of the five-word grams in it
 (a minimizer), and a document's stretches of windows with one key travel whole,
 as fragments:
 
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from . import kernel
 from .scratch import Scratch, members, partitions
 
-GRAM = 3
+GRAM = 5
 #: Bytes of text whose keys and fragments are merged before they are sent.
-STRETCH = 16 << 20
+STRETCH = 8 << 20
 #: Fragments of one key that may meet in one shard.
 HOT = 10_000
 
@@ -151,28 +151,30 @@ def _fragments(window: int, shared, hot, buckets: int):
         start = kernel.ragged(start, times)
         size = np.where(single, 1, count)[each] + window - 1
         frag = _sequence_hashes(words, start, size)
-        bucket = _bucket(np.where(single[each], frag, key[each]), buckets)
+        doc = doc[each]
+        owner = ids[doc]
+        once, low, high = _distinct(frag, owner, owner)
+        bucket = _bucket(np.where(single[each[once]], frag[once], key[each[once]]), buckets)
         code = (words >> np.uint64(32)).astype(np.uint32)
-        first = block.word_offs[doc[each]]
-        return frag, ids[doc[each]], tags[doc[each]], start - first, size, bucket, code[kernel.ragged(start, size)]
+        content = frag[once], low, high, size[once], bucket, code[kernel.ragged(start[once], size[once])]
+        return content, (frag, owner, tags[doc], start - block.word_offs[doc])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "frags", "lows", "highs", "sizes", "codes", "frag", "doc_id", "tag", "place"]
+        binary = lambda parts: pa.array(parts, pa.binary())
         for held in _stretches(batches, of):
-            frag, doc, tag, place, size, bucket, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            n = len(frag)
-            if not n:
+            for _, (frag, doc, tag, place) in held:
+                if n := len(frag):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 5, pa.array(frag.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(place.astype(np.int32))], names)
+            frag, low, high, size, bucket, code = (np.concatenate(x) for x in zip(*(content for content, _ in held), strict=True))
+            if not len(frag):
                 continue
-            order = np.lexsort((doc, frag, bucket))
-            head = np.flatnonzero(np.concatenate(([True], frag[order][1:] != frag[order][:-1])))
-            low = doc[order][head]
-            high = doc[order][np.concatenate((head[1:], [n])) - 1]
-            once = order[head]
+            once, low, high = _distinct(frag, low, high)
+            order = np.argsort(bucket[once], kind="stable")
+            once, low, high = once[order], low[order], high[order]
             offs = np.concatenate(([0], np.cumsum(size)))
-            b = bucket[once]
-            cut = np.searchsorted(b, np.arange(buckets + 1))
+            cut = np.searchsorted(bucket[once], np.arange(buckets + 1))
             full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            binary = lambda parts: pa.array(parts, pa.binary())
             part = lambda x: binary([x[cut[i] : cut[i + 1]].tobytes() for i in full])
             codes = []
             for i in full:
@@ -180,11 +182,20 @@ def _fragments(window: int, shared, hot, buckets: int):
                 codes.append(code[kernel.ragged(offs[o], size[o])].tobytes())
             none = [pa.nulls(len(full), pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(frag[once]), part(low), part(high), part(size[once].astype(np.int32)), binary(codes), *none, pa.nulls(len(full), pa.int32())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 5, pa.array(frag.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(place.astype(np.int32))], names)
 
     return run
 
 
+def _distinct(frag: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first of each distinct fragment, with the smallest low and largest high of its equals."""
+    if not len(frag):
+        return np.zeros(0, np.int64), low, high
+    order = np.argsort(frag, kind="stable")
+    ranked = frag[order]
+    head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    return order[head], np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head)
+
+
 class FmIndex:
     """FM-index of a code sequence (0 separates) for patterns of up to ``depth`` codes.
 
@@ -284,10 +295,7 @@ def _shards(window: int):
         frag, low, high, size, code = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.uint32)))
         size = size.astype(np.int64)
         offs = np.concatenate(([0], np.cumsum(size)))
-        order = np.argsort(frag, kind="stable")
-        head = np.flatnonzero(np.concatenate(([True], frag[order][1:] != frag[order][:-1])))
-        low, high = np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head)
-        once = order[head]
+        once, low, high = _distinct(frag, low, high)
         owner, cut = window_owners(code[kernel.ragged(offs[once], size[once])], size[once], low, window)
         if not len(owner):
             return
@@ -363,8 +371,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, row) for every row of docs; exact.
 
     kept_text and row are filled with_rows only: the kept words joined by one
-    space (the text itself where nothing was removed), and the input row as a
-    struct.  A null or wordless text has no windows.  Rows with a null id take no
+    space (the text itself where nothing was removed), and the input row's other
+    columns as a struct.  A null or wordless text has no windows.  Rows with a null id take no
     part and keep all words.  Rows that share an id are one document for the
     comparison of ids: they never remove words of each other.
     """
@@ -372,7 +380,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     n = partitions(spark)
     buckets = 8 * n
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if with_rows else F.lit(None).cast("int")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if with_rows else F.lit(None).cast("int")
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), row.alias("row"))
     texts = base.where("doc_id is not null").select("doc_id", "tag", "text")
