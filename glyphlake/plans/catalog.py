@@ -1,0 +1,365 @@
+"""The registered queries and, for each that SQL can express, DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codepoints, evidence, style
+from ..operators import ngrams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The tables hold no carrier and no style phrase, so queries about them put some in, by the same SQL text in both engines.
+_INJECTED = """(
+  SELECT doc_id, lang, source,
+         CASE WHEN doc_id % 5 = 0 THEN t6 || ' Furthermore, we delve into a myriad of ideas in order to leverage them.' ELSE t6 END AS text
+  FROM (SELECT *, CASE WHEN doc_id % 29 = 0 THEN t5 || '\U0001f3f4\U000e0067\U000e0062\U000e007f' ELSE t5 END AS t6
+  FROM (SELECT *, CASE WHEN doc_id % 23 = 0 THEN t4 || '\U0001f468‍\U0001f469a‍b' ELSE t4 END AS t5
+  FROM (SELECT *, CASE WHEN doc_id % 19 = 0 AND instr(t3, 'a') > 0 THEN substr(t3, 1, instr(t3, 'a') - 1) || 'а' || substr(t3, instr(t3, 'a') + 1) ELSE t3 END AS t4
+  FROM (SELECT *, CASE WHEN doc_id % 17 = 0 THEN '‮' || t2 ELSE t2 END AS t3
+  FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '‪' || substr(t1, 1, 10) || '‬' || substr(t1, 11) ELSE t1 END AS t2
+  FROM (SELECT *, CASE WHEN doc_id % 11 = 0 AND instr(t0, ' ') > 0 THEN substr(t0, 1, instr(t0, ' ') - 1) || ' ' || substr(t0, instr(t0, ' ') + 1) ELSE t0 END AS t1
+  FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 5) || '​' || substr(text, 6) ELSE text END AS t0
+  FROM documents)))))))) injected"""
+
+
+def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_INJECTED.replace('FROM documents', 'FROM {documents}')}", documents=table(spark, sf_dir, "documents"))
+
+
+# Code points of the documents with a carrier, and the verdict on each, by windows: the oracle's own formulation.
+_UNITS = f"""units AS (
+  SELECT doc_id, source, pos, unicode(ch) AS cp
+  FROM (SELECT doc_id, source, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM {_INJECTED}
+        WHERE regexp_matches(text, '[^\\x00-\\x7FÀ-ÿ]'))),
+near AS (
+  SELECT *, lag(cp) OVER w AS prev, lead(cp) OVER w AS next,
+         sum(CASE WHEN cp IN (8234, 8235, 8237, 8238) THEN 1 WHEN cp = 8236 THEN -1 ELSE 0 END) OVER w AS depth,
+         last_value(CASE WHEN cp NOT BETWEEN 917536 AND 917630 THEN cp END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tag_base,
+         first_value(CASE WHEN cp NOT BETWEEN 917536 AND 917630 THEN cp END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS tag_close
+  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+marked AS (
+  SELECT *, cp IN (9732, 35, 42) OR cp BETWEEN 48 AND 57 OR cp BETWEEN 126976 AND 129791 AS emoji,
+         (cp BETWEEN 917536 AND 917630 AND tag_base = 127988 AND tag_close = 917631) OR (cp = 917631 AND prev BETWEEN 917536 AND 917630 AND tag_base = 127988) AS flag
+  FROM near),
+verdicts AS (
+  SELECT *, CASE
+    WHEN flag THEN NULL
+    WHEN cp = 8205 AND (prev BETWEEN 126976 AND 129791) AND (next BETWEEN 126976 AND 129791) THEN NULL
+    WHEN cp BETWEEN 917505 AND 917631 THEN 'tag_chars'
+    WHEN cp IN (8203, 8204, 8205) THEN 'zwj_family'
+    WHEN cp IN (8234, 8235, 8236, 8237, 8238) THEN 'bidi'
+    WHEN cp = 160 THEN 'space' END AS kind
+  FROM marked)"""
+
+
+@query(
+    f"""WITH {_UNITS},
+    per_doc AS (SELECT doc_id, count(kind) AS total, count(DISTINCT CASE WHEN kind = 'space' THEN cp END) AS informational,
+                       count(DISTINCT CASE WHEN kind <> 'space' THEN cp END) AS probable FROM verdicts GROUP BY doc_id)
+    SELECT source, count(*) AS documents, count(CASE WHEN total > 0 THEN 1 END) AS with_carriers, coalesce(sum(total), 0)::BIGINT AS suspicious_total,
+           count(CASE WHEN probable > 0 THEN 1 END) AS actionable, coalesce(sum(probable), 0)::BIGINT AS findings_probable, coalesce(sum(informational), 0)::BIGINT AS findings_informational
+    FROM documents LEFT JOIN per_doc USING (doc_id) GROUP BY source"""
+)
+def audit_summary_by_source(spark, sf_dir):
+    x = codepoints.inspect_text(injected(spark, sf_dir)).select("source", "inspection")
+    confidence = F.col("inspection.hits.confidence")
+    number = lambda c: F.size(F.filter(confidence, lambda v: v == c))
+    return x.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("inspection.suspicious_total") > 0).alias("with_carriers"), F.sum("inspection.suspicious_total").alias("suspicious_total"),
+        F.count_if(evidence.actionable(F.lit(False), confidence)).alias("actionable"), F.sum(number("probable")).alias("findings_probable"), F.sum(number("informational")).alias("findings_informational"),
+    )
+
+
+@query(
+    f"""WITH {_UNITS}
+    SELECT doc_id, cp::INTEGER AS codepoint, kind, CASE WHEN kind = 'space' THEN 'informational' ELSE 'probable' END AS confidence, count(*) AS hits,
+           array_to_string(list_slice(list(pos ORDER BY pos), 1, 10), ',') AS sample_offsets
+    FROM verdicts WHERE kind IS NOT NULL GROUP BY doc_id, cp, kind"""
+)
+def carrier_hits(spark, sf_dir):
+    x = codepoints.inspect_text(injected(spark, sf_dir)).select("doc_id", F.explode("inspection.hits").alias("h"))
+    return x.select("doc_id", "h.codepoint", "h.kind", "h.confidence", F.col("h.count").alias("hits"), F.array_join(F.col("h.sample_offsets").cast("array<string>"), ",").alias("sample_offsets"))
+
+
+@query("SELECT count(*) AS documents, 0::BIGINT AS suspicious FROM documents")
+def carrier_control(spark, sf_dir):
+    """The documents as they are hold no carrier."""
+    x = codepoints.inspect_text(table(spark, sf_dir, "documents")).agg(F.count(F.lit(1)).alias("documents"), F.sum("inspection.suspicious_total").alias("suspicious"))
+    return x.select("documents", "suspicious")
+
+
+@query(
+    f"""WITH {_UNITS},
+    done AS (SELECT *, CASE WHEN kind = 'bidi' AND cp IN (8234, 8236) AND doc_id % 13 = 0 THEN NULL ELSE kind END AS act FROM verdicts),
+    built AS (SELECT doc_id, string_agg(CASE WHEN act IS NULL THEN chr(cp::INTEGER) WHEN act = 'space' THEN ' ' ELSE '' END, '' ORDER BY pos) AS cleaned,
+                     count(CASE WHEN act <> 'space' THEN 1 END) AS removed, count(CASE WHEN act = 'space' THEN 1 END) AS replaced FROM done GROUP BY doc_id)
+    SELECT i.doc_id, md5(coalesce(b.cleaned, i.text)) AS cleaned_md5, coalesce(removed, 0) AS removed, coalesce(replaced, 0) AS replaced FROM {_INJECTED.replace(') injected', ') i')} LEFT JOIN built b USING (doc_id)"""
+)
+def carrier_clean(spark, sf_dir):
+    x = codepoints.clean_text(injected(spark, sf_dir)).select("doc_id", "cleaning.*")
+    return x.select("doc_id", F.md5("cleaned").alias("cleaned_md5"), "removed", "replaced")
+
+
+_ALIKE = "".join(map(chr, codepoints.CYRILLIC))
+
+
+@query(f"SELECT doc_id, md5(translate(translate(text, '{_ALIKE}', '{''.join(codepoints.CYRILLIC.values())}'), '{''.join(map(chr, codepoints.SPACES))}', '{' ' * len(codepoints.SPACES)}')) AS folded_md5 FROM {_INJECTED}")
+def look_alike_fold(spark, sf_dir):
+    text = F.translate(F.translate("text", _ALIKE, "".join(codepoints.CYRILLIC.values())), "".join(map(chr, codepoints.SPACES)), " " * len(codepoints.SPACES))
+    return injected(spark, sf_dir).select("doc_id", F.md5(text).alias("folded_md5"))
+
+
+def _sql_text(s: str) -> str:
+    return s.replace("'", "''")
+
+
+_MARKER_ROWS = ", ".join(f"({i}, '{_sql_text('(?i)' + p)}', '{_sql_text(label)}', {w})" for i, (p, label, w) in enumerate(style.MARKERS))
+
+
+@query(
+    f"""SELECT doc_id, label, hits FROM (SELECT doc_id, label, len(regexp_extract_all(text, pattern)) AS hits
+    FROM {_INJECTED} CROSS JOIN (VALUES {_MARKER_ROWS}) m(n, pattern, label, weight)) WHERE hits > 0"""
+)
+def style_markers(spark, sf_dir):
+    labels = F.array(*(F.lit(label) for _, label, _ in style.MARKERS))
+    x = style.style_measures(injected(spark, sf_dir)).select("doc_id", F.explode(F.arrays_zip(labels.alias("label"), F.col("style.hits").alias("hits"))).alias("m"))
+    return x.select("doc_id", F.col("m.label").alias("label"), F.col("m.hits").alias("hits")).where("hits > 0")
+
+
+_STYLE = f"""WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n
+  FROM (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '{_sql_text(style.WORD)}')] AS ws FROM {_INJECTED})),
+windows AS (SELECT doc_id, n, pos, count(DISTINCT word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {style.WINDOW - 1} FOLLOWING) AS d, count(DISTINCT word) OVER (PARTITION BY doc_id) AS whole FROM w),
+mattr AS (SELECT doc_id, any_value(n) AS n, CASE WHEN any_value(n) <= {style.WINDOW} THEN any_value(whole) / any_value(n) ELSE sum(CASE WHEN pos <= n - {style.WINDOW} + 1 THEN d END) / {style.WINDOW}.0 / (any_value(n) - {style.WINDOW} + 1) END AS mattr FROM windows GROUP BY doc_id),
+lines AS (SELECT doc_id, array_to_string([trim(l) for l in string_split(text, chr(10)) if trim(l) <> ''], chr(10)) AS t FROM {_INJECTED}),
+parts AS (SELECT doc_id, unnest(regexp_split_to_array(t, '[.!?]+\\s+|\\n+')) AS s FROM lines),
+sizes AS (SELECT doc_id, len(regexp_extract_all(s, '{_sql_text(style.WORD)}')) AS k FROM parts),
+burst AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN stddev_samp(k) / avg(k) END AS cv FROM sizes WHERE k > 0 GROUP BY doc_id),
+dense AS (SELECT doc_id, sum(len(regexp_extract_all(text, pattern)) * weight) AS weight FROM {_INJECTED} CROSS JOIN (VALUES {_MARKER_ROWS}) m(n, pattern, label, weight) GROUP BY doc_id),
+joined AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(mattr, 0) AS mattr, cv, weight / (n / 100.0) AS density FROM documents d LEFT JOIN mattr USING (doc_id) LEFT JOIN burst USING (doc_id) LEFT JOIN dense USING (doc_id)),
+steps AS (SELECT *, CASE WHEN cv < .25 THEN .95 WHEN cv < .35 THEN .8 WHEN cv < .45 THEN .5 WHEN cv < .55 THEN .25 ELSE .05 END AS b, CASE WHEN density >= 2 THEN 1.0 WHEN density >= 1 THEN .75 WHEN density >= .5 THEN .45 WHEN density > 0 THEN .2 ELSE 0 END AS d, CASE WHEN mattr BETWEEN .68 AND .76 THEN .4 ELSE .1 END AS v FROM joined),
+scored AS (SELECT *, CASE WHEN n >= 30 THEN greatest(0, least(1, (CASE WHEN cv IS NULL THEN (d::DOUBLE * .45 + v * .1) / .55 ELSE b::DOUBLE * .45 + d * .45 + v * .1 END) * (CASE WHEN n < 100 THEN .4::DOUBLE + .6 * (n - 30) / 70 ELSE 1 END))) END AS score FROM steps)"""
+
+
+@query(
+    _STYLE
+    + """ SELECT doc_id, n::BIGINT AS n_words, round(mattr, 4) AS mattr, round(cv, 4) AS burstiness_cv, CASE WHEN n >= 30 THEN round(density, 4) END AS density, round(score, 4) AS score,
+    CASE WHEN score IS NULL THEN 'uncalibrated' WHEN score >= .65 THEN 'high' WHEN score >= .4 THEN 'medium' ELSE 'low' END AS density_tier,
+    CASE WHEN score >= .75 THEN 'HIGH' WHEN score >= .5 THEN 'MEDIUM' WHEN score >= .25 THEN 'LOW' WHEN score IS NOT NULL THEN 'CLEAN' END AS confidence_level,
+    CASE WHEN n >= 30 THEN 'ok' ELSE 'insufficient_length' END AS status FROM scored"""
+)
+def style_scores(spark, sf_dir):
+    x = style.style_measures(injected(spark, sf_dir))
+    x = x.withColumns(style.style_score(F.col("style")))
+    four = lambda c: (F.round(F.col(c) * 10000, 0) / 10000).alias(c.rpartition(".")[2])
+    return x.select("doc_id", "style.n_words", four("style.mattr"), four("style.burstiness_cv"), four("density"), four("score"), "density_tier", "confidence_level", "status")
+
+
+_GRAMS = """tok AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+|[^\\s\\p{L}\\p{Nd}_]') AS t FROM documents WHERE lang IN ('en', 'fr')),
+flat AS (SELECT lang, doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM tok),
+grams AS (SELECT lang, tok, lag(tok, 2) OVER w AS c1, lag(tok, 1) OVER w AS c2 FROM flat WINDOW w AS (PARTITION BY lang, doc_id ORDER BY pos)),
+ctx AS (SELECT lang, c1, c2, tok, count(*) AS n FROM grams WHERE c1 IS NOT NULL GROUP BY ALL),
+tot AS (SELECT lang, c1, c2, sum(n) AS total FROM ctx GROUP BY ALL),
+uni AS (SELECT lang, tok, count(*) AS n FROM flat GROUP BY ALL),
+voc AS (SELECT lang, count(*) AS v, sum(n) AS s FROM uni GROUP BY lang)"""
+
+
+@query(
+    f"""WITH {_GRAMS},
+    p AS (SELECT a.c1, a.c2, a.tok, ln(((a.n + .4::DOUBLE) / greatest(ta.total + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'en'), 1) + 1e-6) /
+      ((CASE WHEN tb.total IS NOT NULL THEN (coalesce(b.n, 0) + .4::DOUBLE) / greatest(tb.total + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'fr'), 1)
+             ELSE (coalesce(u.n, 0) + .4::DOUBLE) / greatest((SELECT s FROM voc WHERE lang = 'fr') + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'fr'), 1) END) + 1e-6)) AS score
+      FROM ctx a JOIN tot ta USING (lang, c1, c2) LEFT JOIN tot tb ON tb.lang = 'fr' AND tb.c1 = a.c1 AND tb.c2 = a.c2
+      LEFT JOIN ctx b ON b.lang = 'fr' AND b.c1 = a.c1 AND b.c2 = a.c2 AND b.tok = a.tok LEFT JOIN uni u ON u.lang = 'fr' AND u.tok = a.tok WHERE a.lang = 'en' AND ta.total >= 2)
+    SELECT c1, c2, tok, rank, round(score, 5) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 12) DESC, tok))::INTEGER AS rank FROM p) WHERE rank <= 5"""
+)
+def ngram_contrast(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", "text")
+    counts = ngrams.context_counts(docs, by=["lang"])
+    uni = docs.select("lang", F.explode(ngrams.tokens(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n"))
+    size = {r["lang"]: r["v"] for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v")).collect()}
+    of = lambda df, lang: df.where(F.col("lang") == lang).drop("lang")
+    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), size.get("en", 0), size.get("fr", 0), min_context=2, top=5)
+    return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
+
+
+@query(f"WITH {_GRAMS} SELECT lang, c1, c2, tok, n FROM ctx")
+def ngram_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')")
+    return ngrams.context_counts(docs, by=["lang"]).select("lang", F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "n")
+
+
+_TURNS = """(SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) turns"""
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
+    return c.select("conv_id", "turn", F.col("text").alias("x")).join(after, ["conv_id", "turn"])
+
+
+def _duck_bigrams(column: str) -> str:
+    words = f"regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+')"
+    return f"list_distinct([{words}[i] || ' ' || {words}[i + 1] for i in range(1, len({words}))])"
+
+
+@query(
+    f"""SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS divergence, numbers FROM
+    (SELECT conv_id, turn, {_duck_bigrams('x')} AS a, {_duck_bigrams('y')} AS b,
+     CASE WHEN len(list_distinct(regexp_extract_all(x, '[0-9]+'))) = 0 THEN 1 ELSE round(len(list_intersect(list_distinct(regexp_extract_all(x, '[0-9]+')), list_distinct(regexp_extract_all(y, '[0-9]+')))) / len(list_distinct(regexp_extract_all(x, '[0-9]+'))), 6) END AS numbers FROM {_TURNS})"""
+)
+def turn_similarity(spark, sf_dir):
+    divergence = F.round(ngrams.bigram_divergence(F.col("x"), F.col("y")), 6)
+    return _turns(spark, sf_dir).select("conv_id", "turn", divergence.alias("divergence"), F.round(ngrams.preserved("[0-9]+", F.col("x"), F.col("y")), 6).alias("numbers"))
+
+
+@query(
+    """WITH x AS (SELECT n_chars::DOUBLE AS s, quality AS y FROM documents JOIN labels USING (doc_id)),
+    r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM x)
+    SELECT sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::DOUBLE * sum(1 - y)), 9) AS auroc FROM r"""
+)
+def quality_auroc(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("s")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return ngrams.auroc(x, "s", "quality").select("n_pos", "n_neg", F.round("auroc", 9).alias("auroc"))
+
+
+_VARIANTS = "(SELECT event_type AS variant, count(*) AS n, round(avg(value), 9) AS gain, round(avg(abs(value - 50)), 9) AS loss, round(count(CASE WHEN value > 60 THEN 1 END) / count(*), 9) AS rate FROM events GROUP BY event_type)"
+
+
+@query(f"SELECT * FROM {_VARIANTS} a WHERE NOT EXISTS (SELECT 1 FROM {_VARIANTS} b WHERE b.gain >= a.gain AND b.loss <= a.loss AND b.rate >= a.rate AND (b.gain > a.gain OR b.loss < a.loss OR b.rate > a.rate))")
+def variant_skyline(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"))
+    nine = lambda c: F.round(c, 9)
+    v = e.agg(F.count(F.lit(1)).alias("n"), nine(F.avg("value")).alias("gain"), nine(F.avg(F.abs(F.col("value") - 50))).alias("loss"), nine(F.count_if(F.col("value") > 60) / F.count(F.lit(1))).alias("rate"))
+    return ngrams.skyline(v, "variant", ["gain", "rate"], ["loss"])
+
+
+@query(
+    """SELECT event_type AS variant, count(*) AS n, count(CASE WHEN value > 60 THEN 1 END) AS cleared, round(count(CASE WHEN value > 60 THEN 1 END) / count(*), 6) AS clear_rate,
+    round(avg(value), 6) AS mean_value, list_sort(list(value))[(count(value) // 2 + 1)::BIGINT] AS upper_median, round(median(value), 9) AS true_median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"""
+)
+def variant_aggregate(spark, sf_dir):
+    """Rates with a zero guard, means, upper and true medians; the upper median comes from counts by value, not from collected rows."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "variant")
+    upper = F.col("below") <= F.floor(F.col("all") / 2)
+    by = e.where("value is not null").groupBy("variant", "value").agg(F.count(F.lit(1)).alias("k"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("variant")
+    ranked = by.withColumn("below", F.coalesce(F.sum("k").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("k").over(w))
+    median = ranked.where(upper).groupBy("variant").agg(F.max("value").alias("upper_median"))
+    cleared = F.count_if(F.col("value") > 60)
+    out = e.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), cleared.alias("cleared"), F.round(F.try_divide(cleared, F.count(F.lit(1))), 6).alias("clear_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.median("value"), 9).alias("true_median"), F.countDistinct("user_id").alias("users"))
+    return out.join(median, "variant", "left").select("variant", "n", "cleared", "clear_rate", "mean_value", "upper_median", "true_median", "users")
+
+
+# Pages carry no evidence either: every third gets an AI generator tag, every third a CMS one, every third a JSON-LD block.
+_PAGES = """(SELECT page_id, url, replace(html, '<head>', '<head>' || CASE page_id % 3 WHEN 0 THEN '<meta name="generator" content="Midjourney AI">' WHEN 1 THEN '<meta name="generator" content="WordPress 6">' ELSE '<script type="application/ld+json">{"digitalSourceType":"trainedAlgorithmicMedia","p":"c2pa"}</script>' END) AS html FROM pages) p"""
+
+
+def _pages(spark, sf_dir):
+    text = _PAGES.replace("{", "{{").replace("}", "}}").replace("FROM pages", "FROM {pages}")
+    return spark.sql("SELECT * FROM " + text, pages=table(spark, sf_dir, "pages"))
+
+
+@query(
+    f"""SELECT page_id, contains(html, '"p":"c2pa"') AS has_c2pa, contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') AS has_ai_metadata,
+    CASE WHEN contains(html, '"p":"c2pa"') THEN 'json-ld provenance-like block' WHEN contains(html, 'content="Midjourney AI"') THEN 'meta: <meta name="generator" content="Midjourney AI">'
+         WHEN contains(html, 'content="WordPress 6"') THEN 'info: cms generator: <meta name="generator" content="WordPress 6">' ELSE '' END AS findings FROM {_PAGES}"""
+)
+def page_evidence(spark, sf_dir):
+    x = evidence.html_evidence(_pages(spark, sf_dir))
+    return x.select("page_id", "has_c2pa", "has_ai_metadata", F.array_join("findings", "|").alias("findings"))
+
+
+@query(
+    f"""SELECT 'page/' || page_id AS uri, CASE WHEN contains(html, '"p":"c2pa"') THEN 'AI-WATERMARK-C2PA' ELSE 'AI-WATERMARK-METADATA' END AS rule_id,
+    CASE WHEN contains(html, '"p":"c2pa"') THEN 'error' WHEN contains(html, 'content="Midjourney AI"') THEN 'warning' ELSE 'note' END AS level,
+    CASE WHEN contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') THEN 'probable' ELSE 'informational' END AS confidence
+    FROM {_PAGES} WHERE contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') OR contains(html, 'content="WordPress 6"')"""
+)
+def page_sarif(spark, sf_dir):
+    x = evidence.html_evidence(_pages(spark, sf_dir)).withColumn("path", F.concat(F.lit("page/"), F.col("page_id").cast("string")))
+    return evidence.sarif_results(x).select("uri", "rule_id", "level", "confidence")
+
+
+@query(
+    f"""SELECT page_id, array_to_string([m for m in ['{"', '".join(evidence.AI_HINTS)}'] if contains(lower(html), lower(m))], '|') AS ai_hints,
+    array_to_string([m for m in ['{"', '".join(evidence.C2PA_MARKERS)}'] if contains(lower(html), lower(m))], '|') AS c2pa_hints FROM {_PAGES}"""
+)
+def page_markers(spark, sf_dir):
+    html = F.col("html")
+    return _pages(spark, sf_dir).select("page_id", F.array_join(evidence.marker_hits(html, evidence.AI_HINTS), "|").alias("ai_hints"), F.array_join(evidence.marker_hits(html, evidence.C2PA_MARKERS), "|").alias("c2pa_hints"))
+
+
+@query(
+    """SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
+    CASE lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) WHEN 'https' THEN 443 WHEN 'http' THEN 80 END AS port,
+    CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '(?i)\\.html?$') THEN 'container' ELSE 'unknown' END AS kind FROM pages"""
+)
+def page_origins(spark, sf_dir):
+    url = F.col("url")
+    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
+    authority = F.try_parse_url(url, F.lit("AUTHORITY"))
+    port = F.coalesce(F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).cast("int"), F.when(scheme == "https", 443).when(scheme == "http", 80))
+    return table(spark, sf_dir, "pages").select("page_id", scheme.alias("scheme"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"), port.alias("port"), evidence.kind_by_extension(F.try_parse_url(url, F.lit("PATH"))).alias("kind"))
+
+
+_FINDINGS = ["Layer-A U+00A0 (space)", "Layer-A U+200B (zwj_family)", "PNG chunk caBX", "info: cms generator: x", "byte-scan hit: c2pa", "meta: generator", "truncated chunk", "XMP packet present", "attr: data-ai", "plain note", "softwareAgent found", "JPEG APP1 exif"]
+_EXPECTED = ["informational", "probable", "confirmed", "informational", "likely_false_positive", "probable", "informational", "informational", "probable", "informational", "confirmed", "probable"]
+
+
+@query(f"SELECT doc_id, (['{"', '".join(_FINDINGS)}'])[doc_id % {len(_FINDINGS)} + 1] AS finding, (['{"', '".join(_EXPECTED)}'])[doc_id % {len(_FINDINGS)} + 1] AS confidence FROM documents")
+def finding_confidences(spark, sf_dir):
+    finding = F.element_at(F.array(*map(F.lit, _FINDINGS)), (F.col("doc_id") % len(_FINDINGS) + 1).cast("int"))
+    x = table(spark, sf_dir, "documents").select("doc_id", finding.alias("finding"))
+    return x.withColumn("confidence", evidence.finding_confidence(F.col("finding")))
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE text <> ''")
+def jsonl_corpus(spark, sf_dir):
+    """Conversations as JSON lines, read back through the corpus reader."""
+    from ..sources.corpus import corpus_texts
+
+    c = table(spark, sf_dir, "conversations")
+    lines = c.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("value"))
+    return corpus_texts(lines, "text").select("conv_id", "turn", "text")
+
+
+@query("WITH d AS (SELECT source, dense_rank() OVER (ORDER BY source) AS r FROM (SELECT DISTINCT source FROM documents)), n AS (SELECT max(r) AS k FROM d) SELECT source, r <= greatest(1, round_even(k * 0.3, 0)) AS holdout FROM d, n")
+def holdout_split(spark, sf_dir):
+    """The first share of the sorted keys is held out; the window runs over distinct keys."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").select("source").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("source")))
+    k = d.agg(F.max("r").alias("k"))
+    return d.join(F.broadcast(k)).select("source", (F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("k") * 0.3, 0))).alias("holdout"))

@@ -1,0 +1,5 @@
+"""What a directory walk leaves out."""
+
+# Folders of builds and version control.
+_NAMES = ["node_modules", "dist", "build", "target", "vendor", "__pycache__", "venv"]
+SKIPPED = r"/(?:\.[^/]+|" + "|".join(_NAMES) + r")/"
