@@ -6,12 +6,14 @@ from the start (the closest set relation).  For the rest:
 1. Shingles found often are ranked last in one global order (lossy counting
    over all documents), all others stand in hash order.  Any order is correct;
    this one keeps frequent passages out of the prefixes.
-2. Two sets of similarity t share a shingle among the first
-   n - ceil(t n) + 1 of each.  Only those postings are dealt out, as columnar
-   blocks by shingle range; equal sets of a block send one posting.
-3. A posting list's members are connected unless its length and position
-   bounds rule every pair of a block out (index-level skipping), which gives
-   small closed candidate groups; each group's sets meet in one task.
+2. Two sets of similarity t share c shingles (or all of a smaller
+   intersection) among the first n - ceil(t n) + c of each.  Only those postings
+   are dealt out, as columnar blocks by shingle range; equal sets of a block
+   send one posting.
+3. In short posting lists the pairs that length and position allow are counted,
+   and c of them make an edge.  The members of a long list are connected unless
+   its length and position bounds rule every pair of a block out (index-level
+   skipping).  Connected sets are a candidate group; its sets meet in one task.
 4. Inside a group an inverted index with lists in size order is searched:
    blocks of a list are skipped by size and position, sets already known to be
    in the same component are skipped, and an overlap bound is derived from the
@@ -41,8 +43,10 @@ WINDOW = 16 << 20
 #: Entries of the table of frequent shingles (8 bytes each); the rest keep hash order.
 FREQUENT = 1 << 18
 #: Shingle hashes that one task searches at once; larger groups are cut.
-GROUP_HASHES = 4 << 20
-#: Postings compared as one block within a list.
+GROUP_HASHES = 6 << 20
+#: Shared prefix shingles that make a pair a candidate.
+SHARED = 4
+#: Postings compared as one block within a list; longer lists are connected by blocks.
 LIST_BLOCK = 64
 
 
@@ -51,8 +55,8 @@ def _required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (n + m)) // (100 + percent))
 
 
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (-((-percent * n) // 100)) + 1
+def _prefix(n: np.ndarray, percent: int, shared: int = 1) -> np.ndarray:
+    return np.minimum(n, n - (-((-percent * n) // 100)) + shared)
 
 
 def set_ids(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -130,7 +134,7 @@ def _post(k: int, percent: int, frequent, buckets: int):
             values, offs, ids = _distinct(values, offs, ids)
             size = np.diff(offs)
             values = values[_in_order(values, offs, hot, rank)]
-            length = _prefix(size, percent)
+            length = _prefix(size, percent, SHARED)
             token = values[kernel.ragged(offs[:-1], length)]
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), length)
             place = kernel.ragged(np.zeros(len(ids), np.int64), length).astype(np.uint32)
@@ -172,29 +176,45 @@ def _lists(percent: int):
         again = np.zeros(len(ids), bool)
         again[1:] = (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])  # one set from several blocks
         token, ids, size, place = token[~again], ids[~again], size[~again], place[~again]
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-        end = np.concatenate((start[1:], [len(token)]))
-        a, b = [], []
-        two = start[end - start == 2]  # most lists
-        left, right = _possible(size, place, two, two + 1, percent)
-        a.append(ids[left])
-        b.append(ids[right])
-        for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist(), strict=True):
-            left, right = _list_edges(size[s:e], place[s:e], percent)
-            a.append(ids[s + left])
-            b.append(ids[s + right])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).view([("a", np.uint64), ("b", np.uint64)]))
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(pair["a"].view(np.int64)), pa.array(pair["b"].view(np.int64))], ["a", "b"])
+        if not len(token):
+            return
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        length = np.diff(np.concatenate((start, [len(token)])))
+        counted: list[tuple[np.ndarray, ...]] = []
+        for n in np.unique(length[(length > 1) & (length <= LIST_BLOCK)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            at = start[length == n]
+            for part in np.array_split(at, 1 + len(at) * len(i) // 2_000_000):
+                left, right = _possible(size, place, (part[:, None] + i).ravel(), (part[:, None] + j).ravel(), percent)
+                counted.append(_count_pairs(ids[left], ids[right], np.ones(len(left), np.int64), size[right], percent))
+        for s, n in zip(start[length > LIST_BLOCK].tolist(), length[length > LIST_BLOCK].tolist(), strict=True):
+            left, right = _list_edges(size[s : s + n], place[s : s + n], percent)
+            counted.append(_count_pairs(ids[s + left], ids[s + right], np.full(len(left), SHARED), size[s + right], percent))
+        if counted:
+            low, high, times, need = _merge_pairs(*(np.concatenate(c) for c in zip(*counted, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
 
     return run
 
 
+def _count_pairs(a: np.ndarray, b: np.ndarray, times: np.ndarray, larger: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(low id, high id, shared shingles, shared shingles that make an edge) of each pair once; ``larger`` is the larger set's size."""
+    need = np.minimum(SHARED, -((-percent * larger) // 100))
+    return _merge_pairs(np.minimum(a, b), np.maximum(a, b), times, need)
+
+
+def _merge_pairs(low: np.ndarray, high: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(low)])
+    total = np.add.reduceat(times[order], head) if len(head) else times
+    return low[head], high[head], total, need[order][head]
+
+
 def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that, meeting first at this shingle, can be similar."""
-    left = np.minimum(size[i] - place[i], size[j] - place[j])
-    ok = left >= _required(size[i], size[j], percent)
+    """The pairs that can be similar: what may be shared before this shingle, and from it on."""
+    most = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
+    ok = (most >= _required(size[i], size[j], percent)) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
     return i[ok], j[ok]
 
 
@@ -214,7 +234,7 @@ def _list_edges(size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.n
             u = min(t + LIST_BLOCK, n)
             if 100 * size[e - 1] < percent * size[t]:
                 break
-            rest = min((size[s:e] - place[s:e]).max(), (size[t:u] - place[t:u]).max())
+            rest = min((size[s:e] - place[s:e]).max(), (size[t:u] - place[t:u]).max()) + min(place[s:e].max(), place[t:u].max())
             if rest < _required(size[s], size[t], percent):
                 continue
             if (root[s:e] == root[s]).all() and (root[t:u] == root[s]).all():
@@ -377,7 +397,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     buckets = 8 * partitions(spark)
     posted = texts.mapInArrow(_post(k, percent, frequent, buckets), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
-    edges = scratch.table(posted.repartition(partitions(spark), "bucket").mapInArrow(_lists(percent), "a long, b long"))
+    pairs = posted.repartition(partitions(spark), "bucket").mapInArrow(_lists(percent), "a long, b long, times long, need long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    edges = scratch.table(pairs.where("times >= need").select("a", "b"))
+    del pairs
     del posted
     scratch.release()
     groups = scratch.table(connected_components(edges, scratch))
