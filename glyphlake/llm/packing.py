@@ -19,6 +19,7 @@ get; a piece finds its own by its rank among pieces of its length.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import re
 import zlib
@@ -193,6 +194,13 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enume
 _SETTLED = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+@functools.cache
+def _worker(vocabulary: str):
+    """The tokenizer and the ids of pieces met so far, for as long as a Python worker lives."""
+    tokenizer, encode = _encoder(vocabulary)
+    return tokenizer, PieceIds(encode)
+
+
 def _encoder(vocabulary: str):
     """Ids of pieces without white space: runs of settled letters by the model itself, others through the whole tokenizer."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -241,8 +249,7 @@ def _lowered(buf: np.ndarray) -> np.ndarray:
 
 def _token_pieces(vocabulary: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, encode = _encoder(vocabulary)
-        known = PieceIds(encode)
+        tokenizer, known = _worker(vocabulary)
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
