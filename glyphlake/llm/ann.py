@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import ragged
 from .scratch import Scratch, partitions
 
-#: Bounds of the in-memory part: centroids, and sampled vectors for each.
+#: Bounds of the in-memory part: centroids, sampled vectors for each, and sampled vectors in all.
 MAX_LISTS = 16_384
-SAMPLE_PER_LIST = 16
+SAMPLE_PER_LIST = 64
+MAX_SAMPLE = 131_072
 #: Vectors for each list that the number of lists aims at, and vectors of a block of a list.
 LIST_SIZE = 256
 BLOCK = 4096
@@ -99,25 +101,31 @@ class CentroidGraph:
             dist = np.pad(dist, ((0, 0), (0, pad)), constant_values=np.inf)
         done = np.isinf(dist)
         rows = np.arange(n)
+        last = np.zeros((n, k), np.int32)
+        width = max(1, beam // 8)  # centroids expanded in one step
         while len(rows):
             open_ = np.where(done[rows], np.inf, dist[rows])
-            best = open_.argmin(1)
-            alive = np.isfinite(open_[np.arange(len(rows)), best])
-            rows, best = rows[alive], best[alive]
+            best = np.argpartition(open_, min(width, beam) - 1, 1)[:, :width]
+            usable = np.isfinite(np.take_along_axis(open_, best, 1))
+            alive = usable.any(1)
+            rows, best, usable = rows[alive], best[alive], usable[alive]
             if not len(rows):
                 break
-            done[rows, best] = True
-            next_ = self.links[ids[rows, best]]
-            fresh = ~seen[rows[:, None], next_]
-            seen[rows[:, None], next_] = True
-            gap = np.where(fresh, self.norm[next_] - 2 * np.einsum("ij,ikj->ik", x[rows], self.c[next_]), np.inf)
+            done[rows[:, None], best] |= usable
+            next_ = self.links[ids[rows[:, None], best]].reshape(len(rows), -1)
+            at = np.broadcast_to(np.arange(next_.shape[1], dtype=np.int32), next_.shape)
+            last[rows[:, None], next_] = at
+            fresh = ~seen[rows[:, None], next_] & (last[rows[:, None], next_] == at) & np.repeat(usable, self.links.shape[1], 1)
+            r, c = np.nonzero(fresh)
+            new = next_[r, c]
+            seen[rows[r], new] = True
+            gap = np.full(next_.shape, np.inf, np.float32)
+            gap[r, c] = self.norm[new] - 2 * np.einsum("ij,ij->i", x[rows[r]], self.c[new])
             all_d = np.concatenate((dist[rows], gap), 1)
             order = np.argpartition(all_d, beam - 1, 1)[:, :beam]
-            all_i = np.concatenate((ids[rows], next_), 1)
-            all_e = np.concatenate((done[rows], np.isinf(gap)), 1)
             dist[rows] = np.take_along_axis(all_d, order, 1)
-            ids[rows] = np.take_along_axis(all_i, order, 1)
-            done[rows] = np.take_along_axis(all_e, order, 1)
+            ids[rows] = np.take_along_axis(np.concatenate((ids[rows], next_), 1), order, 1)
+            done[rows] = np.take_along_axis(np.concatenate((done[rows], np.isinf(gap)), 1), order, 1)
         order = np.argsort(dist, 1)
         return np.take_along_axis(ids, order, 1), np.maximum(np.take_along_axis(dist, order, 1) + own[:, None], 0)
 
@@ -220,35 +228,32 @@ def _probe(index):
     return run
 
 
-def _best(scores: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best by score, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= cut)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((first[some], -scores[some]))][:k]
-
-
 def _scan(dim: int, k: int):
     """Sorted rows (cell, query?, class_id, vec, members) -> each query's best of the cell's vectors."""
 
     def solve(stored: list, queries: list) -> Iterator[pa.RecordBatch]:
         x = np.frombuffer(b"".join(s[1] for s in stored), np.float64).reshape(-1, dim)
-        first = np.array([s[2][0] for s in stored], np.int64)
+        count = np.array([len(s[2]) for s in stored])
+        members = np.array([i for s in stored for i in s[2]], np.int64)
+        begin = np.cumsum(count) - count
         for at in range(0, len(queries), 512):
             part = queries[at : at + 512]
-            q = np.frombuffer(b"".join(p[1] for p in part), np.float64).reshape(-1, dim)
-            scores = q @ x.T
-            ids, values = [], []
-            for i in range(len(part)):
-                own_ids, own_values = [], []
-                for j in _best(scores[i], first, k).tolist():
-                    own_ids += stored[j][2]
-                    own_values += [float(scores[i, j])] * len(stored[j][2])
-                ids.append(own_ids)
-                values.append(own_values)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], ["class_id", "ids", "scores"])
+            scores = np.frombuffer(b"".join(p[1] for p in part), np.float64).reshape(-1, dim) @ x.T
+            if len(stored) > k:  # all that reach the k-th best; ties are settled in the merge
+                cut = np.partition(scores, len(stored) - k, 1)[:, len(stored) - k]
+                row, column = np.nonzero(scores >= cut[:, None])
+                if len(row) > 4 * k * len(part):  # many ties: the smallest first ids of each score are enough
+                    order = np.lexsort((members[begin[column]], -scores[row, column], row))
+                    row, column = row[order], column[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, column = row[place < k], column[place < k]
+            else:
+                row, column = (i.ravel() for i in np.indices(scores.shape))
+            size = count[column]
+            offs = np.concatenate(([0], np.cumsum(np.bincount(row, size, len(part)).astype(np.int64)))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(members[ragged(begin[column], size)]))
+            values = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.repeat(scores[row, column], size)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), ids, values], ["class_id", "ids", "scores"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, stored, queries = None, [], []
@@ -319,11 +324,11 @@ def nearest_neighbours(
     classes = one.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
     classes = scratch.table(classes.select(F.xxhash64("vec").alias("class_id"), "vec", "members"))
     lists = min(MAX_LISTS, max(1, classes.count() // LIST_SIZE))
-    sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_PER_LIST * lists).toPandas()
+    sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(SAMPLE_PER_LIST * lists, MAX_SAMPLE)).toPandas()
     points = np.frombuffer(b"".join(map(bytes, sample["vec"])), np.float64).reshape(-1, dim)
     points = np.concatenate((points, np.sqrt(np.maximum(largest - (points**2).sum(1), 0))[:, None]), 1)
     fitted = _Index(CentroidGraph(bisect(points, lists)), dim, largest, replicas, boundary_ratio)
-    fitted.calibrate(points[:, :-1], k, recall)
+    fitted.calibrate(points[:32_768, :-1], k, recall)
     index = spark.sparkContext.broadcast(fitted)
 
     stored = scratch.table(classes.mapInArrow(_assign(index), "list int, class_id long, vec binary, members array<long>"))
