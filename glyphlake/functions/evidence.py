@@ -140,3 +140,60 @@ def sarif_results(df: DataFrame, path_col: str = "path") -> DataFrame:
     rule = F.when(c2pa, "AI-WATERMARK-C2PA").when(low.contains("layer-a"), "AI-WATERMARK-UNICODE-LAYER-A").when(low.contains("stylometry"), "AI-STYLES-HIGH-PROBABILITY").otherwise("AI-WATERMARK-METADATA")
     level = F.when(c2pa, "error").when(low.contains("layer-a"), "warning").when(low.contains("stylometry") | (F.col("confidence") == "informational"), "note").otherwise("warning")
     return x.select("uri", "n", "finding", "confidence", rule.alias("rule_id"), level.alias("level"))
+
+
+# Leading bytes (hex) of binary files and what they are.
+MAGIC = [
+    ("504B0304", "a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)"),
+    ("504B0506", "an empty ZIP container"),
+    ("504B0708", "a spanned ZIP container"),
+    ("255044462D", "a PDF"),
+    ("89504E47", "a PNG image"),
+    ("FFD8FF", "a JPEG image"),
+    ("474946383761", "a GIF image"),
+    ("474946383961", "a GIF image"),
+    ("424D", "a BMP image"),
+    ("49492A00", "a TIFF image"),
+    ("4D4D002A", "a TIFF image"),
+    ("52494646", "a RIFF container (WEBP, WAV, AVI)"),
+    ("4F676753", "an Ogg media file"),
+    ("1F8B", "a gzip archive"),
+    ("425A68", "a bzip2 archive"),
+    ("FD377A585A00", "an xz archive"),
+    ("377ABCAF271C", "a 7-Zip archive"),
+    ("526172211A07", "a RAR archive"),
+    ("7F454C46", "an ELF binary"),
+    ("CAFEBABE", "a Java class or Mach-O fat binary"),
+    ("D0CF11E0A1B11AE1", "a legacy Office document (.doc, .xls, .ppt)"),
+    ("53514C69746520666F726D6174203300", "a SQLite database"),
+    ("38425053", "a Photoshop document"),
+    ("774F4646", "a WOFF font"),
+    ("774F4632", "a WOFF2 font"),
+    ("0001000000", "a TrueType font"),
+    ("4F54544F", "an OpenType font"),
+    ("664C6143", "a FLAC audio file"),
+    ("494433", "an ID3 media file"),
+]
+
+
+def binary_reason(content: Column) -> Column:
+    """Why content is no text, empty if it may be: known leading bytes, a NUL in the first 8192 bytes, or over 5 % control bytes there."""
+    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
+    start = F.hex(F.substring(content, 1, 16))
+    controls = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x08\x0E-\x1A\x1C-\x1F]", ""))
+    out = F.when(F.length(head) == 0, "")
+    for prefix, label in MAGIC:
+        out = out.when(start.startswith(prefix), label)
+    return out.when(head.contains("\0"), "binary data (contains NUL bytes)").when(controls > 0.05 * F.length(head), "binary data (dense in control bytes)").otherwise("")
+
+
+def frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with the top-level keys of its front matter and, in ``ai_keys``, those that are evidence by name or value."""
+    block = F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
+    pair = F.transform(
+        F.filter(F.split(block, r"\r?\n"), lambda line: line.rlike(r"^[A-Za-z0-9_.-]+\s*:")),
+        lambda line: F.struct(F.lower(F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)\s*:", 1)).alias("key"), F.regexp_extract(line, r"^[A-Za-z0-9_.-]+\s*:\s*(.*)$", 1).alias("value")),
+    )
+    out = df.withColumn("_pairs", pair)
+    ai = F.filter("_pairs", lambda p: F.when(p.key == "generator", p.value.rlike(TOOL_NAME) | p.value.rlike(GENERATOR_AI)).otherwise(p.key.isin(FRONTMATTER_KEYS) | named_value_is_ai(p.key, p.value)))
+    return out.withColumns({"keys": F.transform("_pairs", lambda p: p.key), "ai_keys": F.transform(ai, lambda p: p.key)}).drop("_pairs")

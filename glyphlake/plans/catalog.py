@@ -363,3 +363,75 @@ def holdout_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("source")))
     k = d.agg(F.max("r").alias("k"))
     return d.join(F.broadcast(k)).select("source", (F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("k") * 0.3, 0))).alias("holdout"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (SELECT doc_id, translate(text, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', repeat('é', 30)) AS text FROM documents)),
+    c AS (SELECT doc_id, len(w) AS n, len(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 3)])) AS k FROM t)
+    SELECT doc_id, n AS tokens, least(4, n) AS skipped_no_context, greatest(0, n - 4) - k AS skipped_repeated, k AS counted FROM c"""
+)
+def replay_counts(spark, sf_dir):
+    from ..functions.keyed import replay_test
+
+    out = replay_test(table(spark, sf_dir, "documents").select("doc_id", "text"), "secret")
+    return out.select("doc_id", "replay.tokens", "replay.skipped_no_context", "replay.skipped_repeated", "replay.counted")
+
+
+def replay_scores(spark, sf_dir):
+    from ..functions.keyed import replay_test
+
+    return replay_test(table(spark, sf_dir, "documents").select("doc_id", "text"), "secret").select("doc_id", "replay.statistic", "replay.p_value", "replay.score", "replay.is_watermarked")
+
+
+query()(replay_scores)
+
+
+@query(
+    """SELECT doc_id, s.seq::INTEGER AS seq, CASE s.seq WHEN 0 THEN 'IHDR' WHEN 1 THEN 'tEXt' ELSE 'IEND' END AS kind, CASE s.seq WHEN 0 THEN 13 WHEN 1 THEN octet_length(encode(source || lang)) ELSE 0 END::BIGINT AS size,
+    s.seq = 1 AND doc_id % 4 = 0 AS marked FROM documents, (VALUES (0), (1), (2)) s(seq)""".replace("source || lang", "source || lang || CASE WHEN doc_id % 4 = 0 THEN 'c2pa' ELSE '' END")
+)
+def png_walk(spark, sf_dir):
+    """Chunks of images that are written around each document's source."""
+    from ..sources.binary import register_walkers
+
+    register_walkers(spark)
+    text = "concat(source, lang, if(doc_id % 4 = 0, 'c2pa', ''))"
+    chunk = lambda kind, body: f"unhex(lpad(hex(octet_length({body})), 8, '0')), cast('{kind}' as binary), {body}, unhex('00000000')"
+    png = f"concat(unhex('89504E470D0A1A0A'), {chunk('IHDR', 'unhex(repeat(chr(48), 26))')}, {chunk('tEXt', f'cast({text} as binary)')}, {chunk('IEND', 'unhex(chr(0) || chr(0))')})".replace("unhex(chr(0) || chr(0))", "cast('' as binary)")
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{png} AS content")
+    out = spark.sql("SELECT doc_id, c.seq, c.kind, c.payload FROM {docs} d, LATERAL png_chunks(d.content) c", docs=docs)
+    return out.select("doc_id", "seq", "kind", F.octet_length("payload").cast("long").alias("size"), F.size(evidence.marker_hits(F.decode("payload", "ISO-8859-1"), evidence.C2PA_MARKERS)).alias("hits")).select("doc_id", "seq", "kind", "size", (F.col("hits") > 0).alias("marked"))
+
+
+@query(
+    """SELECT doc_id, doc_id % 3 = 0 AS has_ai, CASE doc_id % 3 WHEN 0 THEN 'generator' ELSE '' END AS keys FROM documents"""
+)
+def frontmatter_evidence(spark, sf_dir):
+    """Front matter put before each document: a tool key, prose about a name, or none."""
+    head = F.element_at(F.array(F.lit("---\ntitle: x\ngenerator: Claude\n---\n"), F.lit("---\ntitle: Claude Monet\nauthor: y\n---\n"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+    x = evidence.frontmatter(docs)
+    return x.select("doc_id", (F.size("ai_keys") > 0).alias("has_ai"), F.array_join("ai_keys", ",").alias("keys"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a PNG image' WHEN 1 THEN 'binary data (contains NUL bytes)' WHEN 2 THEN 'binary data (dense in control bytes)' ELSE '' END AS reason FROM documents")
+def binary_guard(spark, sf_dir):
+    head = F.element_at(F.array(F.unhex(F.lit("89504E470D0A1A0A")), F.unhex(F.lit("616200")), F.unhex(F.lit("01" * 4000)), F.lit("").cast("binary")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content")).select("doc_id", evidence.binary_reason(F.col("content")).alias("reason"))
+
+
+@query(f"SELECT variant, round(0.5 * rate + 0.3 * (1 - loss / 100) + 0.2 * gain / 100, 6) AS weighted FROM {_VARIANTS} WHERE rate >= 0.1 ORDER BY round(0.5 * rate + 0.3 * (1 - loss / 100) + 0.2 * gain / 100, 6) DESC, variant LIMIT 1")
+def variant_selection(spark, sf_dir):
+    """The best variant over a coverage floor by weighted axes (null if an axis is)."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"))
+    nine = lambda c: F.round(c, 9)
+    v = e.agg(nine(F.avg("value")).alias("gain"), nine(F.avg(F.abs(F.col("value") - 50))).alias("loss"), nine(F.count_if(F.col("value") > 60) / F.count(F.lit(1))).alias("rate"))
+    weighted = F.round(0.5 * F.col("rate") + 0.3 * (1 - F.col("loss") / 100) + 0.2 * F.col("gain") / 100, 6)
+    return v.where("rate >= 0.1").select("variant", weighted.alias("weighted")).orderBy(F.desc("weighted"), "variant").limit(1)
+
+
+@query("SELECT event_type AS variant, CASE WHEN count(value) = 0 THEN 'undetermined' WHEN max(value) >= 95 THEN 'removable' WHEN max(value) >= 50 THEN 'partial' ELSE 'resists' END AS verdict FROM events GROUP BY event_type")
+def variant_verdict(spark, sf_dir):
+    best = F.max("value")
+    verdict = F.when(best.isNull(), "undetermined").when(best >= 95, "removable").when(best >= 50, "partial").otherwise("resists")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant")).agg(verdict.alias("verdict"))
