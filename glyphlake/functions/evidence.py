@@ -188,12 +188,18 @@ def binary_reason(content: Column) -> Column:
 
 
 def frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the top-level keys of its front matter and, in ``ai_keys``, those that are evidence by name or value."""
+    """df with the top-level keys of its front matter, in ``ai_keys`` those that are evidence by name or value, and the findings."""
     block = F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
     pair = F.transform(
         F.filter(F.split(block, r"\r?\n"), lambda line: line.rlike(r"^[A-Za-z0-9_.-]+\s*:")),
-        lambda line: F.struct(F.lower(F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)\s*:", 1)).alias("key"), F.regexp_extract(line, r"^[A-Za-z0-9_.-]+\s*:\s*(.*)$", 1).alias("value")),
+        lambda line: F.struct(F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)\s*:", 1).alias("key"), F.regexp_extract(line, r"^[A-Za-z0-9_.-]+\s*:(.*)$", 1).alias("value")),
     )
     out = df.withColumn("_pairs", pair)
-    ai = F.filter("_pairs", lambda p: F.when(p.key == "generator", p.value.rlike(TOOL_NAME) | p.value.rlike(GENERATOR_AI)).otherwise(p.key.isin(FRONTMATTER_KEYS) | named_value_is_ai(p.key, p.value)))
-    return out.withColumns({"keys": F.transform("_pairs", lambda p: p.key), "ai_keys": F.transform(ai, lambda p: p.key)}).drop("_pairs")
+    by_key = lambda p: F.lower(p.key).isin(FRONTMATTER_KEYS) | p.key.rlike(TOOL_NAME)
+    by_value = lambda p: named_value_is_ai(p.key, p.value)
+    named = lambda test, text: F.transform(F.filter("_pairs", test), lambda p: F.concat(F.lit(text), p.key))
+    return out.withColumns({
+        "keys": F.transform("_pairs", lambda p: p.key),
+        "ai_keys": F.transform(F.filter("_pairs", lambda p: by_key(p) | by_value(p)), lambda p: p.key),
+        "findings": F.concat(named(by_key, "frontmatter key: "), named(by_value, "frontmatter value hit on ")),
+    }).drop("_pairs")
