@@ -10,8 +10,9 @@ from the start (the closest set relation).  For the rest:
    intersection) among the first n - ceil(t n) + c of each.  Only those postings
    are dealt out, as columnar blocks by shingle range; equal sets of a block
    send one posting.
-3. In short posting lists the pairs that length and position allow are counted,
-   and c of them make an edge.  The members of a long list are connected unless
+3. In short posting lists the pairs that length and position allow are counted;
+   a pair is an edge if what its prefixes share, with all that may follow, is
+   enough.  The members of a long list are connected unless
    its length and position bounds rule every pair of a block out (index-level
    skipping).  Connected sets are a candidate group; its sets meet in one task.
 4. Inside a group an inverted index with lists in size order is searched:
@@ -46,8 +47,10 @@ FREQUENT = 1 << 18
 GROUP_HASHES = 6 << 20
 #: Shared prefix shingles that make a pair a candidate.
 SHARED = 4
+#: Stands for enough shared shingles.
+_CONNECTED = 1 << 40
 #: Postings compared as one block within a list; longer lists are connected by blocks.
-LIST_BLOCK = 64
+LIST_BLOCK = 128
 
 
 def _required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -186,10 +189,10 @@ def _lists(percent: int):
             at = start[length == n]
             for part in np.array_split(at, 1 + len(at) * len(i) // 2_000_000):
                 left, right = _possible(size, place, (part[:, None] + i).ravel(), (part[:, None] + j).ravel(), percent)
-                counted.append(_count_pairs(ids[left], ids[right], np.ones(len(left), np.int64), size[right], percent))
+                counted.append(_count_pairs(ids[left], ids[right], np.ones(len(left), np.int64), size[left], size[right], percent))
         for s, n in zip(start[length > LIST_BLOCK].tolist(), length[length > LIST_BLOCK].tolist(), strict=True):
             left, right = _list_edges(size[s : s + n], place[s : s + n], percent)
-            counted.append(_count_pairs(ids[s + left], ids[s + right], np.full(len(left), SHARED), size[s + right], percent))
+            counted.append(_count_pairs(ids[s + left], ids[s + right], np.full(len(left), _CONNECTED), size[s + left], size[s + right], percent))
         if counted:
             low, high, times, need = _merge_pairs(*(np.concatenate(c) for c in zip(*counted, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
@@ -197,9 +200,15 @@ def _lists(percent: int):
     return run
 
 
-def _count_pairs(a: np.ndarray, b: np.ndarray, times: np.ndarray, larger: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """(low id, high id, shared shingles, shared shingles that make an edge) of each pair once; ``larger`` is the larger set's size."""
-    need = np.minimum(SHARED, -((-percent * larger) // 100))
+def _count_pairs(a: np.ndarray, b: np.ndarray, times: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(low id, high id, shared prefix shingles, how many of them make an edge) of each pair once.
+
+    Of the two prefixes one ends first; all shared shingles up to there are in
+    both, so at most the rest of that set can be shared besides.
+    """
+    floor = np.minimum(SHARED, -((-percent * np.maximum(n, m)) // 100))
+    rest = np.maximum(n - _prefix(n, percent, SHARED), m - _prefix(m, percent, SHARED))
+    need = np.maximum(floor, _required(n, m, percent) - rest)
     return _merge_pairs(np.minimum(a, b), np.maximum(a, b), times, need)
 
 
