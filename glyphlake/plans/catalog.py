@@ -206,9 +206,10 @@ def ngram_contrast(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", "text")
     counts = ngrams.context_counts(docs, by=["lang"])
     uni = docs.select("lang", F.explode(ngrams.tokens(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n"))
-    size = {r["lang"]: r["v"] for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v")).collect()}
+    size = {r["lang"]: (r["v"], r["s"]) for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("s")).collect()}  # two rows
+    (en, _), (fr, total) = size.get("en", (0, 0)), size.get("fr", (0, 0))
     of = lambda df, lang: df.where(F.col("lang") == lang).drop("lang")
-    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), size.get("en", 0), size.get("fr", 0), min_context=2, top=5)
+    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), en, fr, total, min_context=2, top=5)
     return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
 
 
@@ -361,8 +362,8 @@ def holdout_split(spark, sf_dir):
     from pyspark.sql import Window
 
     d = table(spark, sf_dir, "documents").select("source").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("source")))
-    k = d.agg(F.max("r").alias("k"))
-    return d.join(F.broadcast(k)).select("source", (F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("k") * 0.3, 0))).alias("holdout"))
+    share = max(1, round(d.count() * 0.3))  # half to even
+    return d.select("source", (F.col("r") <= share).alias("holdout"))
 
 
 @query(
