@@ -203,3 +203,59 @@ def frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
         "ai_keys": F.transform(F.filter("_pairs", lambda p: by_key(p) | by_value(p)), lambda p: p.key),
         "findings": F.concat(named(by_key, "frontmatter key: "), named(by_value, "frontmatter value hit on ")),
     }).drop("_pairs")
+
+
+def av_format(content: Column) -> Column:
+    """Audio or video format by leading bytes; a FLAC may stand behind an ID3 tag."""
+    head = F.hex(F.substring(content, 1, 16))
+    at = lambda i, n: F.substring(head, 2 * i + 1, 2 * n)
+    byte = lambda i: F.conv(at(i, 1), 16, 10).cast("int")
+    tag = 10 + byte(6) * (1 << 21) + byte(7) * (1 << 14) + byte(8) * (1 << 7) + byte(9)
+    behind = F.hex(F.substr(content, (tag + 1).cast("int"), F.lit(4)))
+    sync = at(0, 1).eqNullSafe("FF") & (F.conv(at(1, 1), 16, 10).cast("int") >= 0xE0)
+    return (
+        F.when(at(4, 4) == "66747970", "mp4")
+        .when((at(0, 4) == "52494646") & (at(8, 4) == "57415645"), "wav")
+        .when(at(0, 4) == "664C6143", "flac")
+        .when(at(0, 3) == "494433", F.when(behind == "664C6143", "flac").otherwise("mp3"))
+        .when(sync, "mp3")
+        .otherwise("unknown")
+    )
+
+
+def kind_by_content(path: Column, content: Column) -> Column:
+    """text, image, container, av or unknown: the extension first, then leading bytes; unknown is never text."""
+    known = kind_by_extension(path)
+    start = F.hex(F.substring(content, 1, 5))
+    packed = start.startswith("25504446") | F.ltrim(F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))).rlike(r"^(<\?xml[^>]*>\s*)?<svg\b")
+    return F.when(known != "unknown", known).when(image_format(content) != "unknown", "image").when(av_format(content) != "unknown", "av").when(packed, "container").otherwise("unknown")
+
+
+def data_uris(html: Column) -> Column:
+    """Embedded images of a page: media type, whether base64, and the decoded bytes (null if they do not decode)."""
+
+    def parse(uri):
+        head, body = F.regexp_extract(uri, r"(?is)^data:([^,]*),", 1), F.regexp_extract(uri, r"(?is)^data:[^,]*,(.*)$", 1)
+        packed = F.lower(head).endswith(";base64")
+        # Values that do not decode become null instead of failing the job.
+        raw = F.when(packed, F.try_to_binary(F.try_url_decode(F.regexp_replace(body, r"\+", "%2B")), F.lit("base64"))).otherwise(F.try_to_binary(F.try_url_decode(F.regexp_replace(body, r"\+", "%2B")), F.lit("utf-8")))
+        return F.struct(F.lower(F.regexp_extract(head, r"^([^;]*)", 1)).alias("media_type"), packed.alias("base64"), raw.alias("content"))
+
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(DATA_URI), F.lit(0)), parse)
+
+
+def sitemap_locations(xml: Column) -> Column:
+    """Locations of a sitemap or index; null for documents with a DTD or entities, which are refused."""
+    unsafe = F.upper(xml).rlike("<!DOCTYPE|<!ENTITY")
+    return F.when(~unsafe, F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc\s*>\s*(.*?)\s*</(?:\w+:)?loc\s*>"), F.lit(1)), lambda x: F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))))
+
+
+def evidence_classes(has_c2pa: Column, has_ai_metadata: Column, suspicious_total: Column, detected: Column, style_score: Column, threshold: float = 0.65) -> Column:
+    """The four classes of evidence and their disjunction; a detector or score that is null is no verdict, not a negative one."""
+    provenance = F.coalesce(has_c2pa, F.lit(False)) | F.coalesce(has_ai_metadata, F.lit(False))
+    layer_a = F.coalesce(suspicious_total, F.lit(0)) > 0
+    styled = style_score >= threshold
+    return F.struct(
+        provenance.alias("provenance"), layer_a.alias("layer_a"), detected.alias("detector"), styled.alias("stylometry"),
+        (provenance | layer_a | F.coalesce(detected, F.lit(False)) | F.coalesce(styled, F.lit(False))).alias("suspicious"),
+    )

@@ -436,3 +436,59 @@ def variant_verdict(spark, sf_dir):
     best = F.max("value")
     verdict = F.when(best.isNull(), "undetermined").when(best >= 95, "removable").when(best >= 50, "partial").otherwise("resists")
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant")).agg(verdict.alias("verdict"))
+
+
+@query(
+    f"""WITH {_GRAMS},
+    hits AS (SELECT doc_id, sum(s.score) AS score_sum, count(*) AS applied FROM grams_doc g JOIN (SELECT c1, c2, tok, round(ln(n + 1), 5) AS score FROM ctx WHERE lang = 'en' AND n >= 3) s USING (c1, c2, tok) GROUP BY doc_id)
+    SELECT d.doc_id, round(coalesce(score_sum, 0), 5) AS score_sum, coalesce(applied, 0) AS applied, round(round(score_sum, 5) / applied, 4) AS mean FROM documents d LEFT JOIN hits USING (doc_id)""".replace(
+        "hits AS", "grams_doc AS (SELECT doc_id, tok, lag(tok, 2) OVER w AS c1, lag(tok, 1) OVER w AS c2 FROM (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+|[^\\s\\p{L}\\p{Nd}_]') AS t FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),\n    hits AS"
+    )
+)
+def sequence_scores(spark, sf_dir):
+    """Every document under a scorer of the frequent English trigrams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scorer = ngrams.context_counts(docs.where("lang = 'en'")).where("n >= 3").select("ctx", "tok", F.round(F.log(F.col("n") + 1.0), 5).alias("score"))
+    out = ngrams.sequence_scores(docs, scorer)
+    return out.select("doc_id", F.round("score_sum", 5).alias("score_sum"), "applied", F.round(F.try_divide(F.round("score_sum", 5), F.col("applied")), 4).alias("mean"))
+
+
+@query(
+    f"""SELECT p.page_id, contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') AS provenance, p.page_id % 2 = 0 AS layer_a, CASE WHEN p.page_id % 3 = 0 THEN p.page_id % 5 = 0 END AS detector,
+    contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') OR p.page_id % 2 = 0 OR (p.page_id % 3 = 0 AND p.page_id % 5 = 0) AS suspicious FROM {_PAGES}"""
+)
+def evidence_verdicts(spark, sf_dir):
+    x = evidence.html_evidence(_pages(spark, sf_dir))
+    detected = F.when(F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0)
+    total = F.when(F.col("page_id") % 2 == 0, 2).otherwise(0)
+    return x.select("page_id", evidence.evidence_classes(F.col("has_c2pa"), F.col("has_ai_metadata"), total, detected, F.lit(None).cast("double")).alias("e")).select("page_id", "e.provenance", "e.layer_a", "e.detector", "e.suspicious")
+
+
+@query("SELECT page_id, 'image/png' AS media_type, (page_id % 2 = 0) AS base64, CASE WHEN page_id % 2 = 0 THEN hex(encode('c2pa' || page_id)) ELSE hex(encode('<svg/>')) END AS content FROM pages")
+def page_data_uris(spark, sf_dir):
+    """Pages with one embedded image each, base64 or percent-encoded."""
+    packed = F.concat(F.lit("data:image/png;base64,"), F.base64(F.concat(F.lit("c2pa"), F.col("page_id").cast("string")).cast("binary")))
+    uri = F.when(F.col("page_id") % 2 == 0, packed).otherwise("data:image/png,%3Csvg/%3E")
+    x = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<img src="'), uri, F.lit('">')).alias("html"))
+    x = x.select("page_id", F.explode(evidence.data_uris(F.col("html"))).alias("u"))
+    return x.select("page_id", "u.media_type", "u.base64", F.hex("u.content").alias("content"))
+
+
+@query("SELECT page_id, url AS location FROM pages WHERE page_id % 4 <> 0")
+def sitemap_urls(spark, sf_dir):
+    """Sitemaps of one page each; those with a DTD are refused."""
+    head = F.when(F.col("page_id") % 4 == 0, "<!DOCTYPE x>").otherwise("<?xml version='1.0'?>")
+    xml = F.concat(head, F.lit("<urlset><url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(evidence.sitemap_locations(xml)).alias("location"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'container' WHEN 1 THEN 'image' WHEN 2 THEN 'av' WHEN 3 THEN 'av' WHEN 4 THEN 'container' ELSE 'unknown' END AS kind,
+    CASE page_id % 6 WHEN 2 THEN 'flac' WHEN 3 THEN 'wav' ELSE 'unknown' END AS av FROM pages"""
+)
+def content_kinds(spark, sf_dir):
+    samples = ["68656C6C6F", "89504E470D0A1A0A", "49443303000000000001" + "00" + "664C6143", "5249464600000000" + "57415645", "255044462D", "68656C6C6F"]
+    i = (F.col("page_id") % 6 + 1).cast("int")
+    content = F.element_at(F.array(*(F.unhex(F.lit(s)) for s in samples)), i)
+    path = F.element_at(F.array(*map(F.lit, ["/a/x.HTML", "/a/x", "/a/x.bin", "/x", "/x", "/x"])), i)
+    return table(spark, sf_dir, "pages").select("page_id", evidence.kind_by_content(path, content).alias("kind"), evidence.av_format(content).alias("av"))
