@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .ann import nearest_neighbours
 from .jaccard_join import ngram_jaccard_join
 from .language_id import identify_language, train_language_model
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": oracles.URL_FILTER, "op4_ngram_jaccard_join": oracles.JACCARD, "op10_substring_dedup": oracles.SUBSTRING_DEDUP}
