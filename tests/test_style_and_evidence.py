@@ -57,3 +57,25 @@ def test_html(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
     rows = {r.id: r for r in evidence.html_evidence(df).collect()}
     assert not rows[0].has_ai_metadata and rows[1].has_c2pa and rows[2].findings == ['attr: data-ai-x="1"'] and rows[3].findings == []
+
+
+def test_data_uris_that_do_not_decode(spark):
+    pages = ['<img src="data:image/png;base64,!!!">', '<img src="data:image/gif,%ZZ">', '<img src="data:image/png;base64,YzJwYQ==">', None, ""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
+    rows = {r.id: r.u for r in df.select("id", evidence.data_uris(F.col("html")).alias("u")).collect()}
+    assert rows[0][0].content is None and rows[1][0].content is None and bytes(rows[2][0].content) == b"c2pa" and rows[3] == [] and rows[4] == []
+
+
+def test_sequence_scores(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c"), (2, "x"), (3, None)], "doc_id long, text string")
+    scorer = spark.createDataFrame([(["a", "b"], "c", 0.5)], "ctx array<string>, tok string, score double")
+    rows = {r.doc_id: (r.score_sum, r.applied, r["mean"]) for r in ngrams.sequence_scores(docs, scorer).collect()}
+    assert rows == {1: (1.0, 2, 0.5), 2: (0.0, 0, None), 3: (0.0, 0, None)}
+
+
+def test_frontmatter(spark):
+    texts = ["---\ntitle: x\nGenerator: Claude\nnote: made with C2PA\n---\nbody", "---\nauthor: Claude Monet\n---\n", "no front matter", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = {r.id: r for r in evidence.frontmatter(df).collect()}
+    assert rows[0].ai_keys == ["Generator", "note"] and rows[0].findings[0] == "frontmatter key: Generator"
+    assert rows[1].ai_keys == [] and rows[1]["keys"] == ["author"] and rows[2]["keys"] == [] and rows[3].ai_keys == []
