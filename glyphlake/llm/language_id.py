@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import kernel
 
 UNDETERMINED = "und"
+#: Shares of a language's rows that are ranked apart before the sample is drawn.
+SHARES = 211
 #: Bound of the cost table in bytes (float32 per context, symbol and language).
 TABLE_BYTES = 48 << 20
 
@@ -149,8 +151,12 @@ def train_language_model(docs: DataFrame, learn, *, id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().where(F.length("text").between(1, max_chars))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").join(F.broadcast(most.select("lang")), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).drop("n").toPandas()
+    # In two steps, so that no language's rows meet in one task: the smallest hashes of each share, then of all shares.
+    named = rows.select("id", "lang").join(F.broadcast(most.select("lang")), "lang").distinct().withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        named = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).drop("n")
+    ids = named.select("id", "lang").toPandas()
     if ids.empty:
         return PpmModel({})
     chosen = spark.createDataFrame(ids[["id", "lang"]].drop_duplicates())
