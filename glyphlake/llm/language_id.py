@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from . import kernel
 
 UNDETERMINED = "und"
-#: Shares of a language's rows that are ranked apart before the sample is drawn.
-SHARES = 211
 #: Bound of the cost table in bytes (float32 per context, symbol and language).
 TABLE_BYTES = 48 << 20
 
@@ -144,19 +142,18 @@ def has_letter(block: kernel.Block) -> np.ndarray:
 def train_language_model(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_chars: int = 20_000, max_languages: int = 64) -> PpmModel:
     """Context trees from a bounded sample of the rows where ``learn`` holds.
 
-    Of each of the max_languages most frequent languages (ties by name), the
-    docs_per_language texts of 1 to max_chars characters with the smallest hash
-    of id are learned whole.  Rows with null id, text or language teach nothing.
+    Of each of the max_languages most frequent languages (ties by name), up
+    to docs_per_language texts of 1 to max_chars characters, drawn by hashes of
+    id, are learned whole.  Rows with null id, text or language teach nothing.
     """
     spark = docs.sparkSession
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().where(F.length("text").between(1, max_chars))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    # In two steps, so that no language's rows meet in one task: the smallest hashes of each share, then of all shares.
-    named = rows.select("id", "lang").join(F.broadcast(most.select("lang")), "lang").distinct().withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
-    for keys in (["lang", "share"], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
-        named = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).drop("n")
-    ids = named.select("id", "lang").toPandas()
+    # A language's rows are thinned by hash to some four times the sample before they are ranked: no rank runs over all of them.
+    named = rows.select("id", "lang").join(F.broadcast(most), "lang")
+    named = named.where(F.pmod(F.xxhash64("lang", "id"), F.lit(1 << 40)) * F.col("count").cast("double") < float(4 * docs_per_language << 40))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ids = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("id", "lang").toPandas()
     if ids.empty:
         return PpmModel({})
     chosen = spark.createDataFrame(ids[["id", "lang"]].drop_duplicates())
