@@ -196,9 +196,8 @@ _SETTLED = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 @functools.cache
 def _worker(vocabulary: str):
-    """The tokenizer and the ids of pieces met so far, for as long as a Python worker lives."""
-    tokenizer, encode = _encoder(vocabulary)
-    return tokenizer, PieceIds(encode)
+    """The tokenizer, for as long as a Python worker lives; what it has tokenized goes with the task."""
+    return _encoder(vocabulary)
 
 
 def _encoder(vocabulary: str):
@@ -249,7 +248,8 @@ def _lowered(buf: np.ndarray) -> np.ndarray:
 
 def _token_pieces(vocabulary: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _worker(vocabulary)
+        tokenizer, encode = _worker(vocabulary)
+        known = PieceIds(encode, most=400_000)
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
