@@ -2,8 +2,8 @@
 
 A tokenizer's vocabulary holds what people write, so words, names and paths take
 few tokens and random strings many.  A candidate string whose characters per
-token fall under a limit is reported, unless it is a known digest or identifier:
-those look random but are public.
+token fall under a limit is reported.  Exact digest and UUID shapes look random
+but are public: they are cut out of a candidate, and what is left is tested.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Tells, in linear time, which texts can hold any span at all.
-_WORTH = r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_WORTH = r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shortest candidate, the length from which the full limits hold, and the stricter limit's share of the full one below it.
+_LEAST, _FULL, _STRICTER = 16, 20, 0.9
 KINDS = ("assign", "access", "hex", "random")
 
-#: Public shapes that look random: UUIDs, digests in hex of usual lengths (MD5 to SHA-512, short commit ids do not reach 20), and subresource digests.
-_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_HEX_DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
-_DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
-_SRI = re.compile(r"sha(256|384|512)-[A-Za-z0-9+/]+={0,2}")
+#: Public shapes that look random: UUIDs, digests in hex of usual lengths (MD5 to SHA-512, short commit ids do not reach 16), and subresource digests.
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"
+    r"|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==)(?![A-Za-z0-9])"
+)
+#: What is between separators.
+_PIECE = re.compile(r"[^/=_-]+")
 #: Parts of an identifier: words, constants, numbers, or camel case.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -49,16 +53,6 @@ def tiktoken_encoding(vocabulary: str):
     return tiktoken.Encoding("glyphlake", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_shape(s: str) -> bool:
-    """Known digests and identifiers, which the test leaves out."""
-    if _UUID.fullmatch(s) or _SRI.fullmatch(s) or (len(s) in _DIGEST_SIZES and _HEX_DIGEST.fullmatch(s)):
-        return True
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-        return True  # plain numbers, plain words, rules of signs
-    parts = _PART.findall(s)
-    return sum(map(len, parts)) >= 4.5 * len(parts)  # snake_case, kebab-case, camelCase, paths
-
-
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
@@ -72,23 +66,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def without(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of start to end without the cuts."""
+    for a, b in sorted(cuts):
+        if start < a:
+            yield start, min(a, end)
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 class TokenEfficiency:
-    """Candidates of 20 characters or more under ``chars_per_token`` characters a token."""
+    """Candidates of 20 characters or more under ``chars_per_token`` characters a token; of 16 to 19 under nine tenths of it.
+
+    A candidate is tested whole, then without the words at its ends, then piece
+    by piece between its separators, so that a path glued on hides nothing.
+    """
 
     def __init__(self, vocabulary: str, chars_per_token: float, min_entropy: float):
         self.encoding = tiktoken_encoding(vocabulary)
         self.limit, self.min_entropy = chars_per_token, min_entropy
 
+    def tokens(self, s: str) -> int:
+        return len(self.encoding.encode_ordinary(s))
+
+    def wordy(self, s: str) -> bool:
+        """Whether words of few tokens each make up four fifths of it."""
+        parts = _PART.findall(s)
+        words = sum(len(p) for p in parts if len(p) >= 3 and p.isalpha() and 3 * self.tokens(p) <= len(p))
+        return 5 * words >= 4 * sum(map(len, parts))
+
+    def random(self, s: str) -> bool:
+        n = len(s)
+        if n < _LEAST:
+            return False
+        # A short string cannot reach the entropy asked of long ones.
+        full = n >= _FULL
+        if entropy(s) < (self.min_entropy if full else min(self.min_entropy, math.log2(n) - 0.75)):
+            return False
+        return n < self.limit * (1 if full else _STRICTER) * self.tokens(s) and not self.wordy(s)
+
+    def found(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        if self.random(text[a:b]):
+            return [(a, b)]
+        pieces = [m.span() for m in _PIECE.finditer(text, a, b)]
+        if len(pieces) < 2:
+            return [x for x in pieces if x != (a, b) and self.random(text[slice(*x)])]
+        rest = list(pieces)
+        while rest and self.wordy(text[slice(*rest[0])]):
+            rest.pop(0)
+        while rest and self.wordy(text[slice(*rest[-1])]):
+            rest.pop()
+        if rest and self.random(text[rest[0][0] : rest[-1][1]]):
+            return [(rest[0][0], rest[-1][1])]
+        return [(x, y) for x, y in rest if self.random(text[x:y])]
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
+        reported = [(x, y) for x, _, y in base]
         for m in _CANDIDATE.finditer(text):
-            s = m[0]
-            if known_shape(s) or entropy(s) < self.min_entropy:
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b in base):
-                continue  # reported already
-            if len(s) < self.limit * len(self.encoding.encode_ordinary(s)):
-                out.append((m.start(), 3, m.end()))
+            a, b = m.span()
+            cuts = [k.span() for k in _KNOWN.finditer(m[0])]
+            cuts = [(a + x, a + y) for x, y in cuts] + [(x, y) for x, y in reported if x < b and a < y]
+            for x, y in without(a, b, cuts):
+                out += [(i, 3, j) for i, j in self.found(text, x, y)]
         return out
 
 

@@ -222,6 +222,24 @@ def test_secrets(spark):
     assert rows[6].n_random == 0 and rows[7].n_random == 0
 
 
+def test_random_strings():
+    import random
+    import string
+
+    from glyphlake.llm.secrets import TokenEfficiency, base_spans
+
+    test, draw = TokenEfficiency("byte_bpe_50k.tiktoken", 2.0, 3.5), random.Random(7)
+    found = lambda text: [text[a:b] for a, _, b in test.spans(text, base_spans(text))]
+    some = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    for chars, n, least in [(string.ascii_letters, 32, 190), (string.ascii_uppercase + "234567", 32, 190), (string.ascii_letters + string.digits, 16, 180), (string.ascii_letters + string.digits, 19, 180)]:
+        assert sum(found(f"look {s} here") == [s] for s in (some(chars, n) for _ in range(200))) >= least
+    key, uuid, digest = "xK9pQ2vL7mZ4tR8wB3nY6cF1", "123e4567-e89b-12d3-a456-426614174000", "0F" * 16
+    assert found("/home/user/documents/projects/settings/production/internationalization/documentation/configuration/" * 2 + key) == [key]
+    assert found(f"{'ab12' * 8}/{key}") == [f"/{key}"]  # behind a span of another kind
+    assert found(f"{uuid} /users/{uuid}/profile {digest} integrity=sha256-{'aB3+x' * 8}aB3=") == []
+    assert found("internationalization snake_case_identifier_name2 /usr/local/share/documentation camelCaseIdentifierWithManyWords2 " + "-" * 40) == []
+
+
 def test_quality_rules(docs, empty):
     from glyphlake.llm.quality_rules import quality_rules
 
