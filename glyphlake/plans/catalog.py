@@ -193,6 +193,17 @@ uni AS (SELECT lang, tok, count(*) AS n FROM flat GROUP BY ALL),
 voc AS (SELECT lang, count(*) AS v, sum(n) AS s FROM uni GROUP BY lang)"""
 
 
+def _contrast(spark, sf_dir, **limits):
+    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", "text")
+    counts = ngrams.context_counts(docs, by=["lang"])
+    uni = docs.select("lang", F.explode(ngrams.tokens(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n"))
+    size = {r["lang"]: (r["v"], r["s"]) for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("s")).collect()}  # two rows
+    (en, _), (fr, total) = size.get("en", (0, 0)), size.get("fr", (0, 0))
+    of = lambda df, lang: df.where(F.col("lang") == lang).drop("lang")
+    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), en, fr, total, **limits)
+    return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
+
+
 @query(
     f"""WITH {_GRAMS},
     p AS (SELECT a.c1, a.c2, a.tok, ln(((a.n + .4::DOUBLE) / greatest(ta.total + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'en'), 1) + 1e-6) /
@@ -203,14 +214,14 @@ voc AS (SELECT lang, count(*) AS v, sum(n) AS s FROM uni GROUP BY lang)"""
     SELECT c1, c2, tok, rank, round(score, 5) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 12) DESC, tok))::INTEGER AS rank FROM p) WHERE rank <= 5"""
 )
 def ngram_contrast(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", "text")
-    counts = ngrams.context_counts(docs, by=["lang"])
-    uni = docs.select("lang", F.explode(ngrams.tokens(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n"))
-    size = {r["lang"]: (r["v"], r["s"]) for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("s")).collect()}  # two rows
-    (en, _), (fr, total) = size.get("en", (0, 0)), size.get("fr", (0, 0))
-    of = lambda df, lang: df.where(F.col("lang") == lang).drop("lang")
-    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), en, fr, total, min_context=2, top=5)
-    return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
+    """Contexts found twice or more and their five best; ngram_contrast_all has the operator's own limits."""
+    return _contrast(spark, sf_dir, min_context=2, top=5)
+
+
+@query(_SQL["ngram_contrast"].replace("ta.total >= 2", "ta.total >= 1").replace("rank <= 5", "rank <= 50"))
+def ngram_contrast_all(spark, sf_dir):
+    """Every context and its fifty best."""
+    return _contrast(spark, sf_dir)
 
 
 @query(f"WITH {_GRAMS} SELECT lang, c1, c2, tok, n FROM ctx")
@@ -219,6 +230,15 @@ def ngram_counts(spark, sf_dir):
     return ngrams.context_counts(docs, by=["lang"]).select("lang", F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "n")
 
 
+_ALL_GRAMS = _GRAMS.replace(" WHERE lang IN ('en', 'fr')", "")
+
+
+@query(f"WITH {_ALL_GRAMS} SELECT lang, c1, c2, tok, n FROM ctx")
+def ngram_counts_all(spark, sf_dir):
+    """Trigrams of every language, null among them."""
+    return ngrams.context_counts(table(spark, sf_dir, "documents"), by=["lang"]).select("lang", F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "n")
+
+
 _TURNS = """(SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) turns"""
 
 
@@ -438,6 +458,13 @@ def variant_verdict(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant")).agg(verdict.alias("verdict"))
 
 
+def _sequence_scores(spark, sf_dir, least):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scorer = ngrams.context_counts(docs.where("lang = 'en'")).where(F.col("n") >= least).select("ctx", "tok", F.round(F.log(F.col("n") + 1.0), 5).alias("score"))
+    out = ngrams.sequence_scores(docs, scorer)
+    return out.select("doc_id", F.round("score_sum", 5).alias("score_sum"), "applied", F.round(F.try_divide(F.round("score_sum", 5), F.col("applied")), 4).alias("mean"))
+
+
 @query(
     f"""WITH {_GRAMS},
     hits AS (SELECT doc_id, sum(s.score) AS score_sum, count(*) AS applied FROM grams_doc g JOIN (SELECT c1, c2, tok, round(ln(n + 1), 5) AS score FROM ctx WHERE lang = 'en' AND n >= 3) s USING (c1, c2, tok) GROUP BY doc_id)
@@ -446,11 +473,14 @@ def variant_verdict(spark, sf_dir):
     )
 )
 def sequence_scores(spark, sf_dir):
-    """Every document under a scorer of the frequent English trigrams."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scorer = ngrams.context_counts(docs.where("lang = 'en'")).where("n >= 3").select("ctx", "tok", F.round(F.log(F.col("n") + 1.0), 5).alias("score"))
-    out = ngrams.sequence_scores(docs, scorer)
-    return out.select("doc_id", F.round("score_sum", 5).alias("score_sum"), "applied", F.round(F.try_divide(F.round("score_sum", 5), F.col("applied")), 4).alias("mean"))
+    """Every document under a scorer of the frequent English trigrams; sequence_scores_all takes them all."""
+    return _sequence_scores(spark, sf_dir, 3)
+
+
+@query(_SQL["sequence_scores"].replace(" AND n >= 3", ""))
+def sequence_scores_all(spark, sf_dir):
+    """Every document under a scorer of all English trigrams."""
+    return _sequence_scores(spark, sf_dir, 1)
 
 
 @query(
