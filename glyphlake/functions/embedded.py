@@ -1,0 +1,184 @@
+"""Evidence that a page hides in entities and in embedded images."""
+
+from __future__ import annotations
+
+import base64
+import html
+import re
+import zlib
+from urllib.parse import unquote_to_bytes
+
+from ..sources.binary import bmff_boxes, jpeg_segments, png_chunks, riff_chunks
+
+Found = tuple[bool, bool, list[str]]
+
+# Products that PNG text names, hints in JPEG comments, marks of C2PA in a JPEG as a whole.
+PRODUCTS = ["ChatGPT", "DALL-E", "Midjourney", "Stable Diffusion", "SDXL", "FLUX", "DreamStudio", "Leonardo AI", "Leonardo.Ai", "Craiyon", "NovelAI", "Ideogram", "TensorArt", "Recraft", "Clipdrop", "DeepAI", "NightCafe", "Bing Image Creator", "Adobe Firefly", "Firefly", "Gemini", "Imagen", "Grok", "Sora", "Veo", "Kling", "Runway", "Luma", "Qwen", "GPT-4", "GPT-5"]
+COMMENT_HINTS = ["c2pa", "c2ma", "contentcredentials", "contentauth", "cai:", "digitalSourceType", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "algorithmicMedia", "AIGC", "AI generated", "Generated by AI", "SynthID", "dcterms:provenance"]
+JPEG_C2PA = COMMENT_HINTS[:5]
+_C2PA_HITS = {"c2pa", "jumb", "contentcredentials", "contentauth"}
+_C2PA_UUID = bytes.fromhex("d8fec3d61b0e483c92975828877ec481")
+#: Bounds of an embedded image and of one inflated PNG text, in bytes.
+MAX_IMAGE, MAX_TEXT = 64 << 20, 1 << 20
+_URI = re.compile(r"""(?i)data:image/([a-z0-9+.-]+)((?:;[^"'<>()\s,;]*)*),""")
+_PACKED = re.compile(r"[A-Za-z0-9+/=%\s]+")
+_PLAIN = re.compile(r"""[^"'<>()]+""")
+
+
+def hits(blob: bytes, markers: list[str]) -> list[str]:
+    low = blob.lower()
+    return [m for m in markers if m.lower().encode() in low]
+
+
+def is_c2pa(found: list[str]) -> bool:
+    return any(m.lower() in _C2PA_HITS for m in found)
+
+
+def png_text(kind: str, payload: bytes) -> bytes | None:
+    """The text of a chunk, inflated; null if it is over MAX_TEXT."""
+    head, _, rest = payload.partition(b"\0")
+    packed = kind == "zTXt"
+    if kind == "iTXt" and len(rest) >= 2:
+        packed = rest[0] == 1
+        rest = b"\0" + rest[2:].split(b"\0", 2)[-1]
+    if not packed:
+        return rest.lstrip(b"\0") if kind == "iTXt" else rest or head
+    try:
+        z = zlib.decompressobj()
+        text = z.decompress(rest[1:], MAX_TEXT + 1)
+    except zlib.error:
+        return b""
+    return text if len(text) <= MAX_TEXT else None
+
+
+def _png(data: bytes, vocabulary: list[str], marks: list[str]) -> Found:
+    c2pa, ai, out = False, False, []
+    for _, _, kind, payload, _, note in png_chunks(data):
+        if note:
+            out.append(f"{note} {kind}")
+            break
+        if kind in ("caBX", "juMB", "jumb") or kind.startswith("c2"):
+            c2pa = ai = True
+            out.append(f"PNG chunk {kind} (possible C2PA container)")
+        if kind in ("tEXt", "zTXt", "iTXt", "eXIf"):
+            text = b"" if kind == "eXIf" else png_text(kind, payload)
+            if text is None:
+                out.append(f"PNG {kind}: not fully inspected (decompressed text exceeds cap)")
+                continue
+            found, key = hits(payload + b"\n" + text, vocabulary), payload.partition(b"\0")[0].decode("latin-1")
+            products = [f"{key}={p}" for p in hits(text, PRODUCTS)] if kind != "eXIf" and key.lower() in ("software", "creator", "parameters") else []
+            if found or products:
+                ai, c2pa = True, c2pa or is_c2pa(found)
+                out.append(f"PNG {kind}: " + "; ".join([", ".join(found[:8])] * bool(found) + [f"AI generator ({', '.join(products[:8])})"] * bool(products)))
+    return _whole(data, marks, c2pa, ai, out)
+
+
+def _jpeg(data: bytes, vocabulary: list[str]) -> Found:
+    c2pa, ai, out = False, False, []
+    for _, _, kind, payload, _, note in jpeg_segments(data):
+        if note:
+            out.append(f"{note} at marker 0x{kind}")
+        if kind == "EB" and not note:
+            c2pa = ai = True
+            out.append("JPEG APP11 segment (JUMBF/C2PA common)")
+        found = hits(payload, COMMENT_HINTS if kind == "FE" else vocabulary if kind in ("E1", "E2", "EB", "ED", "EE") else [])
+        if found:
+            ai, c2pa = True, c2pa or is_c2pa(found)
+            out.append(f"JPEG {'COM' if kind == 'FE' else f'APP{int(kind, 16) - 0xE0}'}: {', '.join(found[:8])}")
+    return _whole(data, JPEG_C2PA, c2pa, ai, out)
+
+
+def _webp(data: bytes, vocabulary: list[str]) -> Found:
+    c2pa, ai, out = False, False, []
+    for _, _, kind, payload, _, note in riff_chunks(data):
+        found = hits(payload, vocabulary) if kind in ("XMP ", "EXIF") else []
+        if note:
+            out.append(note)
+        elif kind.upper() == "C2PA":
+            c2pa = ai = True
+            out.append("WebP C2PA chunk")
+        elif found:
+            ai, c2pa = True, c2pa or is_c2pa(found)
+            out.append(f"WebP {kind}: {', '.join(found[:8])}")
+    return c2pa, ai or c2pa, out
+
+
+def _bmff(data: bytes, vocabulary: list[str], marks: list[str]) -> Found:
+    c2pa, ai, out = False, False, []
+    boxes = list(bmff_boxes(data))
+    boxes += [b for x in boxes if x[2] == "meta" and len(x[3]) >= 4 for b in bmff_boxes(x[3][4:])]
+    for _, _, kind, payload, _, _ in boxes:
+        if kind.lower() == "jumb" or kind.lower().startswith("c2") or (kind == "uuid" and payload.startswith(_C2PA_UUID)):
+            c2pa = True
+            out.append(f"ISOBMFF box {kind} (C2PA/JUMBF manifest)")
+        elif kind in ("uuid", "iinf", "infe", "iref", "iloc", "xml ", "bxml") and (found := hits(payload, vocabulary)):
+            ai, c2pa = True, c2pa or is_c2pa(found)
+            out.append(f"ISOBMFF {kind}: {', '.join(found[:8])}")
+    return _whole(data, marks, c2pa, ai, out)
+
+
+def _whole(data: bytes, marks: list[str], c2pa: bool, ai: bool, out: list[str]) -> Found:
+    found = [] if c2pa else hits(data, marks)
+    if found:
+        return True, True, [*out, f"byte-scan C2PA markers: {', '.join(found[:6])}"]
+    return c2pa, ai or c2pa, out
+
+
+def inspect_image(data: bytes, media_type: str, hints: list[str], marks: list[str]) -> tuple[str, Found]:
+    """Format and evidence of an image by its parts; of SVG, GIF, BMP and TIFF by the bytes as a whole."""
+    vocabulary = hints + marks
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "png", _png(data, vocabulary, marks)
+    if data[:2] == b"\xff\xd8":
+        return "jpeg", _jpeg(data, vocabulary)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "webp", _webp(data, vocabulary)
+    if data[4:8] == b"ftyp":
+        return "avif" if b"avi" in data[8:64] else "heic", _bmff(data, vocabulary, marks)
+    starts = {b"GIF87a": "gif", b"GIF89a": "gif", b"BM": "bmp", b"II*\0": "tiff", b"MM\0*": "tiff", b"II+\0": "tiff", b"MM\0+": "tiff"}
+    name = next((x for b, x in starts.items() if data.startswith(b)), "svg" if "svg" in media_type or data.strip().startswith(b"<svg") else "unknown")
+    if name == "unknown":
+        return name, (False, False, [])
+    marked, hinted = hits(data, marks), hits(data, hints)
+    out = [f"marker:{m}" for m in marked] + [f"ai:{m}" for m in hinted if m not in marked]
+    block = name == "svg" and re.search(rb"(?i)<metadata\b", data)
+    xmp = name == "svg" and re.search(rb"(?i)xmpmeta|rdf:RDF|contentcredentials", data)
+    out += ["svg <metadata> present"] * bool(block) + ["XMP/RDF-like content in SVG"] * bool(xmp)
+    return name, (bool(marked), bool(marked or hinted or block or xmp), out)
+
+
+def embedded_images(text: str, hints: list[str], marks: list[str]) -> Found:
+    """Evidence of the data URIs of a page; those that do not decode or are too large have none."""
+    c2pa, ai, out, at = False, False, [], 0
+    while m := _URI.search(text, at):
+        packed = "base64" in m[2].lower()
+        body = (_PACKED if packed else _PLAIN).match(text, m.end())
+        at = body.end() if body else m.end()
+        if not body or len(body[0]) > 2 * MAX_IMAGE:
+            continue
+        try:
+            raw = unquote_to_bytes(body[0])
+            if packed:
+                raw = b"".join(raw.split())
+                raw = base64.b64decode(raw + b"=" * (-len(raw) % 4), validate=True)
+        except ValueError:
+            continue
+        if len(raw) > MAX_IMAGE:
+            continue
+        name, (c, a, found) = inspect_image(raw, m[1].lower(), hints, marks)
+        if c or a:
+            c2pa, ai = c2pa or c, True
+            out.append(f"embedded data:image/{name}: {', '.join(found)}")
+    return c2pa, ai, out
+
+
+def entity_markers(text: str, vocabulary: list[str], all_markers: bool) -> list[str]:
+    """Markers of the text with its entities decoded: those that only decoding shows, or all of them if anything was decoded."""
+    decoded = html.unescape(text)
+    if decoded == text:
+        return []
+    found = hits(decoded.encode("utf-8", "surrogatepass"), vocabulary)
+    if all_markers:
+        return found
+    known = set(hits(text.encode("utf-8", "surrogatepass"), vocabulary))
+    return [m for m in found if m not in known]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import embedded
+
 # Substrings of a lower-cased finding that give its confidence, tried in this order.
 CONFIRMED = ["c2patool reports", "c2pa-related manifest", "png chunk c2", "png chunk cabx", "png chunk jumb", "png chunk jumd", "jpeg app11 segment", "digital_source_type", "digitalsourcetype", "trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia", "softwareagent"]
 INFORMATIONAL = ["cms generator", "customxml parts", "xmp packet present", "unsupported", "not fully inspected", "format not", "svg <metadata> present", "not a valid", "partial read", "truncated chunk", "bad segment length", "svg decode note", "truncated"]
@@ -72,12 +76,33 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(tag, F.lit(rf"""(?i)(?:^|[\s<"'])(?:{name})\s*=\s*["']([^"']*)["']"""), F.lit(1)), F.lit(-1)), F.lit(""))
 
 
-def html_evidence(df: DataFrame, html_col: str = "html") -> DataFrame:
+def hidden_evidence(html: Column, all_markers: bool = False) -> Column:
+    """Evidence of embedded images and of markers in the text with its entities decoded."""
+    vocabulary = AI_HINTS + C2PA_MARKERS
+
+    @F.arrow_udf("struct<c2pa: boolean, ai: boolean, findings: array<string>>")
+    def inspect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                c2pa, ai, findings = embedded.embedded_images(text or "", AI_HINTS, C2PA_MARKERS)
+                if found := embedded.entity_markers(text or "", vocabulary, all_markers):
+                    c2pa, ai = c2pa or embedded.is_c2pa(found), True
+                    findings.append(f"entity-encoded provenance markers: {', '.join(found)}")
+                out.append({"c2pa": c2pa, "ai": ai, "findings": findings})
+            yield pa.array(out, pa.struct([("c2pa", pa.bool_()), ("ai", pa.bool_()), ("findings", pa.list_(pa.string()))]))
+
+    return inspect(html)
+
+
+def html_evidence(df: DataFrame, html_col: str = "html", *, all_markers: bool = False) -> DataFrame:
     """df with has_c2pa, has_ai_metadata and findings of well-formed pages.
 
-    Findings are those of meta tags, JSON-LD blocks, data-ai attributes and
-    entity-encoded markers, in this order.  A generator tag that names no AI tool
-    is informational only.
+    Findings are those of meta tags, JSON-LD blocks, data-ai attributes, embedded
+    images and entity-encoded markers, in this order.  A generator tag that names
+    no AI tool is informational only.  Entity-encoded are the markers that only
+    decoding shows; with all_markers, as in the reference, every marker of a text
+    in which anything was decoded.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     metas = F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0))
@@ -90,16 +115,18 @@ def html_evidence(df: DataFrame, html_col: str = "html") -> DataFrame:
         return F.struct(cms.alias("cms"), ai.alias("ai"), tag.rlike("(?i)c2pa|content[- ]?credential").alias("c2pa"), tag.alias("tag"))
 
     blocks = F.filter(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(0)), lambda b: b.rlike(TOOL_NAME + "|DigitalSourceType|trainedAlgorithmicMedia|SoftwareAgent"))
-    out = df.withColumns({"_metas": F.transform(metas, judge), "_blocks": blocks, "_attrs": F.regexp_extract_all(html, F.lit(DATA_AI), F.lit(0))})
+    out = df.withColumns({"_metas": F.transform(metas, judge), "_blocks": blocks, "_attrs": F.regexp_extract_all(html, F.lit(DATA_AI), F.lit(0)), "_hidden": hidden_evidence(html, all_markers)})
+    h = F.col("_hidden")
     m, b, a = F.col("_metas"), F.col("_blocks"), F.col("_attrs")
     findings = F.concat(
         F.transform(F.filter(m, lambda x: x.cms | x.ai), lambda x: F.concat(F.when(x.cms, "info: cms generator: ").otherwise("meta: "), x.tag)),
         F.transform(b, lambda x: F.lit("json-ld provenance-like block")),
         F.transform(a, lambda x: F.concat(F.lit("attr: "), x)),
+        h.findings,
     )
-    c2pa = F.exists(m, lambda x: x.c2pa) | F.exists(b, lambda x: x.rlike("(?i)c2pa|contentcredential"))
-    ai = F.exists(m, lambda x: x.ai) | (F.size(b) > 0) | (F.size(a) > 0)
-    return out.withColumns({"has_c2pa": c2pa, "has_ai_metadata": ai | c2pa, "findings": findings}).drop("_metas", "_blocks", "_attrs")
+    c2pa = F.exists(m, lambda x: x.c2pa) | F.exists(b, lambda x: x.rlike("(?i)c2pa|contentcredential")) | h.c2pa
+    ai = F.exists(m, lambda x: x.ai) | (F.size(b) > 0) | (F.size(a) > 0) | h.ai
+    return out.withColumns({"has_c2pa": c2pa, "has_ai_metadata": ai | c2pa, "findings": findings}).drop("_metas", "_blocks", "_attrs", "_hidden")
 
 
 def kind_by_extension(path: Column) -> Column:

@@ -322,6 +322,16 @@ def page_evidence(spark, sf_dir):
     return x.select("page_id", "has_c2pa", "has_ai_metadata", F.array_join("findings", "|").alias("findings"))
 
 
+@query()
+def page_evidence_all(spark, sf_dir):
+    """As the reference has it, with an entity-encoded marker and an embedded image put into every seventh and eleventh page."""
+    entity = F.when(F.col("page_id") % 7 == 0, "<p>&#99;2pa</p>").otherwise("")
+    image = F.when(F.col("page_id") % 11 == 0, '<img src="data:image/png;base64,iVBORw0KGgoAAAAAY2FCWAAAAAA=">').otherwise("")
+    x = _pages(spark, sf_dir).withColumn("html", F.concat("html", entity, image))
+    x = evidence.html_evidence(x, all_markers=True)
+    return x.select("page_id", "has_c2pa", "has_ai_metadata", F.array_join("findings", "|").alias("findings"))
+
+
 @query(
     f"""SELECT 'page/' || page_id AS uri, CASE WHEN contains(html, '"p":"c2pa"') THEN 'AI-WATERMARK-C2PA' ELSE 'AI-WATERMARK-METADATA' END AS rule_id,
     CASE WHEN contains(html, '"p":"c2pa"') THEN 'error' WHEN contains(html, 'content="Midjourney AI"') THEN 'warning' ELSE 'note' END AS level,

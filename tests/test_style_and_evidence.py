@@ -79,3 +79,24 @@ def test_frontmatter(spark):
     rows = {r.id: r for r in evidence.frontmatter(df).collect()}
     assert rows[0].ai_keys == ["Generator", "note"] and rows[0].findings[0] == "frontmatter key: Generator"
     assert rows[1].ai_keys == [] and rows[1]["keys"] == ["author"] and rows[2]["keys"] == [] and rows[3].ai_keys == []
+
+
+def test_html_hidden_evidence(spark):
+    import base64
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
+    uri = lambda raw, mime="png": f'<img src="data:image/{mime};base64,{base64.b64encode(raw).decode()}">'
+    png = b"\x89PNG\r\n\x1a\n"
+    packed = b"Software\0\0" + zlib.compress(b"made by Midjourney")
+    pages = ["<p>&#99;2pa</p>", uri(png + chunk(b"caBX", b"")), uri(png + chunk(b"zTXt", packed)), "<p>a &amp; b</p>" + uri(png + chunk(b"tEXt", b"Title\0x")), "<p>c2pa &amp; b</p>", '<img src="data:image/svg+xml,%3Csvg%3E%3Cmetadata/%3E">', uri(b"\xff\xd8\xff\xeb\0\4ab\xff\xd9", "jpeg"), None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
+    rows = {r.id: r for r in evidence.html_evidence(df).collect()}
+    assert rows[0].has_c2pa and rows[0].findings == ["entity-encoded provenance markers: c2pa, C2PA, c2pa, C2PA"]
+    assert rows[1].has_c2pa and rows[1].findings == ["embedded data:image/png: PNG chunk caBX (possible C2PA container)"]
+    assert rows[2].has_ai_metadata and not rows[2].has_c2pa and rows[2].findings == ["embedded data:image/png: PNG zTXt: AI generator (Software=Midjourney)"]
+    assert [rows[i].findings for i in (3, 4, 7)] == [[], [], []] and not rows[3].has_ai_metadata
+    assert rows[5].has_ai_metadata and not rows[5].has_c2pa and rows[6].has_c2pa
+    assert evidence.html_evidence(df.where("id = 4"), all_markers=True).first().has_c2pa
+    assert {r.uri for r in evidence.sarif_results(evidence.html_evidence(df), "id").collect()} == {0, 1, 2, 5, 6}
