@@ -196,3 +196,49 @@ def identify_language(df: DataFrame, model: PpmModel, *, text_col: str = "text")
             yield pa.StructArray.from_arrays([cat(best, pa.string()), cat(score, pa.float64()), cat(rate, pa.float64())], ["lang_pred", "score", "bits_per_byte"])
 
     return df.withColumn("language", predict(F.col(text_col).cast("string")))
+
+
+class RateLimits:
+    """Bits a byte above which a text is in no language of the model: of each language, from (rate, bytes) of its texts that were not learned.
+
+    A text of n bytes may lie over the median rate by three times what the 99th
+    percentile does, and by three deviations of a byte over the root of n.
+    Languages of fewer than LEAST texts take all languages' figures; without any
+    text nothing is rejected.
+    """
+
+    LEAST = 20
+
+    def __init__(self, held_out: dict[str, list[tuple[float, int]]]):
+        pooled = [x for part in held_out.values() for x in part]
+        self.pooled = self._figures(pooled) if pooled else None
+        self.by_language = {lang: self._figures(part) for lang, part in held_out.items() if len(part) >= self.LEAST}
+
+    @staticmethod
+    def _figures(part: list[tuple[float, int]]) -> tuple[float, float]:
+        rate, n = np.array(part, np.float64).T
+        middle = np.median(rate)
+        spread = max(np.quantile(rate, 0.99) - middle, 0.25)
+        return float(middle + 3 * spread), float(3 * 1.4826 * np.median(np.abs(rate - middle) * np.sqrt(n)))
+
+    def exceeded(self, lang_pred, rate, n_bytes):
+        """Columns to a column: whether the rate is over the predicted language's limit."""
+        if self.pooled is None:
+            return F.lit(False)
+        of = lambda figures: figures[0] + figures[1] / F.sqrt(F.greatest(n_bytes, F.lit(1)))
+        limit = of(self.pooled)
+        for lang, figures in self.by_language.items():
+            limit = F.when(lang_pred == lang, of(figures)).otherwise(limit)
+        return rate > limit
+
+
+def held_out_rates(docs: DataFrame, model: PpmModel, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_languages: int = 64) -> RateLimits:
+    """Limits from the rows where ``learn`` does not hold: some docs_per_language of each of the most frequent languages, drawn by hash."""
+    rows = docs.where(~learn & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    drawn = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("lang", "id"), F.lit(1 << 40)) * F.col("count").cast("double") < float(docs_per_language << 40))
+    found = identify_language(drawn, model).where(F.col("language.lang_pred") != UNDETERMINED)
+    parts: dict[str, list[tuple[float, int]]] = {}
+    for r in found.select("language.lang_pred", "language.bits_per_byte", F.octet_length("text").alias("n")).distinct().collect():
+        parts.setdefault(r.lang_pred, []).append((r.bits_per_byte, r.n))
+    return RateLimits(parts)

@@ -290,6 +290,22 @@ def test_language(docs, empty, spark):
     assert {r.language.lang_pred for r in identify_language(docs, nothing).collect()} == {"und"}
 
 
+def test_language_stage_rejects_strange_texts(spark):
+    import random
+    import string
+
+    import corpus_pipeline
+
+    draw, sf = random.Random(3), "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = ["".join(draw.choice(string.ascii_lowercase + "   ") for _ in range(n)) for n in (60, 300, 2000)]
+    strange += ["Gdzie jest najbliższa stacja kolejowa, bo muszę jutro rano pojechać do Krakowa na spotkanie z przyjaciółmi. " * 3, "Это русский текст о погоде и о людях"]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], docs.schema)
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more), sf)
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() >= 0.98 * docs.where("text rlike '[a-z]'").count()
+
+
 def test_language_accuracy(spark):
     from glyphlake.llm.queries import op5_language_id
 
