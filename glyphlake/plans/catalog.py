@@ -396,6 +396,12 @@ def holdout_split(spark, sf_dir):
     return d.select("source", (F.col("r") <= share).alias("holdout"))
 
 
+@query("WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) AS r FROM documents), n AS (SELECT max(r) AS k FROM d) SELECT doc_id, r <= greatest(1, round_even(k * 0.3, 0)) AS holdout FROM d, n")
+def holdout_documents(spark, sf_dir):
+    """Every document on its side of the split; the first share of the sorted ids is held out."""
+    return ngrams.holdout(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 @query(
     """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (SELECT doc_id, translate(text, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', repeat('é', 30)) AS text FROM documents)),
     c AS (SELECT doc_id, len(w) AS n, len(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 3)])) AS k FROM t)

@@ -100,3 +100,12 @@ def test_html_hidden_evidence(spark):
     assert rows[5].has_ai_metadata and not rows[5].has_c2pa and rows[6].has_c2pa
     assert evidence.html_evidence(df.where("id = 4"), all_markers=True).first().has_c2pa
     assert {r.uri for r in evidence.sarif_results(evidence.html_evidence(df), "id").collect()} == {0, 1, 2, 5, 6}
+
+
+def test_holdout(spark):
+    ids = [(i * 7919) % 20011 for i in range(20000)]
+    df = spark.createDataFrame([(i,) for i in [*ids, ids[0], None]], "doc_id long")
+    cut = sorted(ids)[5999]
+    got = [(r.doc_id, r.holdout) for r in ngrams.holdout(df, "doc_id").collect()]
+    assert len(got) == 20002 and all(h == (i is not None and i <= cut) for i, h in got)
+    assert ngrams.kth_key(df, "doc_id", 17, parts=3, least=10) == sorted(ids)[16]
