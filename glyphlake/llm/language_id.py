@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def train_language_model(docs: DataFrame, learn, *, id_col: str = "doc_id", text
     return PpmModel({lang: [t.encode() for t in part["text"]] for lang, part in picked.groupby("lang")})
 
 
-def identify_language(df: DataFrame, model: PpmModel, *, text_col: str = "text") -> DataFrame:
+def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: str = "text") -> DataFrame:
     """df with a struct column ``language``: lang_pred, score, bits_per_byte.
 
     lang_pred is the language with the shortest code of the whole text (ties to
@@ -171,7 +172,7 @@ def identify_language(df: DataFrame, model: PpmModel, *, text_col: str = "text")
     ``und`` with score 0.  Narrow; rows and other columns are kept, a column
     named ``language`` is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -232,7 +233,7 @@ class RateLimits:
         return rate > limit
 
 
-def held_out_rates(docs: DataFrame, model: PpmModel, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_languages: int = 64) -> RateLimits:
+def held_out_rates(docs: DataFrame, model: PpmModel | Broadcast, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_languages: int = 64) -> RateLimits:
     """Limits from the rows where ``learn`` does not hold: some docs_per_language of each of the most frequent languages, drawn by hash."""
     rows = docs.where(~learn & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
