@@ -22,9 +22,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("root")))
     while not edges.isEmpty():
         # Edges are always between current roots.
-        hooks = edges.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("hook"))
+        hooks, made = edges.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("hook")), []
         while True:
             hooks = scratch.table(hooks)
+            made.append(hooks)
             up = hooks.select(F.col("root").alias("hook"), F.col("hook").alias("next"))
             jumped = hooks.join(up, "hook", "left")
             if jumped.where("next is not null").isEmpty():
@@ -34,5 +35,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels, old = scratch.table(relabel(labels, "root").select("id", "root")), labels
         moved = relabel(relabel(edges, "a"), "b").where("a <> b")
         edges, used = scratch.table(moved.selectExpr("greatest(a, b) a", "least(a, b) b").distinct()), edges
-        scratch.drop(old, used)
+        scratch.drop(old, used, *made)
+    scratch.drop(edges)
     return labels

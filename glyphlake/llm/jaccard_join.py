@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact near-duplicate groups by set-relation skipping.
+"""N-gram Jaccard join: near-duplicate groups by set-relation skipping.
 
 Documents are sets of k-word shingles (64-bit hashes).  Equal sets are one set
 from the start (the closest set relation).  For the rest:
@@ -23,7 +23,9 @@ from the start (the closest set relation).  For the rest:
 5. A group too large for one task is cut into blocks by set size, and pairs of
    blocks whose sizes fit are searched the same way, each in its own task.
 
-Identity of sets is a 64-bit fingerprint of the shingle hashes.
+Shingles are compared by 64-bit hashes of their words.  Sets are named by a
+64-bit fingerprint of their shingles and checked by a second one: if two sets of
+one name differ in the second, everything is done again with other fingerprints.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from .components import connected_components
 from .scratch import Members, Scratch, members, partitions
 
 #: Bytes of text whose sets are counted and sent together.
-WINDOW = 16 << 20
+WINDOW = 8 << 20
 #: Entries of the table of frequent shingles (8 bytes each); the rest keep hash order.
 FREQUENT = 1 << 18
 #: Shingle hashes that one task searches at once; larger groups are cut.
@@ -51,6 +53,8 @@ SHARED = 4
 _CONNECTED = 1 << 40
 #: Postings compared as one block within a list; longer lists are connected by blocks.
 LIST_BLOCK = 128
+#: Postings that one bucket of shingles holds on average, at most.
+BUCKET_POSTINGS = 1 << 18
 
 
 def _required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -62,14 +66,15 @@ def _prefix(n: np.ndarray, percent: int, shared: int = 1) -> np.ndarray:
     return np.minimum(n, n - (-((-percent * n) // 100)) + shared)
 
 
-def set_ids(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of sets."""
-    one = kernel.fold(kernel.mix(values ^ np.uint64(0x5851F42D4C957F2D)), offs)
-    two = kernel.fold(kernel.mix(values + np.uint64(0x14057B7EF767814F)), offs)
+def set_ids(values: np.ndarray, offs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit fingerprints of sets; those of different seeds are independent."""
+    salt = kernel.mix(np.array([seed], np.uint64))[0]
+    one = kernel.fold(kernel.mix(values ^ np.uint64(0x5851F42D4C957F2D) ^ salt), offs)
+    two = kernel.fold(kernel.mix(values + (np.uint64(0x14057B7EF767814F) ^ salt)), offs)
     return kernel.mix(one ^ kernel.mix(two + np.diff(offs).astype(np.uint64)))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], k: int, texts: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(batches: Iterator[pa.RecordBatch], k: int, texts: int, seed: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows' batch columns, values, offsets, set ids) of stretches of about WINDOW bytes."""
     held, size = [], 0
     for batch in batches:
@@ -77,16 +82,16 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int, texts: int) -> Iterator[
             held.append((batch.slice(block.first, block.n), *kernel.shingle_sets(block, k)))
             size += len(block.buf)
             if size >= WINDOW:
-                yield _joined(held)
+                yield _joined(held, seed)
                 held, size = [], 0
     if held:
-        yield _joined(held)
+        yield _joined(held, seed)
 
 
-def _joined(held: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+def _joined(held: list, seed: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     values = np.concatenate([h[1] for h in held])
     offs = np.cumsum(np.concatenate([[0], *(np.diff(h[2]) for h in held)]))
-    return [h[0] for h in held], values, offs, set_ids(values, offs)
+    return [h[0] for h in held], values, offs, set_ids(values, offs, 2 * seed)
 
 
 def _distinct(values: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,22 +103,28 @@ def _distinct(values: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> tuple[np
     return values[picked], np.concatenate(([0], np.cumsum(size[first]))), ids[first]
 
 
-def _describe(k: int):
+def _describe(k: int, seed: int):
+    """A row for each document, and one (with hits) for each shingle that a stretch holds more than twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, values, offs, ids in _windows(batches, k, 1):
-            docs = pa.concat_arrays([r.column(0) for r in rows])
+        for rows, values, offs, ids in _windows(batches, k, 2, seed):
+            docs, tags = (pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1))
             n = len(docs)
+            checks = set_ids(values, offs, 2 * seed + 1)
             once, _, _ = _distinct(values, offs, ids)
             token, count = np.unique(once, return_counts=True)
             token, count = token[count > 2], count[count > 2]
+            none = np.zeros(len(token), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([docs, pa.nulls(len(token), docs.type)]),
-                    pa.array(np.concatenate([np.diff(offs), np.zeros(len(token), np.int64)])),
+                    pa.concat_arrays([tags, pa.nulls(len(token), tags.type)]),
+                    pa.array(np.concatenate([np.diff(offs), none])),
                     pa.array(np.concatenate([ids, token]).view(np.int64)),
+                    pa.array(np.concatenate([checks.view(np.int64), none])),
                     pa.array(np.concatenate([np.zeros(n, np.int64), count])),
                 ],
-                ["doc_id", "n_shingles", "id", "hits"],
+                ["doc_id", "tag", "n_shingles", "id", "proof", "hits"],
             )
 
     return run
@@ -128,12 +139,12 @@ def _in_order(values: np.ndarray, offs: np.ndarray, frequent: np.ndarray, rank:
     return np.lexsort((late, np.repeat(np.arange(len(offs) - 1), np.diff(offs))))
 
 
-def _post(k: int, percent: int, frequent, buckets: int):
+def _post(k: int, percent: int, frequent, buckets: int, seed: int):
     """Columnar blocks of postings by shingle range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
-        for _, values, offs, ids in _windows(batches, k, 0):
+        for _, values, offs, ids in _windows(batches, k, 0, seed):
             values, offs, ids = _distinct(values, offs, ids)
             size = np.diff(offs)
             values = values[_in_order(values, offs, hot, rank)]
@@ -158,20 +169,14 @@ def _post(k: int, percent: int, frequent, buckets: int):
 
 
 def _lists(percent: int):
-    """Edges that connect every pair of sets which a posting list leaves possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for token, owner, place, ids, sizes in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                own = np.frombuffer(owner, np.uint32)
-                got[0].append(np.frombuffer(token, np.uint64))
-                got[1].append(np.frombuffer(ids, np.uint64)[own])
-                got[2].append(np.frombuffer(sizes, np.int64)[own])
-                got[3].append(np.frombuffer(place, np.uint32).astype(np.int64))
-        if not got[0]:
-            return
-        token, ids, size, place = map(np.concatenate, got)
+    """Rows of one bucket after another -> edges that connect every pair of sets which a posting list leaves possible."""
+
+    def solve(rows: list[list[bytes]]) -> pa.RecordBatch | None:
+        owner = [np.frombuffer(r[1], np.uint32) for r in rows]
+        token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+        ids = np.concatenate([np.frombuffer(r[3], np.uint64)[own] for r, own in zip(rows, owner, strict=True)])
+        size = np.concatenate([np.frombuffer(r[4], np.int64)[own] for r, own in zip(rows, owner, strict=True)])
+        place = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) for r in rows])
         _, run_of, run_size = np.unique(token, return_inverse=True, return_counts=True)
         keep = np.flatnonzero(run_size[run_of] > 1)
         order = keep[np.lexsort((ids[keep], size[keep], token[keep]))]
@@ -180,7 +185,7 @@ def _lists(percent: int):
         again[1:] = (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])  # one set from several blocks
         token, ids, size, place = token[~again], ids[~again], size[~again], place[~again]
         if not len(token):
-            return
+            return None
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length = np.diff(np.concatenate((start, [len(token)])))
         counted: list[tuple[np.ndarray, ...]] = []
@@ -193,9 +198,15 @@ def _lists(percent: int):
         for s, n in zip(start[length > LIST_BLOCK].tolist(), length[length > LIST_BLOCK].tolist(), strict=True):
             left, right = _list_edges(size[s : s + n], place[s : s + n], percent)
             counted.append(_count_pairs(ids[s + left], ids[s + right], np.full(len(left), _CONNECTED), size[s + left], size[s + right], percent))
-        if counted:
-            low, high, times, need = _merge_pairs(*(np.concatenate(c) for c in zip(*counted, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
+        if not counted:
+            return None
+        low, high, times, need = _merge_pairs(*(np.concatenate(c) for c in zip(*counted, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(times), pa.array(need)], ["a", "b", "times", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in kernel.by_first(batches):
+            if out := solve(rows):
+                yield out
 
     return run
 
@@ -369,10 +380,10 @@ def _search(percent: int, paired: bool):
     return run
 
 
-def _contents(k: int, wanted):
+def _contents(k: int, wanted, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: Members = wanted.value
-        for _, values, offs, ids in _windows(batches, k, 0):
+        for _, values, offs, ids in _windows(batches, k, 0, seed):
             values, offs, ids = _distinct(values, offs, ids)
             picked = np.flatnonzero(keep.has(ids))
             for at in range(0, len(picked), 512):
@@ -382,20 +393,52 @@ def _contents(k: int, wanted):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; exact.
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_first: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
     shingle sets; component_id is the smallest id reachable by links.  Null or
     wordless texts have an empty set and link with nothing.  Rows with a null id
     take part in links but never name a component (a group of such rows alone
-    has a null component).  Repeated rows are copies.  Other columns are ignored.
+    has a null component).  Repeated rows are copies.  Rows of one id with
+    different texts are different sets; an id can so stand in several components.
+    Other columns, whatever their names, are ignored.  An empty table gives none.
+
+    with_first adds tag (xxhash64 of the text) and is_first: of each component,
+    the rows with the smallest (doc_id, tag); of an empty set, every row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = base.select("text")
-    described = scratch.table(base.mapInArrow(_describe(k), "doc_id long, n_shingles long, id long, hits long"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    for seed in range(8):
+        described = scratch.table(base.mapInArrow(_describe(k, seed), "doc_id long, tag long, n_shingles long, id long, proof long, hits long"))
+        # One row for each distinct set, with the first of its documents.
+        named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
+        sets = described.where("hits = 0 and n_shingles > 0").groupBy("id")
+        sets = scratch.table(sets.agg(F.first("n_shingles").alias("n"), F.min(named).alias("first"), F.min("proof").alias("low"), F.max("proof").alias("high")))
+        if sets.where("low <> high").isEmpty():
+            break
+        scratch.drop(described, sets)
+    else:
+        raise RuntimeError("sets can't be told apart")
+    sets = sets.select("id", "n", "first")
+    final = _components(base.select("text"), described, sets, scratch, k, percent, seed)
+    linked = sets.join(final, "id").select("id", "root", "first")
+    best = scratch.table(linked.groupBy("root").agg(F.min("first").alias("best")))
+    linked = linked.join(best, "root").select("id", "best")
+    answers = sets.join(linked, "id", "left").select("id", F.coalesce("best", "first").alias("first"))
+    rows = described.where("hits = 0")
+    solid = rows.where("n_shingles > 0").join(scratch.table(answers), "id", "left")
+    solid = solid.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "tag", F.struct("doc_id", "tag").eqNullSafe(F.col("first")).alias("is_first"))
+    hollow = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("is_first"))
+    out = solid.unionByName(hollow)
+    return out if with_first else out.drop("tag", "is_first")
+
+
+def _components(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, seed: int) -> DataFrame:
+    """(id, root) of every set that has a link."""
+    spark = texts.sparkSession
     top = described.where("hits > 0").groupBy("id").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "id").limit(FREQUENT).toPandas()
     token = top["id"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(token)
@@ -404,34 +447,31 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rank[np.lexsort((token, hits))] = np.arange(len(top))
     frequent = spark.sparkContext.broadcast((token[by], rank[by]))
 
-    buckets = 8 * partitions(spark)
-    posted = texts.mapInArrow(_post(k, percent, frequent, buckets), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
-    pairs = posted.repartition(partitions(spark), "bucket").mapInArrow(_lists(percent), "a long, b long, times long, need long")
+    postings = sets.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + SHARED)).first()[0] or 0
+    buckets = max(8 * partitions(spark), int(postings) // BUCKET_POSTINGS)
+    posted = texts.mapInArrow(_post(k, percent, frequent, buckets, seed), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
+    pairs = posted.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), "a long, b long, times long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
     edges = scratch.table(pairs.where("times >= need").select("a", "b"))
     del pairs
     del posted
     scratch.release()
-    groups = scratch.table(connected_components(edges, scratch))
+    groups = connected_components(edges, scratch)
     wanted = spark.sparkContext.broadcast(members(groups, "id"))
 
     # Groups by the number of their hashes; those over the limit are cut into blocks in order of size.
-    sizes = described.where("n_shingles > 0").groupBy("id").agg(F.first("n_shingles").alias("n"))
-    large = scratch.table(groups.join(sizes, "id").groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > GROUP_HASHES).select("root"))
-    found = texts.mapInArrow(_contents(k, wanted), "id long, hashes binary")
+    large = scratch.table(groups.join(sets.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > GROUP_HASHES).select("root"))
+    found = texts.mapInArrow(_contents(k, wanted, seed), "id long, hashes binary")
     links = _links_in(found, groups if large.isEmpty() else groups.join(large, "root", "left_anti"), percent)
     if not large.isEmpty():
         links = links.unionByName(_large_groups(scratch.table(_once(found, groups.join(large, "root"))), percent, scratch))
     links = scratch.table(links)
     del found
+    scratch.drop(edges, groups)
     scratch.release()
     final = connected_components(links, scratch)
-    out = described.where("hits = 0").drop("hits")
-    out = out.join(final, "id", "left").withColumn("key", F.coalesce("root", "id"))
-    solid = out.where("n_shingles > 0")
-    least = solid.groupBy("key").agg(F.min("doc_id").alias("component_id"))
-    solid = solid.select("doc_id", "n_shingles", "key").join(least, "key").select("doc_id", "n_shingles", "component_id")
-    return solid.unionByName(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    scratch.drop(links)
+    return final
 
 
 def _once(found: DataFrame, groups: DataFrame) -> DataFrame:

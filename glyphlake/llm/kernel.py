@@ -200,3 +200,18 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
         count[short] = 1
         offs = np.concatenate(([0], np.cumsum(count)))
     return unique_per_doc(values, offs)
+
+
+def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Rows, without their first column, of each stretch of equal values in it."""
+    key, rows = None, []
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            for k, *row in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
+                if k != key and rows:
+                    yield rows
+                    rows = []
+                key = k
+                rows.append(row)
+    if rows:
+        yield rows

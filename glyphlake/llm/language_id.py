@@ -1,12 +1,12 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a tree of byte contexts of up to three bytes with frozen
+Each language has trees of byte contexts of up to three bytes with frozen
 counts.  A byte's probability comes from the longest context known to the
 language, with method C escape probabilities and full exclusion down to a
 uniform last order, so the sum of -log2 over a text is the exact length of its
-PPM code.  As the counts are frozen, the cost of a byte depends on its context
-alone: costs of all contexts are worked out once, as one table (context, byte,
-language), and a text is scored by gathers from it.  The smallest code wins.
+PPM code.  As the counts are frozen, the cost of a byte depends on the three
+bytes before it alone: each distinct run of four bytes is worked out once, and
+kept in a table of bounded size that is found by hash.  The smallest code wins.
 """
 
 from __future__ import annotations
@@ -22,112 +22,124 @@ from pyspark.sql import functions as F
 from . import kernel
 
 UNDETERMINED = "und"
-#: Bound of the cost table in bytes (float32 per context, symbol and language).
-TABLE_BYTES = 48 << 20
+#: Bytes of a worker's table of costs that were worked out before.
+TABLE_BYTES = 32 << 20
+#: Bytes of all languages' samples together.
+SAMPLE_BYTES = 32 << 20
+#: More distinct labels than this are no languages: an error.
+MAX_LANGUAGES = 4096
+#: Bytes scored at a time.
+_STRETCH = 1 << 20
+
+
+def _grams(buf: np.ndarray, offs: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+    """The run of four bytes that ends at each place in [a, b), as one number; 0xFF, which UTF-8 never has, stands before a text."""
+    b = len(buf) if b is None else b
+    own = np.full(b - a + 3, 0xFF, np.uint32)
+    low = max(a - 3, 0)
+    own[3 - (a - low) :] = buf[low:b]
+    out = own[3:].copy()
+    starts = np.unique(offs[:-1])
+    for back in (1, 2, 3):
+        before = own[3 - back : len(own) - back].copy()
+        for after in range(back):  # places less than ``back`` bytes behind a text's start
+            at = starts + after - a
+            before[at[(at >= 0) & (at < b - a)]] = 0xFF
+        out |= before << np.uint32(8 * back)
+    return out
 
 
-class PpmModel:
-    """Frozen context trees of several languages as one cost table.
+class _Tree:
+    """Counts of one language: of each order, the runs that occur, and of each context its total, kinds, and what its symbols total one order lower."""
+
+    def __init__(self, grams: np.ndarray):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.contexts: list[tuple[np.ndarray, ...]] = []
+        for order in range(4):
+            run, count = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_counts=True)
+            count = count.astype(np.float64)
+            context, first = np.unique(run >> np.uint32(8), return_index=True)
+            lower = np.zeros(len(run))
+            if order:
+                keys, below = self.runs[-1]
+                lower = below[np.searchsorted(keys, run & np.uint32((1 << 8 * order) - 1))]
+            sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: B023, E731
+            self.runs.append((run, count))
+            self.contexts.append((context, sums(count), sums(np.ones(len(run))), sums(lower)))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Cost of the last byte of each run after the three before it."""
+        n = len(grams)
+        out, spent, open_ = np.zeros(n), np.zeros(n), np.ones(n, bool)
+        gone, gone_kinds = np.zeros(n), np.zeros(n)  # what higher orders exclude
+        for order in (3, 2, 1, 0):
+            own = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            count = _found(own, self.runs[order][0], self.runs[order][1])
+            total, kinds, lower = (_found(own >> np.uint32(8), self.contexts[order][0], x) for x in self.contexts[order][1:])
+            left, left_kinds = total - gone, kinds - gone_kinds
+            whole = np.log2(np.maximum(left + left_kinds, 1))
+            seen = open_ & (count > 0)
+            out[seen] = spent[seen] + whole[seen] - np.log2(count[seen])
+            open_ &= ~seen
+            spent += np.where(left_kinds > 0, whole - np.log2(np.maximum(left_kinds, 1)), 0)
+            gone, gone_kinds = np.where(total > 0, lower, gone), np.where(total > 0, kinds, gone_kinds)
+        return np.where(open_, spent + np.log2(np.maximum(256 - gone_kinds, 1)), out)
+
+
+def _found(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
-    The alphabet is the training texts' most frequent bytes and one symbol, 0,
-    for all others and for the places before a text.
-    """
 
-    def __init__(self, samples: dict[str, list[bytes]], max_symbols: int = 128, min_context: int = 2):
+class PpmModel:
+    """Frozen context trees of several languages."""
+
+    def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        joined = [np.frombuffer(b"".join(samples[x]), np.uint8) for x in self.languages]
-        total = sum((np.bincount(j, minlength=256) for j in joined), np.zeros(256, np.int64))
-        kept = [b for b in np.argsort(-total, kind="stable").tolist() if total[b]][: max_symbols - 1]
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[sorted(kept)] = np.arange(1, len(kept) + 1)
-        self.size = a = len(kept) + 1
-        grams = []
+        self.trees = []
         for x in self.languages:
-            parts = [self.symbol[np.frombuffer(t, np.uint8)] for t in samples[x] if t]
-            s = np.concatenate([np.concatenate(([0, 0, 0], p)) for p in parts]) if parts else np.zeros(0, np.int64)
-            inside = np.concatenate([np.concatenate((np.zeros(3, bool), np.ones(len(p), bool))) for p in parts]) if parts else np.zeros(0, bool)
-            at = np.flatnonzero(inside)
-            grams.append((s[at - 3] * a * a + s[at - 2] * a + s[at - 1], s[at]))
-        self._build(grams, min_context)
-
-    def _build(self, grams: list[tuple[np.ndarray, np.ndarray]], min_context: int) -> None:
-        a, langs = self.size, len(self.languages)
-        rows = max(2 * a, TABLE_BYTES // (4 * a * max(langs, 1)))
-        seen3 = sum((np.bincount(c, minlength=a**3) for c, _ in grams), np.zeros(a**3, np.int64))
-        seen2 = seen3.reshape(a, a * a).sum(0)
-        # States: the empty context's successors of order 1 always, order 2 and 3 by frequency as far as the table goes.
-        two = [c for c in np.argsort(-seen2, kind="stable")[: (rows - a) // 2].tolist() if seen2[c]]
-        three = np.argsort(-seen3, kind="stable")[: rows - a - len(two)]
-        three = three[seen3[three] >= min_context]
-        two = np.array(two, np.int64)
-        one = np.arange(a)
-        self.state = np.tile(one, a * a).astype(np.int32)
-        by_two = np.full(a * a, -1, np.int32)
-        by_two[two] = a + np.arange(len(two))
-        full = np.tile(by_two, a)
-        self.state = np.where(full >= 0, full, self.state)
-        self.state[three] = a + len(two) + np.arange(len(three))
-        n = a + len(two) + len(three)
-        cost = np.empty((n, a, langs), np.float32)
-        last1 = np.concatenate((one, two % a, three % a))
-        for k, (context, symbol) in enumerate(grams):
-            n0 = np.bincount(symbol, minlength=a).astype(np.float64)
-            n1 = np.bincount(context % a * a + symbol, minlength=a * a).reshape(a, a).astype(np.float64)
-            orders = [(np.arange(n), n0[None, :].repeat(n, 0)), (np.arange(n), n1[last1])]
-            count2 = self._rows(context % (a * a), symbol, two, np.concatenate((two, three % (a * a))))
-            orders.append((np.arange(a, n), count2))
-            orders.append((np.arange(a + len(two), n), self._rows(context, symbol, three, three)))
-            cost[:, :, k] = self._costs(n, orders)
-        self.cost = cost.reshape(n * a, langs)
-
-    def _rows(self, context: np.ndarray, symbol: np.ndarray, known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Counts of symbols after each wanted context (zeros for contexts that aren't known)."""
-        a = self.size
-        if not len(known) or not len(wanted):
-            return np.zeros((len(wanted), a))
-        order = np.sort(known)
-        at = np.minimum(np.searchsorted(order, context), len(order) - 1)
-        hit = order[at] == context
-        counts = np.bincount(at[hit] * a + symbol[hit], minlength=len(order) * a).reshape(-1, a).astype(np.float64)
-        to = np.minimum(np.searchsorted(order, wanted), len(order) - 1)
-        return counts[to] * (order[to] == wanted)[:, None]
-
-    def _costs(self, n: int, orders: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Bits of each symbol in each state: escapes downwards, with the symbols of higher orders excluded."""
-        a = self.size
-        out, bits, open_ = np.zeros((n, a)), np.zeros(n), np.ones((n, a), bool)
-        for rows, counts in reversed(orders):
-            counts = counts * open_[rows]
-            seen = counts > 0
-            total, kinds = counts.sum(1), seen.sum(1)
-            known = kinds > 0
-            whole = np.where(known, total + kinds, 1)
-            here = bits[rows][:, None] + np.log2(whole)[:, None] - np.log2(np.where(seen, counts, 1))
-            part = out[rows]
-            part[seen] = here[seen]
-            out[rows] = part
-            bits[rows] += np.where(known, np.log2(whole) - np.log2(np.maximum(kinds, 1)), 0)
-            open_[rows] &= ~seen
-        left = open_.sum(1)
-        return np.where(open_, bits[:, None] + np.log2(np.maximum(left, 1))[:, None], out)
+            texts = [t for t in samples[x] if t]
+            offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+            self.trees.append(_Tree(_grams(np.frombuffer(b"".join(texts), np.uint8), offs)))
+        self._known: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": None}
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """(language, run): bits of the last byte of each run."""
+        return np.stack([tree.bits(grams) for tree in self.trees])
 
     def bits(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Code length of each document under each language."""
-        a = self.size
-        if not len(buf):
-            return np.zeros((len(offs) - 1, len(self.languages)))
-        s = self.symbol[buf]
-        context, before = np.zeros(len(s), np.int64), s
-        starts = np.unique(offs[:-1][offs[:-1] < len(s)])
-        for scale in (1, a, a * a):
-            before = np.concatenate(([0], before[:-1]))
-            before[starts] = 0
-            context += before * scale
-        cell = self.state[context].astype(np.int64) * a + s
         out = np.zeros((len(offs) - 1, len(self.languages)))
-        full = np.flatnonzero(np.diff(offs))
-        for k in range(len(self.languages)):
-            out[full, k] = np.add.reduceat(self.cost[:, k][cell], offs[:-1][full], dtype=np.float64)
+        if self._known is None:  # 0xFFFFFFFF is no run: its last byte can't be
+            slots = max(12, (TABLE_BYTES // (4 * (len(self.languages) + 1))).bit_length() - 1)
+            self._known = np.full(1 << slots, 0xFFFFFFFF, np.uint32), np.zeros((len(self.languages), 1 << slots), np.float32)
+        keys, known = self._known
+        shift = np.uint32(33 - len(keys).bit_length())
+        for a in range(0, len(buf), _STRETCH):
+            b = min(a + _STRETCH, len(buf))
+            grams = _grams(buf, offs, a, b)
+            slot = (grams * np.uint32(0x9E3779B1)) >> shift
+            lost = np.flatnonzero(keys[slot] != grams)
+            new, place = np.unique(grams[lost], return_inverse=True)
+            costs = self.costs(new) if len(new) else None
+            inside = np.clip(offs, a, b) - a
+            some = np.flatnonzero(np.diff(inside))
+            for k in range(len(self.languages)):
+                cost = known[k][slot]
+                if costs is not None:
+                    cost[lost] = costs[k][place]
+                out[some, k] += np.add.reduceat(cost, inside[some], dtype=np.float64)
+            if costs is not None:
+                to = (new * np.uint32(0x9E3779B1)) >> shift
+                keys[to] = new
+                last = keys[to] == new  # of runs with one slot the last stays
+                known[:, to[last]] = costs[:, last]
         return out
 
 
@@ -140,37 +152,62 @@ def has_letter(block: kernel.Block) -> np.ndarray:
     return out
 
 
-def train_language_model(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_chars: int = 20_000, max_languages: int = 64) -> PpmModel:
-    """Context trees from a bounded sample of the rows where ``learn`` holds.
+def _thinned(docs: DataFrame, condition, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int]:
+    """(lang, h, text) of about ``per_language`` distinct (id, text) of each language, or all of them, drawn by hash; and the number of languages.
 
-    Of each of the max_languages most frequent languages (ties by name), up
-    to docs_per_language texts of 1 to max_chars characters, drawn by hashes of
-    id, are learned whole.  Rows with null id, text or language teach nothing.
+    The rate of a language follows from the estimated number of its distinct (id,
+    text), so copies neither crowd others out nor can all miss the draw.
     """
+    rows = docs.where(condition).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().where("text <> ''")
+    rows = rows.select("lang", F.xxhash64("id", "text").alias("h"), "text")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).limit(MAX_LANGUAGES + 1).toPandas()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     spark = docs.sparkSession
-    rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().where(F.length("text").between(1, max_chars))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    # A language's rows are thinned by hash to some four times the sample before they are ranked: no rank runs over all of them.
-    named = rows.select("id", "lang").join(F.broadcast(most), "lang")
-    named = named.where(F.pmod(F.xxhash64("lang", "id"), F.lit(1 << 40)) * F.col("count").cast("double") < float(4 * docs_per_language << 40))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("id", "lang").toPandas()
-    if ids.empty:
+    if counts.empty:
+        return spark.createDataFrame([], "lang string, h long, text string"), 0
+    rate = F.broadcast(spark.createDataFrame(counts).select("lang", (F.lit(float(per_language << 40)) / F.col("count")).alias("rate")))
+    drawn = rows.join(rate, "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("rate"))
+    return drawn.select("lang", "h", "text"), len(counts)
+
+
+def train_language_model(
+    docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, bytes_per_language: int = 1 << 20, max_chars: int = 50_000
+) -> PpmModel:
+    """Context trees of every language of the rows where ``learn`` holds, from a bounded sample.
+
+    Of each language up to docs_per_language distinct (id, text) are learned, in
+    the order of a hash of both, as far as bytes_per_language goes (less if
+    there are so many languages that all samples would exceed SAMPLE_BYTES), one
+    at least.  Of a text of over max_chars characters a stretch of that length is
+    learned, at a place given by the hash.  Rows with null id, text or language
+    and empty texts teach nothing; repeated rows teach once.  Without any row to
+    learn from, the model knows no language.  More than MAX_LANGUAGES are refused.
+    """
+    # Four times the sample is drawn, then ranked: no rank runs over all rows.
+    drawn, languages = _thinned(docs, learn, 4 * docs_per_language, id_col, text_col, lang_col)
+    if not languages:
         return PpmModel({})
-    chosen = spark.createDataFrame(ids[["id", "lang"]].drop_duplicates())
-    picked = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").limit(2 * docs_per_language * max_languages).toPandas()
-    picked = picked.sort_values(["lang", "id", "text"])
+    size = F.length("text")
+    stretch = F.when(size > max_chars, F.substring(F.col("text"), (F.pmod("h", size - max_chars + 1) + 1).cast("int"), F.lit(max_chars))).otherwise(F.col("text"))
+    drawn = drawn.withColumn("text", stretch).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = drawn.withColumns({"n": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    most = min(bytes_per_language, SAMPLE_BYTES // languages)
+    picked = ranked.where((F.col("n") == 1) | (F.col("n") <= docs_per_language) & (F.col("bytes") <= most)).select("lang", "n", "text").toPandas()
+    picked = picked.sort_values(["lang", "n"])
     return PpmModel({lang: [t.encode() for t in part["text"]] for lang, part in picked.groupby("lang")})
 
 
-def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: str = "text") -> DataFrame:
-    """df with a struct column ``language``: lang_pred, score, bits_per_byte.
+def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """df with a struct column ``out_col``: lang_pred, score, bits_per_byte.
 
     lang_pred is the language with the shortest code of the whole text (ties to
     the first name), score its posterior under equal priors.  A null text, one
     without a letter, or any text under a model that has learned nothing is
-    ``und`` with score 0.  Narrow; rows and other columns are kept, a column
-    named ``language`` is replaced.
+    ``und`` with score 0.  Very long texts are coded whole.  Narrow; rows,
+    repeated ones too, and other columns are kept, a column named ``out_col`` is
+    replaced; an empty table stays empty.
     """
     shared = model if isinstance(model, Broadcast) else df.sparkSession.sparkContext.broadcast(model)
 
@@ -196,7 +233,7 @@ def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: s
             cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
             yield pa.StructArray.from_arrays([cat(best, pa.string()), cat(score, pa.float64()), cat(rate, pa.float64())], ["lang_pred", "score", "bits_per_byte"])
 
-    return df.withColumn("language", predict(F.col(text_col).cast("string")))
+    return df.withColumn(out_col, predict(F.col(text_col).cast("string")))
 
 
 class RateLimits:
@@ -233,13 +270,13 @@ class RateLimits:
         return rate > limit
 
 
-def held_out_rates(docs: DataFrame, model: PpmModel | Broadcast, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_languages: int = 64) -> RateLimits:
-    """Limits from the rows where ``learn`` does not hold: some docs_per_language of each of the most frequent languages, drawn by hash."""
-    rows = docs.where(~learn & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    drawn = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("lang", "id"), F.lit(1 << 40)) * F.col("count").cast("double") < float(docs_per_language << 40))
-    found = identify_language(drawn, model).where(F.col("language.lang_pred") != UNDETERMINED)
+def held_out_rates(docs: DataFrame, model: PpmModel | Broadcast, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400) -> RateLimits:
+    """Limits from the rows where ``learn`` does not hold: some docs_per_language distinct (id, text) of each language, drawn by hash; the same rows are ignored as for learning."""
+    drawn, languages = _thinned(docs, ~learn, docs_per_language, id_col, text_col, lang_col)
+    if not languages:
+        return RateLimits({})
+    found = identify_language(drawn.dropDuplicates(["lang", "h"]), model).where(F.col("language.lang_pred") != UNDETERMINED)
     parts: dict[str, list[tuple[float, int]]] = {}
-    for r in found.select("language.lang_pred", "language.bits_per_byte", F.octet_length("text").alias("n")).distinct().collect():
+    for r in found.select("language.lang_pred", "language.bits_per_byte", F.octet_length("text").alias("n")).collect():
         parts.setdefault(r.lang_pred, []).append((r.bits_per_byte, r.n))
     return RateLimits(parts)

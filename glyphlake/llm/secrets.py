@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +28,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Tells, in linear time, which texts can hold any span at all.
 _WORTH = r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Shortest candidate, the length from which the full limits hold, and the stricter limit's share of the full one below it.
-_LEAST, _FULL, _STRICTER = 16, 20, 0.9
+#: Shortest candidate, the length from which the full limit holds, and the stricter limit's share of it below: for letters of one case, and for others.
+_LEAST, _FULL, _ONE_CASE, _STRICTER = 16, 20, 0.8, 0.9
 KINDS = ("assign", "access", "hex", "random")
 
-#: Public shapes that look random: UUIDs, digests in hex of usual lengths (MD5 to SHA-512, short commit ids do not reach 16), and subresource digests.
+#: Public shapes that look random: UUIDs, digests in hex of usual lengths (MD5 to SHA-512, short commit ids do not reach 16), subresource digests, numbers with separators (dates, telephone and item numbers), and the alphabet.
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"
-    r"|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==)(?![A-Za-z0-9])"
+    r"|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==|[0-9]+(?:[-/_=+]+[0-9]+)+)(?![A-Za-z0-9])"
+    r"|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 #: What is between separators.
 _PIECE = re.compile(r"[^/=_-]+")
@@ -53,11 +52,6 @@ def tiktoken_encoding(vocabulary: str):
     return tiktoken.Encoding("glyphlake", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three base kinds."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -77,15 +71,15 @@ def without(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple
 
 
 class TokenEfficiency:
-    """Candidates of 20 characters or more under ``chars_per_token`` characters a token; of 16 to 19 under nine tenths of it.
+    """Candidates of 20 characters or more under ``chars_per_token`` characters a token; of 16 to 19 under nine tenths of it, or eight if they are letters of one case.
 
     A candidate is tested whole, then without the words at its ends, then piece
     by piece between its separators, so that a path glued on hides nothing.
     """
 
-    def __init__(self, vocabulary: str, chars_per_token: float, min_entropy: float):
+    def __init__(self, vocabulary: str, chars_per_token: float):
         self.encoding = tiktoken_encoding(vocabulary)
-        self.limit, self.min_entropy = chars_per_token, min_entropy
+        self.limit = chars_per_token
 
     def tokens(self, s: str) -> int:
         return len(self.encoding.encode_ordinary(s))
@@ -100,11 +94,8 @@ class TokenEfficiency:
         n = len(s)
         if n < _LEAST:
             return False
-        # A short string cannot reach the entropy asked of long ones.
-        full = n >= _FULL
-        if entropy(s) < (self.min_entropy if full else min(self.min_entropy, math.log2(n) - 0.75)):
-            return False
-        return n < self.limit * (1 if full else _STRICTER) * self.tokens(s) and not self.wordy(s)
+        share = 1 if n >= _FULL else _ONE_CASE if s.isalpha() and (s.islower() or s.isupper()) else _STRICTER
+        return n < self.limit * share * self.tokens(s) and not self.wordy(s)
 
     def found(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         if self.random(text[a:b]):
@@ -122,15 +113,20 @@ class TokenEfficiency:
         return [(x, y) for x, y in rest if self.random(text[x:y])]
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
+        """Random spans of the candidates: of a candidate whole, whatever base spans it holds, else of what these leave; none that a base span holds."""
+        out: list[tuple[int, int]] = []
         reported = [(x, y) for x, _, y in base]
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            cuts = [k.span() for k in _KNOWN.finditer(m[0])]
-            cuts = [(a + x, a + y) for x, y in cuts] + [(x, y) for x, y in reported if x < b and a < y]
-            for x, y in without(a, b, cuts):
-                out += [(i, 3, j) for i, j in self.found(text, x, y)]
-        return out
+            known = [(a + k.start(), a + k.end()) for k in _KNOWN.finditer(m[0])]
+            for x, y in without(a, b, known):
+                inside = [(i, j) for i, j in reported if i < y and x < j]
+                got = self.found(text, x, y)
+                out += got
+                if inside:
+                    for i, j in without(x, y, inside + got):
+                        out += self.found(text, i, j)
+        return [(a, 3, b) for a, b in out if not any(x <= a and b <= y for x, y in reported)]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -152,21 +148,22 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def secret_scan(df: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", chars_per_token: float = 2.0, min_entropy: float = 3.5, mark: str = "[REDACTED]") -> DataFrame:
-    """df with a struct column ``secrets``: n_assign, n_access, n_hex, n_random, base_sha256, spans, redacted.
+def secret_scan(df: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", chars_per_token: float = 2.0, mark: str = "[REDACTED]", out_col: str = "secrets") -> DataFrame:
+    """df with a struct column ``out_col``: n_assign, n_access, n_hex, n_random, base_sha256, spans, redacted.
 
     Offsets are code points of the whole text, end exclusive.  base_sha256 is the
     digest of the base spans alone (of the empty string if there are none), spans
     holds all spans, redacted is the text with the secrets replaced (null if
-    nothing was found: the text itself then stands).  A null text is an empty
-    one.  Narrow; rows and other columns are kept, a column named ``secrets`` is
-    replaced.
+    nothing was found: the text itself then stands).  Of overlapping spans the
+    whole stretch is replaced once.  A null text is an empty one.  Very long
+    texts are scanned whole.  Narrow; rows, repeated ones too, and other columns
+    are kept, a column named ``out_col`` is replaced; an empty table stays empty.
     """
     worth = pa.scalar(_WORTH)
 
     @F.arrow_udf("struct<n_assign: bigint, n_access: bigint, n_hex: bigint, n_random: bigint, base_sha256: string, spans: string, redacted: string>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        test = TokenEfficiency(vocabulary, chars_per_token, min_entropy)
+        test = TokenEfficiency(vocabulary, chars_per_token)
         nothing = hashlib.sha256(b"").hexdigest()
         for texts in batches:
             n = len(texts)
@@ -185,4 +182,4 @@ def secret_scan(df: DataFrame, *, text_col: str = "text", vocabulary: str = "byt
                     joined[i], clean[i] = _joined(spans), redact(text, spans, mark)
             yield pa.StructArray.from_arrays([*map(pa.array, counts), pa.array(digest), pa.array(joined), pa.array(clean, pa.string())], ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"])
 
-    return df.withColumn("secrets", scan(F.col(text_col).cast("string")))
+    return df.withColumn(out_col, scan(F.col(text_col).cast("string")))

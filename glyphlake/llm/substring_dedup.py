@@ -112,23 +112,16 @@ def _keys(window: int, buckets: int):
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of more than one document, with their number of fragments."""
-    key, doc, size = [], [], []
-    for batch in batches:
-        for k, d, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            key.append(np.frombuffer(k, np.uint64))
-            doc.append(np.frombuffer(d, np.int64))
-            size.append(np.frombuffer(s, np.int32))
-    if not key:
-        return
-    key, doc, size = np.concatenate(key), np.concatenate(doc), np.concatenate(size)
-    order = np.argsort(key, kind="stable")
-    key, doc, size = key[order], doc[order], size[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    low, high = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-    total = np.add.reduceat(size.astype(np.int64), head)
-    many = (low != high) | (low == _MANY)
-    yield pa.RecordBatch.from_arrays([pa.array(key[head][many].view(np.int64)), pa.array(total[many])], ["key", "fragments"])
+    """Rows of one bucket after another -> keys of more than one document, with their number of fragments."""
+    for rows in kernel.by_first(batches):
+        key, doc, size = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
+        order = np.argsort(key, kind="stable")
+        key, doc, size = key[order], doc[order], size[order]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        low, high = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+        total = np.add.reduceat(size.astype(np.int64), head)
+        many = (low != high) | (low == _MANY)
+        yield pa.RecordBatch.from_arrays([pa.array(key[head][many].view(np.int64)), pa.array(total[many])], ["key", "fragments"])
 
 
 def _sequence_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -305,15 +298,7 @@ def _shards(window: int):
             yield pa.RecordBatch.from_arrays([pa.array(frag[once][part].view(np.int64)), pa.array([owner[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], ["frag", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
-        for batch in batches:
-            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and rows:
-                    yield from solve(rows)
-                    rows = []
-                bucket = b
-                rows.append(row)
-        if rows:
+        for rows in kernel.by_first(batches):
             yield from solve(rows)
 
     return run
@@ -380,12 +365,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     n = partitions(spark)
     buckets = 8 * n
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if with_rows else F.lit(None).cast("int")
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != text_col)) if with_rows else F.lit(None).cast("int")
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), row.alias("row"))
     texts = base.where("doc_id is not null").select("doc_id", "tag", "text")
     sent = texts.mapInArrow(_keys(window, buckets), "bucket int, keys binary, docs binary, sizes binary")
-    keys = scratch.table(sent.repartition(n, "bucket").mapInArrow(_shared_keys, "key long, fragments long"))
+    keys = scratch.table(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, fragments long"))
     del sent
     scratch.release()
     shared = spark.sparkContext.broadcast(members(keys, "key"))

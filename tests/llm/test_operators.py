@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -226,16 +227,21 @@ def test_random_strings():
     import random
     import string
 
-    from glyphlake.llm.secrets import TokenEfficiency, base_spans
+    from glyphlake.llm.secrets import TokenEfficiency, base_spans, redact
 
-    test, draw = TokenEfficiency("byte_bpe_50k.tiktoken", 2.0, 3.5), random.Random(7)
+    test, draw = TokenEfficiency("byte_bpe_50k.tiktoken", 2.0), random.Random(7)
     found = lambda text: [text[a:b] for a, _, b in test.spans(text, base_spans(text))]
     some = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
     for chars, n, least in [(string.ascii_letters, 32, 190), (string.ascii_uppercase + "234567", 32, 190), (string.ascii_letters + string.digits, 16, 180), (string.ascii_letters + string.digits, 19, 180)]:
         assert sum(found(f"look {s} here") == [s] for s in (some(chars, n) for _ in range(200))) >= least
     key, uuid, digest = "xK9pQ2vL7mZ4tR8wB3nY6cF1", "123e4567-e89b-12d3-a456-426614174000", "0F" * 16
     assert found("/home/user/documents/projects/settings/production/internationalization/documentation/configuration/" * 2 + key) == [key]
-    assert found(f"{'ab12' * 8}/{key}") == [f"/{key}"]  # behind a span of another kind
+    assert found(f"{'ab12' * 8}/{key}") == [f"/{key}"]  # behind a known digest that is a base span too
+    parts = ["xK9pQ2vL7mZ4tR8wB3nY6cF", "ab12cd34ef56ab12cd34ef56", "Zk8QwP3xR7tY2uN5"]
+    text = f"see {''.join(parts)} and {parts[1]}"
+    spans = sorted(base_spans(text) + test.spans(text, base_spans(text)))
+    assert [k for _, k, _ in spans] == [3, 2, 2] and redact(text, spans, "#") == "see # and #"  # the base spans stay beside it
+    assert found("2024-01-01-2023-04-05 1234-5678-1234-5678 " + string.ascii_uppercase + string.ascii_lowercase) == []
     assert found(f"{uuid} /users/{uuid}/profile {digest} integrity=sha256-{'aB3+x' * 8}aB3=") == []
     assert found("internationalization snake_case_identifier_name2 /usr/local/share/documentation camelCaseIdentifierWithManyWords2 " + "-" * 40) == []
 
@@ -276,18 +282,73 @@ def test_repeats_against_brute_force():
         assert repeat_lengths(np.array([x for d in parts for x in d], np.uint64), offs).tolist() == want
 
 
+def code_length(samples, text):
+    """PPM with method C and full exclusion, from its definition."""
+    counts = [{} for _ in range(4)]
+    for t in samples:
+        padded = b"\xff\xff\xff" + t
+        for i in range(3, len(padded)):
+            for order in range(4):
+                after = counts[order].setdefault(padded[i - order : i], {})
+                after[padded[i]] = after.get(padded[i], 0) + 1
+    padded, bits = b"\xff\xff\xff" + text, 0.0
+    for i in range(3, len(padded)):
+        excluded = set()
+        for order in (3, 2, 1, 0):
+            after = {s: c for s, c in counts[order].get(padded[i - order : i], {}).items() if s not in excluded}
+            if not after:
+                continue
+            whole = sum(after.values()) + len(after)
+            if padded[i] in after:
+                bits += math.log2(whole / after[padded[i]])
+                break
+            bits += math.log2(whole / len(after))
+            excluded |= set(after)
+        else:
+            bits += math.log2(256 - len(excluded))
+    return bits
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 7])
+def test_code_lengths_against_brute_force(monkeypatch, stretch):
+    from glyphlake.llm import language_id
+
+    monkeypatch.setattr(language_id, "_STRETCH", stretch)
+    rng = random.Random(1)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n))).encode()
+    samples = {"a": [draw("abcde  ", 60) for _ in range(8)], "b": ["hello there été ".encode() * 3, b"", b"x"], "c": []}
+    texts = [draw("abcdefgh é", 50) for _ in range(40)] + [b"", b"h", b"hello"]
+    model = language_id.PpmModel(samples)
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want = [[code_length(samples[x], t) for x in model.languages] for t in texts]
+    for _ in range(2):  # worked out, then looked up
+        assert np.allclose(model.bits(np.frombuffer(b"".join(texts), np.uint8), offs), want, atol=1e-3)
+
+
 def test_language(docs, empty, spark):
     from glyphlake.llm.language_id import PpmModel, identify_language, train_language_model
 
-    samples = {"de": [b"der die das und ist nicht ein eine " * 5], "en": [b"the and of to in is that it was for " * 5]}
-    model = PpmModel(samples)
-    cost = np.exp2(-model.cost.astype(np.float64)).reshape(-1, model.size, 2).sum(1)
-    assert np.allclose(cost, 1, atol=1e-4)  # the costs of all symbols in a context are those of a distribution
-    df = spark.createDataFrame([(1, "und das ist die"), (2, "it was the and"), (3, None), (4, "12 !!"), (5, "")], "doc_id long, text string")
-    rows = {r.doc_id: r.language for r in identify_language(df, model).collect()}
-    assert [rows[i].lang_pred for i in range(1, 6)] == ["de", "en", "und", "und", "und"] and rows[1].score > 0.9 and rows[3].score == 0
+    model = PpmModel({"de": [b"der die das und ist nicht ein eine " * 5], "en": [b"the and of to in is that it was for " * 5]})
+    df = spark.createDataFrame([(1, "und das ist die", 7), (2, "it was the and", 7), (3, None, 7), (4, "12 !!", 7), (5, "", 7), (1, "und das ist die", 7), (6, "it was the and " * 200_000, 7)], "doc_id long, text string, language int")
+    got = identify_language(df, model).collect()
+    rows = {r.doc_id: r.language for r in got}
+    assert len(got) == 7 and [rows[i].lang_pred for i in range(1, 7)] == ["de", "en", "und", "und", "und", "en"] and rows[1].score > 0.9 and rows[3].score == 0
     nothing = train_language_model(empty, F.lit(True))
     assert {r.language.lang_pred for r in identify_language(docs, nothing).collect()} == {"und"}
+    assert identify_language(empty, model).count() == 0
+
+
+def test_every_labelled_language_is_learned(spark):
+    from glyphlake.llm.language_id import train_language_model
+
+    rows = [(1, f"hier ist ein text nummer {i % 3}", "de") for i in range(3000)]  # many rows of one id
+    rows += [(2, "the same words over and over " * 4000, "en"), (None, "no id", "xx"), (3, None, "yy"), (4, "", "zz"), (5, "no language", None)]
+    rows += [(100 + i, f"word{i} " * 3, f"l{i:03}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(df, F.lit(True))
+    assert model.languages == sorted(["de", "en"] + [f"l{i:03}" for i in range(100)])
+    assert model.trees[model.languages.index("de")].contexts[0][1][0] == 3 * len("hier ist ein text nummer 0")  # copies teach once
+    assert model.trees[model.languages.index("en")].contexts[0][1][0] == 50_000
 
 
 def test_language_stage_rejects_strange_texts(spark):
@@ -371,21 +432,32 @@ def test_components(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus()]
-    rows.append((500, "my secret = hunter2hunter2 " + " ".join(f"q{i}" for i in range(30)), "en", "s", 0))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3, "x", 4) for i, t in corpus()]
+    rows.append((500, "my secret = hunter2hunter2 " + " ".join(f"q{i}" for i in range(30)), "en", "s", 0, 1, 2, 3, "x", 4))
+    # Texts under one id: two that differ, one of them twice; and a row without an id.
+    other = " ".join(f"z{i}" for i in range(25))
+    rows += [(0, other, "en", "s", len(other), 1, 2, 3, "x", 4), (0, other, "en", "s", len(other), 1, 2, 3, "w", 4), (None, other, "en", "s", len(other), 1, 2, 3, "x", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Language int, secrets int, n_removed int, row string, tag int"
+    docs = first = spark.createDataFrame(rows, schema)
     sizes = []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "").cache()
         if name != "best_fit_packing":
             assert out.columns == docs.columns
+            assert {(r.Language, r.secrets, r.n_removed, r.tag) for r in out.collect()} == {(1, 2, 3, 4)}
         docs = out
         sizes.append(out.count())
         if name == "ngram_jaccard_join":
-            kept = {r.doc_id: shingles(r.text) for r in out.collect()}
-            assert all(100 * len(a & b) < 75 * len(a | b) for i, a in kept.items() for j, b in kept.items() if i < j and a)
+            kept = [(r.doc_id, r.text, r.row) for r in out.collect()]
+            sets = [shingles(t) for i, t, _ in kept if i is not None]
+            assert all(100 * len(a & b) < 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a)
+            assert [k for k in kept if k[1] == other] in ([(0, other, "w"), (None, other, "x")], [(None, other, "x"), (0, other, "w")])
+            assert (0, dict(corpus())[0], "x") in kept
         if name == "substring_dedup":
             assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id != 500)
         if name == "secret_scan":
             assert "hunter2" not in " ".join(r.text for r in out.collect())
-    assert sizes == sorted(sizes, reverse=True) or sizes[-1] >= sizes[-2]
+    assert sizes[:4] == sorted(sizes[:4], reverse=True) and sizes[4] >= sizes[3]
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, first.limit(0), "")
+        assert none.count() == 0 and (name == "best_fit_packing" or none.columns == first.columns)
