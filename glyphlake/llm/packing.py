@@ -77,8 +77,8 @@ def patterns(classes: int) -> list[tuple[int, ...]]:
 
 
 def plan_packing(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The plan of the fewest sequences among those with all, half or none of the fitted repeats."""
-    return min((_plan(histogram, capacity, share) for share in (1.0, 0.5, 0.0)), key=lambda plan: plan[1])
+    """The plan of the fewest sequences among those with all, three quarters, half or a quarter of the fitted repeats."""
+    return min((_plan(histogram, capacity, share) for share in (1.0, 0.75, 0.5, 0.25)), key=lambda plan: plan[1])
 
 
 def _plan(histogram: dict[int, int], capacity: int, share: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
