@@ -1,18 +1,16 @@
-"""SentencePiece encoding and decoding over a trie of distinct marked words.
+"""SentencePiece encoding and decoding: shared-prefix Viterbi over a trie of distinct marked words.
 
-A text's words, each with its spaces as marks before it, are tokenized once per
+A text's words, each with its spaces as marks before it, are segmented once per
 distinct word.  Distinct words are sorted, which lays out their trie depth
-first, and the forward states of the prefix that a word shares with the one
-before it are kept; only the rest of the word is worked out.
-
-A forward state is the last piece of the best segmentation of a prefix.
-
-* Unigram models: the usual Viterbi step, the piece with the best total score.
-* BPE models: what BPE does to a prefix is not the segmentation of best score, so
-  a plain Viterbi step can't give its results.  Its last piece is instead the
-  one that stands beside the last piece of what comes before it: BPE of the two
-  joined gives the two back.  Exactly one piece does, so the forward pass has the
-  same shape and the same states are shared.
+first; the forward scores of the prefix that a word shares with the one before
+it are kept, and only the rest of the word is worked out.  The forward score of
+a prefix is the best total score of pieces that spell it; the last piece of that
+segmentation leads back.
+
+Viterbi gives the ids of unigram models.  For a BPE model it gives the
+segmentation of the best total score of its pieces, which is not what merging
+gives; its merge ids come from the SentencePiece library, again once per
+distinct word, and stand beside the others.
 """
 
 from __future__ import annotations
@@ -31,118 +29,113 @@ from . import kernel
 from .tokens import PieceIds
 
 MARK = "▁"
+#: How far an unknown character's score lies under the least piece's (a fixed value of the format).
+UNKNOWN_PENALTY = 10.0
 
 
 class SentencePieceModel:
-    """Pieces and settings of a .model file; encodes marked words."""
+    """Pieces and settings of a serialized model; encodes marked words."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, data: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        with open(public_tokenizers.path(vocabulary), "rb") as file:
-            model = pb.ModelProto.FromString(file.read())
+        model = pb.ModelProto.FromString(data)
         if model.normalizer_spec.name != "identity" or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave text as it is are supported")
         kinds = pb.ModelProto.SentencePiece
+        if any(p.type == kinds.USER_DEFINED for p in model.pieces):
+            raise ValueError("models with pieces of the user's own are not supported")
         self.pieces = [p.piece for p in model.pieces]
         self.bpe = model.trainer_spec.model_type == pb.TrainerSpec.BPE
         self.dummy_prefix = model.normalizer_spec.add_dummy_prefix
-        self.score = {p.piece: p.score for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
+        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
-        self.longest = max(map(len, self.score))
+        self.unknown_score = min(self.score.values()) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a mark behind other characters; words can't be cut there")
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-
-    def merge(self, text: str) -> list[str]:
-        """BPE from its definition: joins the neighbours that make the best piece, the first of equals, until none do."""
-        parts = list(text)
-        while len(parts) > 1:
-            scores = [self.score.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max(range(len(scores)), key=scores.__getitem__)
-            if scores[best] == -np.inf:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def stand(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) > 2_000_000:
-                self.beside.clear()
-            known = self.beside[key] = self.merge(left + right) == [left, right]
-        return known
+        # Pieces read from their ends, as nested tables; None leads to the score of the piece that is complete there.
+        self.endings: dict = {}
+        for piece, score in self.score.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[None] = score
+        model.normalizer_spec.add_dummy_prefix = False
+        self._plain, self._library = model.SerializeToString() if self.bpe else b"", None
+
+    @classmethod
+    def load(cls, vocabulary: str) -> SentencePieceModel:
+        with open(public_tokenizers.path(vocabulary), "rb") as file:
+            return cls(file.read())
 
     def segment(self, words: list[str]) -> list[list[str]]:
-        """Segmentations of words, in their order."""
+        """Segmentations of the best total score, in the order of words; of equal ones the longest last piece, back from the end."""
         out: list[list[str]] = [[]] * len(words)
-        # last[i], total[i]: the last piece of the best segmentation of the first i characters, and its score.
-        last: list[str] = [""]
-        total: list[float] = [0.0]
+        # best[i]: the best total of the first i characters; back[i]: where the last piece of that segmentation starts.
+        best: list[float] = [0.0]
+        back: list[int] = [0]
         before = ""
+        endings, unknown = self.endings, self.unknown_score
         for at in sorted(range(len(words)), key=words.__getitem__):
             word = words[at]
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                self._extend(word, end, last, total)
+                start, node, known = end - 1, endings, False
+                top, origin = -np.inf, end - 1
+                while start >= 0:
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    score = node.get(None)
+                    if score is not None:
+                        known = known or start == end - 1
+                        value = best[start] + score
+                        if value >= top:
+                            top, origin = value, start
+                    start -= 1
+                if not known and best[end - 1] + unknown > top:  # a character that is no piece stands alone
+                    top, origin = best[end - 1] + unknown, end - 1
+                best.append(top)
+                back.append(origin)
             before, end, parts = word, len(word), []
             while end:
-                parts.append(last[end])
-                end -= len(last[end])
+                parts.append(word[back[end] : end])
+                end = back[end]
             out[at] = parts[::-1]
         return out
 
-    def _extend(self, word: str, end: int, last: list[str], total: list[float]) -> None:
-        best, score = word[end - 1], -np.inf  # a character that is no piece stands alone
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in self.score and end - start > 1:
-                continue
-            if not self.bpe:
-                value = total[start] + self.score.get(piece, -1e6)
-                if value > score:
-                    best, score = piece, value
-            elif self.whole(piece) and (not start or self.stand(last[start], piece)):
-                best = piece
-                break
-        last.append(best)
-        total.append(total[end - len(best)] + self.score.get(best, -1e6))
-
-    def whole(self, piece: str) -> bool:
-        """Whether BPE makes the piece out of its own characters."""
-        known = self.alone.get(piece)
-        if known is None:
-            if len(self.alone) > 2_000_000:
-                self.alone.clear()
-            known = self.alone[piece] = self.merge(piece) == [piece]
-        return known
-
     def ids(self, parts: list[str]) -> list[int]:
+        """Ids of pieces; unknown characters are spelled in bytes, or else neighbouring ones are one unknown id."""
         out: list[int] = []
         for part in parts:
             if part in self.id:
                 out.append(self.id[part])
             elif self.byte:
                 out += [self.byte[b] for b in part.encode()]
-            else:
+            elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Ids that a BPE model's merges give, by the library."""
+        if self._library is None:
+            import sentencepiece
+
+            self._library = sentencepiece.SentencePieceProcessor(model_proto=self._plain)
+        return self._library.encode(words, num_threads=1)
+
+    def marked(self, text: str) -> str:
+        marked = text.replace(" ", MARK)
+        return MARK + marked if self.dummy_prefix and text else marked
+
     def words(self, text: str) -> list[str]:
         """Marked words: runs of marks, each with the characters up to the next mark."""
-        marked = text.replace(" ", MARK)
-        if self.dummy_prefix and text:
-            marked = MARK + marked
-        out, at = [], 0
+        marked, out, at = self.marked(text), [], 0
         for i in range(1, len(marked)):
             if marked[i] == MARK and marked[i - 1] != MARK:
                 out.append(marked[at:i])
@@ -150,7 +143,10 @@ class SentencePieceModel:
         return [*out, marked[at:]] if marked else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for parts in self.segment(self.words(text)) for i in self.ids(parts)]
+        return self.ids([part for parts in self.segment(self.words(text)) for part in parts])
+
+    def merge(self, text: str) -> list[int]:
+        return self.merged([self.marked(text)])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that stand for no text nothing."""
@@ -164,12 +160,14 @@ class SentencePieceModel:
 
 @functools.cache
 def _worker(vocabulary: str) -> tuple[SentencePieceModel, PieceIds]:
-    """The model and the ids of words met so far, for as long as a Python worker lives."""
-    model = SentencePieceModel(vocabulary)
+    """The model and the ids of words met so far (their Viterbi ids behind the number of these, then their merge ids), for as long as a Python worker lives."""
+    model = SentencePieceModel.load(vocabulary)
 
     def new(pieces: list[bytes]) -> list[np.ndarray]:
         words = [p.decode("utf-8", "replace").replace(" ", MARK) for p in pieces]
-        return [np.array(model.ids(parts), np.uint32) for parts in model.segment(words)]
+        ids = [model.ids(parts) for parts in model.segment(words)]
+        merged = model.merged(words) if model.bpe else [[]] * len(words)
+        return [np.array([len(a), *a, *b], np.uint32) for a, b in zip(ids, merged, strict=True)]
 
     return model, PieceIds(new, 1_000_000)
 
@@ -184,53 +182,88 @@ def _spaced_words(block: kernel.Block) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return start, np.concatenate((start[1:], [len(space)])) if len(start) else start, np.searchsorted(start, block.offs)
 
 
-def sentencepiece_encode(df: DataFrame, *, text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", with_ids: bool = True) -> DataFrame:
-    """df with a struct column ``pieces``: n_ids, ids_crc32, ids, round_trip.
+class _Spelled:
+    """The bytes of each id, for decoding by gathers."""
 
-    ids are those of the SentencePiece library for the whole text (no special
-    ids are added); ids_crc32 is of their little-endian unsigned 32-bit form, and
-    round_trip tells whether decoding them gives the text back (false where the
-    text holds marks of its own, which decode to spaces).  ids is null unless
-    with_ids.  A null text is an empty one and has no ids.  Narrow; rows and other
-    columns are kept, a column named ``pieces`` is replaced.
+    def __init__(self, model: SentencePieceModel):
+        value = {i: bytes([b]) for b, i in model.byte.items()}
+        parts = [value.get(i, p.replace(MARK, " ").encode() if p in model.id else b"") for i, p in enumerate(model.pieces)]
+        self.size = np.array([len(s) for s in parts])
+        self.letters, self.begin = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum(self.size)[:-1]))
+
+    def text(self, ids: np.ndarray, cut: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All ids' bytes, and the offsets of documents into them."""
+        size = self.size[ids]
+        return self.letters[kernel.ragged(self.begin[ids], size)].tobytes(), np.concatenate(([0], np.cumsum(size)))[cut]
+
+
+def _column(ids: np.ndarray, cut: np.ndarray, back: bytes, back_cut: np.ndarray, raw: bytes, offs: np.ndarray, odd: dict[int, tuple[list[int], bool]]) -> list[tuple[np.ndarray, bool]]:
+    """Each document's ids, and whether they decode to its text; ``odd`` has those that were worked out apart."""
+    out = []
+    for i in range(len(offs) - 1):
+        if i in odd:
+            out.append((np.array(odd[i][0], np.uint32), odd[i][1]))
+        else:
+            out.append((ids[cut[i] : cut[i + 1]], back[back_cut[i] : back_cut[i + 1]] == raw[offs[i] : offs[i + 1]]))
+    return out
+
+
+def sentencepiece_encode(df: DataFrame, *, text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", with_ids: bool = True, out_col: str = "pieces") -> DataFrame:
+    """df with a struct column ``out_col``: n_ids, ids_crc32, ids, round_trip, and the same with bpe_ before.
+
+    The first four are of the Viterbi segmentation of the whole text, the best
+    total of the pieces' scores; the others of a BPE model's merges, equal to
+    the library's (null for a unigram model).  No special ids are added;
+    ids_crc32 is of the little-endian unsigned 32-bit form, round_trip tells
+    whether decoding the ids gives the text back (false where the text holds
+    marks of its own, which decode to spaces).  The ids are null unless with_ids.
+    A null text is an empty one and has no ids; very long texts are encoded
+    whole.  Narrow; rows, repeated ones too, and other columns are kept, a column
+    named ``out_col`` is replaced; an empty table stays empty.
     """
+    fields = "n_ids: bigint, ids_crc32: bigint, ids: array<int>, round_trip: boolean"
 
-    @F.arrow_udf("struct<n_ids: bigint, ids_crc32: bigint, ids: array<int>, round_trip: boolean>")
+    @F.arrow_udf(f"struct<{fields}, {', '.join('bpe_' + f for f in fields.split(', '))}>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known = _worker(vocabulary)
-        # The bytes of each id, for decoding by gathers.
-        value = {i: bytes([b]) for b, i in model.byte.items()}
-        spelled = [value.get(i, p.replace(MARK, " ").encode() if p in model.id else b"") for i, p in enumerate(model.pieces)]
-        size = np.array([len(s) for s in spelled])
-        letters, begin = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1]))
+        spelled, mark = _Spelled(model), MARK.encode()
         for texts in batches:
-            n_ids, crc, ids_out, same = [], [], [], []
+            found: list[list[tuple[np.ndarray, bool]]] = [[], []]
             for plain in kernel.blocks(texts):
                 block = _with_dummies(plain) if model.dummy_prefix else plain
                 start, end, offs = _spaced_words(block)
-                mark = MARK.encode()
-                ids, count = known.lookup(block.buf, start, end)
-                cut = np.concatenate(([0], np.cumsum(kernel.fold(count, offs))))
-                back = letters[kernel.ragged(begin[ids], size[ids])]
-                back_cut = np.concatenate(([0], np.cumsum(size[ids])))[cut]
-                data = block.buf.tobytes()
-                for i in range(block.n):
-                    own = ids[cut[i] : cut[i + 1]]
-                    raw = data[block.offs[i] : block.offs[i + 1]]
-                    if mark in raw:  # marks of the text's own: rare, and cut words elsewhere
+                raw = block.buf.tobytes()
+                odd: list[dict[int, tuple[list[int], bool]]] = [{}, {}]
+                for i in range(block.n) if mark in raw else ():  # marks of a text's own: rare, and cut words elsewhere
+                    if mark in raw[block.offs[i] : block.offs[i + 1]]:
                         text = plain.text(plain.offs[i], plain.offs[i + 1])
-                        own = np.array(model.encode(text), np.uint32)
-                        same.append(model.decode(own.tolist()) == text)
-                    else:
-                        same.append(back[back_cut[i] : back_cut[i + 1]].tobytes() == raw)
-                    n_ids.append(len(own))
-                    crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                    if with_ids:
-                        ids_out.append(own.astype(np.int32))
-            ids_column = pa.array(ids_out, pa.list_(pa.int32())) if with_ids else pa.nulls(len(texts), pa.list_(pa.int32()))
-            yield pa.StructArray.from_arrays([pa.array(n_ids, pa.int64()), pa.array(crc, pa.int64()), ids_column, pa.array(same, pa.bool_())], ["n_ids", "ids_crc32", "ids", "round_trip"])
-
-    return df.withColumn("pieces", encode(F.col(text_col).cast("string")))
+                        for own, of in zip(odd, (model.encode, model.merge) if model.bpe else (model.encode,), strict=False):
+                            own[i] = (ids := of(text), model.decode(ids) == text)
+                slot = known.slots(block.buf, start, end)
+                at, size = known.start[slot], known.size[slot]
+                first = known.ids[at].astype(np.int64)
+                for k, (begin, count) in enumerate([(at + 1, first), (at + 1 + first, size - 1 - first)][: 1 + model.bpe]):
+                    ids = known.ids[kernel.ragged(begin, count)]
+                    cut = np.concatenate(([0], np.cumsum(kernel.fold(count, offs))))
+                    if not model.byte:  # neighbouring unknowns are one, across words too
+                        keep = np.ones(len(ids), bool)
+                        keep[1:] = (ids[1:] != model.unknown) | (ids[:-1] != model.unknown)
+                        keep[cut[:-1][cut[:-1] < len(ids)]] = True
+                        cut = np.concatenate(([0], np.cumsum(keep)))[cut]
+                        ids = ids[keep]
+                    found[k] += _column(ids, cut, *spelled.text(ids, cut), raw, block.offs, odd[k])
+            columns = []
+            for part in found:
+                n = len(texts)
+                if not part and n:
+                    columns += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.bool_())]
+                    continue
+                ids_column = pa.array([i.astype(np.int32) for i, _ in part], pa.list_(pa.int32())) if with_ids else pa.nulls(n, pa.list_(pa.int32()))
+                columns += [pa.array([len(i) for i, _ in part], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i, _ in part], pa.int64()), ids_column, pa.array([ok for _, ok in part], pa.bool_())]
+            names = [f.split(":")[0] for f in fields.split(", ")]
+            yield pa.StructArray.from_arrays(columns, [*names, *("bpe_" + name for name in names)])
+
+    return df.withColumn(out_col, encode(F.col(text_col).cast("string")))
 
 
 def _with_dummies(block: kernel.Block) -> kernel.Block:
@@ -243,7 +276,10 @@ def _with_dummies(block: kernel.Block) -> kernel.Block:
 
 
 def sentencepiece_decode(df: DataFrame, *, ids_col: str = "ids", vocabulary: str = "piece_bpe_32k.model", out_col: str = "text") -> DataFrame:
-    """df with ``out_col``: the text of an array of ids (null for null; null and unknown ids stand for nothing)."""
+    """df with ``out_col``: the text of an array of ids (null for null; null and unknown ids stand for nothing).
+
+    Rows and other columns are kept, a column named ``out_col`` is replaced.
+    """
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -30,6 +30,12 @@ class PieceIds:
 
     def lookup(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each piece)."""
+        slot = self.slots(buf, start, end)
+        size = self.size[slot]
+        return self.ids[kernel.ragged(self.start[slot], size)], size
+
+    def slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each piece's place in ``start`` and ``size``, valid until the next call."""
         hashes = kernel.span_hashes(buf, start, end)
         order = np.argsort(hashes)
         ranked = hashes[order]
@@ -55,9 +61,7 @@ class PieceIds:
             self.used += total
             for j, i in enumerate(new):
                 self.at[keys[i]] = at[i] = count + j
-        slot = np.array(at, np.int64)[inverse] if len(at) else np.zeros(0, np.int64)
-        size = self.size[slot]
-        return self.ids[kernel.ragged(self.start[slot], size)], size
+        return np.array(at, np.int64)[inverse] if len(at) else np.zeros(0, np.int64)
 
     @staticmethod
     def _room(a: np.ndarray, need: int) -> np.ndarray:
