@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .scratch import Scratch
 
 BITS = 16
 WIDTH = 1 << BITS
@@ -110,41 +111,52 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> NbSvm:
+def train_quality_model(docs: DataFrame, labels: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000, max_bytes: int = 64 << 20) -> NbSvm:
     """The model of a bounded sample of labelled rows where ``learn`` (a condition on the label's id) holds.
 
-    The max_rows labelled documents with the smallest hash of id are used, whole.
-    Ids with several labels count if these agree; labels other than 0 and 1, and
-    nulls, teach nothing.  Without any labelled row every score is 0.5.
+    The labelled documents with the smallest hash of id are used, whole: max_rows
+    ids, as far as max_bytes goes for their features (4 bytes each, at most
+    512 KB a text), one of them at least.  Ids with several labels count if these
+    agree; labels other than 0 and 1, and nulls, teach nothing; repeated rows
+    teach once.  A null text is an empty one.  Without any labelled row every
+    score is 0.5.
     """
     spark = docs.sparkSession
     marks = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
-    marks = marks.select("id", "y").orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()
+    marks = marks.select(F.xxhash64("id").alias("h"), "id", "y").orderBy("h", "id").limit(max_rows).toPandas()
     if marks.empty:
         return fit_nb_svm([], np.zeros(0, np.int64))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in kernel.blocks(batch.column(2)):
+            for block in kernel.blocks(batch.column(3)):
                 got = [*indicators(block.buf, block.offs)]
                 doc = np.concatenate([d for d, _ in got])
                 feature = np.concatenate([f for _, f in got])[np.argsort(doc, kind="stable")].astype(np.int32)
                 cut = np.searchsorted(np.sort(doc), np.arange(block.n + 1))
                 rows = [feature[cut[i] : cut[i + 1]].tobytes() for i in range(block.n)]
                 part = batch.slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], ["id", "y", "features"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary())], ["h", "id", "y", "features"])
 
     chosen = F.broadcast(spark.createDataFrame(marks))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.mapInArrow(features, "id long, y int, features binary").limit(2 * max_rows).toPandas().sort_values(["id", "features"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
+    rows = rows.select("h", F.col("id").cast("string").alias("id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    got = Scratch(spark).table(rows.mapInArrow(features, "h long, id string, y int, features binary").dropDuplicates())
+    # The sizes come first, then the rows up to the place where these exceed the limit.
+    sizes = got.groupBy("h").agg(F.sum(F.length("features")).alias("n")).orderBy("h").toPandas()
+    fits = sizes[(sizes["n"].cumsum() <= max_bytes) | (sizes.index == 0)]
+    if fits.empty:
+        return fit_nb_svm([], np.zeros(0, np.int64))
+    got = got.where(F.col("h") <= int(fits["h"].iloc[-1])).toPandas().sort_values(["h", "id", "features"])
     return fit_nb_svm([np.frombuffer(f, np.int32) for f in got["features"]], got["y"].to_numpy())
 
 
 def score_quality(df: DataFrame, model: NbSvm, *, text_col: str = "text") -> DataFrame:
     """df with the column ``quality_score`` (0 to 1, higher: better) of whole texts; a null text is an empty one.
 
-    Narrow; rows and other columns are kept, a column of that name is replaced.
+    Narrow; rows, repeated ones too, and other columns are kept, a column of that
+    name is replaced; an empty table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
