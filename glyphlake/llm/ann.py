@@ -8,11 +8,13 @@ sqrt(M^2 - |x|^2) with M the largest norm (0 for queries).  Then:
    at the median between two means, so lists start out with equal shares;
 3. centroids form a neighbour graph in memory, searched best first by a beam for
    many vectors at a time;
-4. every vector goes to the list of its nearest centroid and, near a boundary,
-   to those of others not much farther, unless such a centroid is nearer to one
-   taken already than to the vector;
+4. every vector goes to the list of its nearest centroid, and a vector near a
+   boundary (other centroids within ``boundary_ratio`` of the nearest's
+   distance) to those lists too, up to ``replicas`` in all;
 5. a query reads the lists whose centroids' distances stay within a ratio of the
-   nearest's.  Lists of many vectors are cut into blocks, each searched exactly.
+   nearest's.  Lists of many vectors are cut into blocks, the queries of a list
+   into groups; each block meets each group in a task of its own and is searched
+   exactly.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ from .scratch import Scratch, partitions
 #: Bounds of the in-memory part: centroids, sampled vectors for each, and sampled vectors in all.
 MAX_LISTS = 16_384
 SAMPLE_PER_LIST = 64
-MAX_SAMPLE = 131_072
-#: Vectors for each list that the number of lists aims at, and vectors of a block of a list.
+MAX_SAMPLE = 65_536
+#: Lists that there are at least if they get LEAST_SIZE vectors each, vectors for each list that their number aims at, vectors of a block of a list, and queries that meet a block in one task.
+MIN_LISTS = 16
+LEAST_SIZE = 8
 LIST_SIZE = 256
 BLOCK = 4096
+QUERIES = 16_384
 _SALTS = 64
 
 
@@ -164,16 +169,10 @@ class _Index:
         c = self.graph.c
         extra = np.sqrt(np.maximum(self.largest - (x**2).sum(1), 0))
         ids, dist = self.graph.search(np.concatenate((x, extra[:, None]), 1), 16)
-        rows, lists = [np.arange(len(ids))], [ids[:, 0]]
-        chosen = ids[:, :1]
-        for j in range(1, min(8, ids.shape[1])):
-            gap = ((c[ids[:, j]][:, None, :] - c[np.maximum(chosen, 0)]) ** 2).sum(2)
-            gap[chosen < 0] = np.inf
-            ok = (dist[:, j] <= self.boundary_ratio**2 * dist[:, 0]) & (gap > dist[:, j][:, None]).all(1) & ((chosen >= 0).sum(1) < self.replicas)
-            rows.append(np.flatnonzero(ok))
-            lists.append(ids[ok, j])
-            chosen = np.concatenate((chosen, np.where(ok, ids[:, j], -1)[:, None]), 1)
-        return np.concatenate(rows), np.concatenate(lists)
+        near = dist[:, : self.replicas] <= self.boundary_ratio**2 * dist[:, :1]
+        near[:, 0] = True
+        row, column = np.nonzero(near)
+        return row, ids[row, column]
 
     def probes_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the lists that each query reads."""
@@ -181,12 +180,13 @@ class _Index:
         row, column = np.nonzero(dist <= self.probe_ratio**2 * dist[:, :1])
         return row, ids[row, column]
 
-    def calibrate(self, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> None:
-        """Sets the probe ratio that finds ``recall`` of the sample's own k nearest, and the beam that covers it.
+    def calibrate(self, sample: np.ndarray, k: int, recall: float, share: float = 1.0, queries: int = 512) -> None:
+        """Sets the probe ratio that finds ``recall`` of the k nearest, and the beam that covers it.
 
-        Neighbours in a sample are farther than those among all rows, so the
-        ratio errs on the side of reading more.
+        A sample of ``share`` of all vectors holds about that share of the k
+        nearest; so many of its own nearest stand for them.
         """
+        k = max(1, round(k * share))
         c = self.graph.c
         row, lists = self.lists_of(sample)
         q = sample[:: max(1, len(sample) // queries)]
@@ -292,7 +292,7 @@ def _merge(k: int):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, replicas: int = 3, boundary_ratio: float = 1.1, recall: float = 0.92
+    vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, replicas: int = 3, boundary_ratio: float = 1.02, recall: float = 0.94
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id divides by ``every``, the k nearest others found.
 
@@ -302,7 +302,8 @@ def nearest_neighbours(
     finds.  Rows with a null id, and vectors that are null, empty, zero, or hold
     a null or a component that is not finite, take no part, nor do vectors of
     another dimension than the most frequent one (ties: the smaller).  Repeated
-    rows are one row.
+    rows are one row; other columns, whatever their names, are ignored; an empty
+    table gives none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -323,24 +324,28 @@ def nearest_neighbours(
         one = one.withColumn("n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
     classes = one.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
     classes = scratch.table(classes.select(F.xxhash64("vec").alias("class_id"), "vec", "members"))
-    lists = min(MAX_LISTS, max(1, classes.count() // LIST_SIZE))
+    total = classes.count()
+    lists = min(MAX_LISTS, max(total // LIST_SIZE, min(MIN_LISTS, total // LEAST_SIZE), 1))
     sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(SAMPLE_PER_LIST * lists, MAX_SAMPLE)).toPandas()
     points = np.frombuffer(b"".join(map(bytes, sample["vec"])), np.float64).reshape(-1, dim)
     points = np.concatenate((points, np.sqrt(np.maximum(largest - (points**2).sum(1), 0))[:, None]), 1)
     fitted = _Index(CentroidGraph(bisect(points, lists)), dim, largest, replicas, boundary_ratio)
-    fitted.calibrate(points[:32_768, :-1], k, recall)
+    checked = points[:32_768, :-1]
+    fitted.calibrate(checked, k, recall, len(checked) / max(total, 1))
     index = spark.sparkContext.broadcast(fitted)
 
     stored = scratch.table(classes.mapInArrow(_assign(index), "list int, class_id long, vec binary, members array<long>"))
     queries = rows.where(F.col("vec_id") % every == 0).select("vec").distinct().join(classes.select("vec", "class_id"), "vec").select("class_id", "vec")
-    probes = queries.mapInArrow(_probe(index), "list int, class_id long, vec binary")
-    blocks = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # one row for each of at most MAX_LISTS lists
-    blocks = F.broadcast(blocks)
-    cell = lambda block: F.struct("list", block.alias("block"))
-    left = stored.join(blocks, "list").select(cell(F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).alias("cell"), F.lit(False).alias("is_query"), "class_id", "vec", "members")
-    right = probes.join(blocks, "list").select("list", "class_id", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    right = right.select(cell(F.col("b")).alias("cell"), F.lit(True).alias("is_query"), "class_id", "vec", F.lit(None).cast("array<long>").alias("members"))
-    meet = left.unionByName(right).select(F.xxhash64("cell.list", "cell.block").alias("cell"), "is_query", "class_id", "vec", "members")
+    probes = scratch.table(queries.mapInArrow(_probe(index), "list int, class_id long, vec binary"))
+    # One row for each of at most MAX_LISTS lists: into how many blocks its vectors are cut, and into how many groups its queries.
+    blocks = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    groups = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("groups"))
+    cuts = F.broadcast(blocks.join(groups, "list"))
+    own = lambda parts, salt: F.pmod(F.xxhash64("class_id", F.lit(salt)), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = stored.join(cuts, "list").select("list", own("blocks", 1).alias("block"), each("groups").alias("group"), F.lit(False).alias("is_query"), "class_id", "vec", "members")
+    right = probes.join(cuts, "list").select("list", each("blocks").alias("block"), own("groups", 2).alias("group"), F.lit(True).alias("is_query"), "class_id", "vec", F.lit(None).cast("array<long>").alias("members"))
+    meet = left.unionByName(right).select(F.xxhash64("list", "block", "group").alias("cell"), "is_query", "class_id", "vec", "members")
     meet = meet.repartition(n, "cell").sortWithinPartitions("cell", "is_query", "class_id")
     found = meet.mapInArrow(_scan(dim, k + 1), "class_id long, ids array<long>, scores array<double>")
     best = found.groupBy("class_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
