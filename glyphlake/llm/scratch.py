@@ -68,10 +68,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bits of a membership filter for each member, and the least and most bits of a
-#: filter (2 MB and 128 MB).  Past 128 million members it lets more and more
+#: filter (2 MB and 128 MB).  Past 32 million members it lets more and more
 #: strangers through, which costs work in the exact step behind it but never a
 #: result.
-BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 24, 1 << 30
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 24, 1 << 30
 _SLICES = 64
 
 
