@@ -49,7 +49,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
-    return out.select("doc_id", *(f"pieces.{c}" for c in ("n_ids", "ids_crc32", "round_trip")))
+    return out.select("doc_id", *(f"pieces.{p}{c}" for p in ("", "bpe_") for c in ("n_ids", "ids_crc32", "round_trip")))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,34 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def base_spans(scanned: DataFrame) -> DataFrame:
+    return scanned.select("doc_id", *(f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256")))
+
+
+def base_counts(judged: DataFrame) -> DataFrame:
+    return judged.select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return base_spans(secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return base_counts(quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    numbered = {name: f for name, f in globals().items() if name.startswith("op")}
+    return numbered | {"secret_base_spans": secret_base_spans, "quality_base_counts": quality_base_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.URL_FILTER, "op4_ngram_jaccard_join": oracles.JACCARD, "op10_substring_dedup": oracles.SUBSTRING_DEDUP}
+    return {
+        "op1_url_filter": oracles.URL_FILTER,
+        "op4_ngram_jaccard_join": oracles.JACCARD,
+        "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "secret_base_spans": oracles.SECRET_BASE,
+        "quality_base_counts": oracles.QUALITY_BASE,
+    }
