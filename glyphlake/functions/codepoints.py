@@ -1,9 +1,10 @@
 """Invisible and look-alike code points: what they are, and when text needs them.
 
-Inspection and cleaning look at each code point with its neighbours, so a text
-is walked once in Python; texts without any code point of interest, nearly all
-of a corpus, are recognised by a linear-time regular expression on the Arrow
-column and never become Python strings.
+Inspection and cleaning decide on the code points of interest alone, each with
+its neighbours: an expression finds their places in a text, and what stands
+between them is never walked.  Texts without any, nearly all of a corpus, are
+recognised by a linear-time regular expression on the Arrow column and never
+become Python strings.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ KINDS = [
     ("zwj_family", [(c, c) for c in sorted(WIDTHLESS)]),
     ("private_use", [(0xE000, 0xF8FF), (0xF0000, 0xFFFFD), (0x100000, 0x10FFFD)]),
 ]
-FLAG, TAG_END = 0x1F3F4, 0xE007F
+FLAG, TAG_END = chr(0x1F3F4), 0xE007F
 
 
 class Ranges:
@@ -82,8 +85,21 @@ def _class(points) -> str:
     return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in points)
 
 
-#: Code points that any decision is about.
-_INTEREST = "[" + _class([*((c, c) for c in (*STRIPPED, *SPACES, *CYRILLIC)), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFE00, 0xFE0F), (0xE000, 0xF8FF), (0xFDD0, 0xFDEF), (0xFFF0, 0xFFFB), (0x1FFFE, 0x1FFFF), (0x2FFFE, 0x2FFFF), (0x2065, 0x2065), (0xE0000, 0x10FFFF)]) + "\\p{Cf}]"
+#: Code points that a decision can be about; letters that look like others only where these are folded.
+_POINTS = [*((c, c) for c in (*STRIPPED, *SPACES)), *(r for _, rs in KINDS for r in rs)]
+_ALIKE = [*((c, c) for c in CYRILLIC), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]
+
+
+def _worth(alike: bool) -> str:
+    """A linear-time expression for Arrow that finds any of them."""
+    return f"[{_class([*_POINTS, *(_ALIKE if alike else [])])}\\p{{Cf}}]"
+
+
+@cache
+def _places(alike: bool) -> regex.Pattern:
+    """The same for Python strings."""
+    spans = [*_POINTS, *(_ALIKE if alike else [])]
+    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) + "\\p{Cf}]")
 
 
 @dataclass(frozen=True)
@@ -102,6 +118,16 @@ def strip_kind(c: int) -> str:
     return next((kind for kind, ranges in _KIND_RANGES if c in ranges), "strip")
 
 
+#: Code points whose names are given: controls that carry nothing visible, spaces, selectors and layout controls.
+_NAMED = Ranges([*((c, c) for c in (*STRIPPED, *SPACES, 0xE0001, 0xE0020, 0xE0041, 0xE007F)), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF), *(r for r, _ in LAYOUT)])
+
+
+def label(c: int) -> str:
+    """U+XXXX, the name (UNKNOWN for all but invisible characters and spaces), and the general category."""
+    name = unicodedata.name(chr(c), "UNKNOWN") if c in _NAMED else "UNKNOWN"
+    return f"U+{c:04X} {name} ({unicodedata.category(chr(c))})"
+
+
 def _emoji(c: int | None) -> bool:
     return c is not None and (c in _EMOJI or c in EMOJI_SINGLES)
 
@@ -114,28 +140,30 @@ def _joins(c: int | None) -> int:
     return _JOINING.index(c) if c is not None and unicodedata.category(chr(c))[0] in "LM" else -1
 
 
-def _flag_tags(points: list[int]) -> set[int]:
+def _flag_tags(text: str, places: list[int]) -> set[int]:
     """Positions of tags that spell a flag: after the black flag, one or more tags and the closing one."""
     out: set[int] = set()
-    for start in (i for i, c in enumerate(points) if c == FLAG):
-        end = start + 1
-        while end < len(points) and 0xE0020 <= points[end] < TAG_END:
-            end += 1
-        if end > start + 1 and end < len(points) and points[end] == TAG_END:
-            out.update(range(start + 1, end + 1))
+    for start in places:
+        if start and text[start - 1] == FLAG and 0xE0020 <= ord(text[start]) < TAG_END:
+            end = start + 1
+            while end < len(text) and 0xE0020 <= ord(text[end]) < TAG_END:
+                end += 1
+            if end < len(text) and ord(text[end]) == TAG_END:
+                out.update(range(start, end + 1))
     return out
 
 
-def _paired_embeddings(points: list[int]) -> set[int]:
+def _paired_embeddings(text: str, places: list[int]) -> set[int]:
     """Positions of left-to-right and right-to-left embeddings that are closed, and of their closers; overrides never count."""
     out: set[int] = set()
     open_: list[int] = []
-    for i, c in enumerate(points):
+    for i in places:
+        c = ord(text[i])
         if c in (0x202A, 0x202B, 0x202D, 0x202E):
             open_.append(i)
         elif c == 0x202C and open_:
             start = open_.pop()
-            if points[start] <= 0x202B:
+            if ord(text[start]) <= 0x202B:
                 out |= {start, i}
     return out
 
@@ -160,12 +188,21 @@ def _glue(c: int) -> bool:
 
 
 def decisions(text: str, options: CleanOptions) -> Iterator[tuple[int, int, str | None, str]]:
-    """(position, code point, replacement or None to remove, kind) of every code point that isn't kept."""
-    points = list(map(ord, text))
-    flags, pairs = _flag_tags(points), _paired_embeddings(points)
+    """(position, code point, replacement or None to remove, kind) of every code point that isn't kept.
+
+    What is kept last before a place is the character before it, unless that is
+    of interest too; then what was decided there carries over.
+    """
+    places = [m.start() for m in _places(options.confusables).finditer(text)]
+    flags, pairs = _flag_tags(text, places), _paired_embeddings(text, places)
     kept: int | None = None
-    for i, c in enumerate(points):
-        before, after = points[i - 1] if i else None, points[i + 1] if i + 1 < len(points) else None
+    past = -1  # the last place of interest
+    for i in places:
+        c = ord(text[i])
+        before, after = ord(text[i - 1]) if i else None, ord(text[i + 1]) if i + 1 < len(text) else None
+        if i - 1 > past:
+            kept = before
+        past = i
         stays = not options.strip_bidi and (i in pairs or c in BIDI_MARKS)
         stays = stays or not options.strip_emoji_glue and (i in flags or _needed(c, before, after, kept))
         if not stays:
@@ -212,50 +249,77 @@ def clean(text: str, options: CleanOptions) -> tuple[str, int, int]:
     return result, removed, replaced
 
 
-_HITS = "struct<suspicious_total: bigint, hits: array<struct<codepoint: int, kind: string, confidence: string, count: bigint, sample_offsets: array<int>>>>"
+_HITS = "struct<suspicious_total: bigint, hits: array<struct<codepoint: int, label: string, kind: string, confidence: string, count: bigint, sample_offsets: array<int>>>>"
+_HIT_LIST = pa.list_(pa.struct([("codepoint", pa.int32()), ("label", pa.string()), ("kind", pa.string()), ("confidence", pa.string()), ("count", pa.int64()), ("sample_offsets", pa.list_(pa.int32()))]))
+
+
+def _hits(text: str) -> tuple[int, list[dict]]:
+    found: dict[tuple[int, str], list[int]] = {}
+    for at, c, _, what in decisions(text, INSPECTION):
+        found.setdefault((c, what), []).append(at)
+    ordered = sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))
+    hits = [{"codepoint": c, "label": label(c), "kind": what, "confidence": "informational" if what == "space" else "probable", "count": len(at), "sample_offsets": at[:10]} for (c, what), at in ordered]
+    return sum(map(len, found.values())), hits
+
+
+def _worth_rows(column: pa.Array, pattern: str) -> np.ndarray:
+    """Rows that the pattern finds something in; bytes that are no UTF-8 text are rows too."""
+    if not pa.types.is_binary(column.type):
+        return np.flatnonzero(pc.match_substring_regex(column.fill_null(""), pattern).to_numpy(zero_copy_only=False))
+    try:
+        return _worth_rows(column.cast(pa.string()), pattern)
+    except pa.ArrowInvalid:  # some are: all that hold more than ASCII are looked at
+        plain = pc.match_substring_regex(column.fill_null(b""), "^[\\x00-\\x7F]*$")
+        return np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+
+
+def _text(value: str | bytes) -> str:
+    """A text, or bytes as text: an invalid byte becomes U+DC00 plus the byte."""
+    return value if isinstance(value, str) else value.decode("utf-8", "surrogateescape")
 
 
 def inspect_text(df: DataFrame, text_col: str = "text", out_col: str = "inspection") -> DataFrame:
     """df with suspicious code points by (code point, kind): count and first ten offsets, most frequent first.
 
-    Inspection is stricter than cleaning: bidi controls always count.  A null
-    text has none.
+    The column holds text or bytes; an invalid byte is a unit of its own that is
+    never suspicious.  Inspection is stricter than cleaning: bidi controls always
+    count.  A null text has none.
     """
+    binary = dict(df.dtypes)[text_col] == "binary"
 
     @F.arrow_udf(_HITS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("codepoint", pa.int32()), ("kind", pa.string()), ("confidence", pa.string()), ("count", pa.int64()), ("sample_offsets", pa.list_(pa.int32()))]))
         for texts in batches:
             n = len(texts)
             totals, hits = [0] * n, [[]] * n
-            worth = pc.match_substring_regex(texts.fill_null(""), _INTEREST).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(worth).tolist():
-                found: dict[tuple[int, str], list[int]] = {}
-                for at, c, _, what in decisions(texts[i].as_py(), INSPECTION):
-                    found.setdefault((c, what), []).append(at)
-                totals[i] = sum(map(len, found.values()))
-                ordered = sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))
-                hits[i] = [{"codepoint": c, "kind": what, "confidence": "informational" if what == "space" else "probable", "count": len(at), "sample_offsets": at[:10]} for (c, what), at in ordered]
-            yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(hits, kind)], ["suspicious_total", "hits"])
+            for i in _worth_rows(texts, _worth(INSPECTION.confusables)).tolist():
+                totals[i], hits[i] = _hits(_text(texts[i].as_py()))
+            yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(hits, _HIT_LIST)], ["suspicious_total", "hits"])
 
-    return df.withColumn(out_col, run(F.col(text_col).cast("string")))
+    # Not deterministic for the optimizer: a filter on the outcome must not run it a second time.
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col) if binary else F.col(text_col).cast("string")))
 
 
 def clean_text(df: DataFrame, options: CleanOptions = CleanOptions(), text_col: str = "text", out_col: str = "cleaning") -> DataFrame:  # noqa: B008
-    """df with a struct of the cleaned text and the numbers of removed and replaced code points (null for a null text)."""
+    """df with a struct of the cleaned text and the numbers of removed and replaced code points (null for a null text).
+
+    The column holds text or bytes, and so does ``cleaned``; invalid bytes stay.
+    """
+    binary = dict(df.dtypes)[text_col] == "binary"
+    kind = pa.binary() if binary else pa.string()
 
-    @F.arrow_udf("struct<cleaned: string, removed: bigint, replaced: bigint>")
+    @F.arrow_udf(f"struct<cleaned: {'binary' if binary else 'string'}, removed: bigint, replaced: bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             removed, replaced = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            worth = pc.match_substring_regex(texts.fill_null(""), "[^\\x00-\\x7F]" if options.nfkc else _INTEREST).to_numpy(zero_copy_only=False)
+            worth = _worth_rows(texts, "[^\\x00-\\x7F]" if options.nfkc else _worth(options.confusables))
             out = texts
-            if worth.any():
+            if len(worth):
                 values = texts.to_pylist()
-                for i in np.flatnonzero(worth).tolist():
-                    values[i], removed[i], replaced[i] = clean(values[i], options)
-                out = pa.array(values, pa.string())
-            yield pa.StructArray.from_arrays([out.cast(pa.string()), pa.array(removed), pa.array(replaced)], ["cleaned", "removed", "replaced"], mask=texts.is_null())
-
-    return df.withColumn(out_col, run(F.col(text_col).cast("string")))
+                for i in worth.tolist():
+                    cleaned, removed[i], replaced[i] = clean(_text(values[i]), options)
+                    values[i] = cleaned.encode("utf-8", "surrogateescape") if binary else cleaned
+                out = pa.array(values, kind)
+            yield pa.StructArray.from_arrays([out.cast(kind), pa.array(removed), pa.array(replaced)], ["cleaned", "removed", "replaced"], mask=texts.is_null())
 
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col) if binary else F.col(text_col).cast("string")))

@@ -10,25 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import embedded
+from . import documents
+from .markers import AI_HINTS, C2PA_MARKERS, CONTENT_VALUE, DATA_AI, FRONTMATTER_KEYS, GENERATOR_AI, GENERATOR_KEYS, JSON_LD, META_TAG, PLAIN_MARKER, TOOL_NAME, VOCABULARY, is_c2pa  # noqa: F401
 
 # Substrings of a lower-cased finding that give its confidence, tried in this order.
 CONFIRMED = ["c2patool reports", "c2pa-related manifest", "png chunk c2", "png chunk cabx", "png chunk jumb", "png chunk jumd", "jpeg app11 segment", "digital_source_type", "digitalsourcetype", "trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia", "softwareagent"]
 INFORMATIONAL = ["cms generator", "customxml parts", "xmp packet present", "unsupported", "not fully inspected", "format not", "svg <metadata> present", "not a valid", "partial read", "truncated chunk", "bad segment length", "svg decode note", "truncated"]
 PROBABLE = ["ai:", "marker:", "meta:", "frontmatter", "json-ld", "attr:", "png ", "jpeg app", "exif", "xmp", "interesting", "pdf-structured", "layer-a"]
 
-# Vocabularies of metadata markers.
-C2PA_MARKERS = ["c2pa", "C2PA", "jumb", "JUMB", "c2ma", "contentcredentials", "contentauth", "cai:", "http://ns.adobe.com/xmp/InstanceID/"]
-AI_HINTS = ["c2pa", "C2PA", "contentcredentials", "ContentCredentials", "digitalSourceType", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "algorithmicMedia", "AIGC", "aigc", "AI generated", "Generated by", "Claude", "Anthropic", "OpenAI", "SynthID", "dcterms:provenance"]
-GENERATOR_KEYS = ["generator", "generated_by", "generatedby", "created_with", "createdwith", "made_with", "madewith", "creator", "producer", "software", "tool", "engine"]
-FRONTMATTER_KEYS = ["generator", "ai", "ai_generated", "ai-generated", "claude", "anthropic", "openai", "gemini", "synthid", "c2pa", "content_credentials", "contentcredentials", "provenance", "digital_source_type", "digitalsourcetype", "created_with", "createdwith", "model", "llm"]
-TOOL_NAME = r"(?i)generator|ai[-_ ]?generated|claude|anthropic|openai|gemini|synthid|c2pa|content.?credential|provenance|digital.?source|aigc"
-GENERATOR_AI = r"(?i)\bai\b|claude|anthropic|openai|chatgpt|gemini|synthid|copilot|midjourney|dall.?e|stable.?diffusion"
-PLAIN_MARKER = r"(?i)\bc2pa\b|\bcontent[-_ ]?credentials?\b|\bcontentauth\b|\bcai:|\bsynthid\b|\baigc\b|\bdigital[-_ ]?source[-_ ]?type\b|\b(trained[-_ ]?)?algorithmic[-_ ]?media\b"
-CONTENT_VALUE = r"""(?i)\bcontent\s*=\s*(?:"[^"]*"|'[^']*')"""
-META_TAG = r"(?is)<meta\b[^>]*>"
-JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>.*?</script\s*>"""
-DATA_AI = r"""(?i)\bdata-ai[\w-]*\s*=\s*["'][^"']*["']"""
+# Fixed value: an embedded image.
 DATA_URI = r"""(?i)data:image/[^"'\s<>()]+"""
 
 # File kinds by extension.
@@ -76,18 +66,22 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(tag, F.lit(rf"""(?i)(?:^|[\s<"'])(?:{name})\s*=\s*["']([^"']*)["']"""), F.lit(1)), F.lit(-1)), F.lit(""))
 
 
+def short(text: Column) -> Column:
+    """With single spaces, at most 80 characters."""
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 80)
+
+
 def hidden_evidence(html: Column, all_markers: bool = False) -> Column:
     """Evidence of embedded images and of markers in the text with its entities decoded."""
-    vocabulary = AI_HINTS + C2PA_MARKERS
 
     @F.arrow_udf("struct<c2pa: boolean, ai: boolean, findings: array<string>>")
     def inspect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
             for text in texts.to_pylist():
-                c2pa, ai, findings = embedded.embedded_images(text or "", AI_HINTS, C2PA_MARKERS)
-                if found := embedded.entity_markers(text or "", vocabulary, all_markers):
-                    c2pa, ai = c2pa or embedded.is_c2pa(found), True
+                c2pa, ai, findings = documents.embedded_images(text or "")
+                if found := documents.entity_markers(text or "", VOCABULARY, all_markers):
+                    c2pa, ai = c2pa or is_c2pa(found), True
                     findings.append(f"entity-encoded provenance markers: {', '.join(found)}")
                 out.append({"c2pa": c2pa, "ai": ai, "findings": findings})
             yield pa.array(out, pa.struct([("c2pa", pa.bool_()), ("ai", pa.bool_()), ("findings", pa.list_(pa.string()))]))
@@ -119,9 +113,9 @@ def html_evidence(df: DataFrame, html_col: str = "html", *, all_markers: bool =
     h = F.col("_hidden")
     m, b, a = F.col("_metas"), F.col("_blocks"), F.col("_attrs")
     findings = F.concat(
-        F.transform(F.filter(m, lambda x: x.cms | x.ai), lambda x: F.concat(F.when(x.cms, "info: cms generator: ").otherwise("meta: "), x.tag)),
+        F.transform(F.filter(m, lambda x: x.cms | x.ai), lambda x: F.concat(F.when(x.cms, "info: cms generator: ").otherwise("meta: "), short(x.tag))),
         F.transform(b, lambda x: F.lit("json-ld provenance-like block")),
-        F.transform(a, lambda x: F.concat(F.lit("attr: "), x)),
+        F.transform(a, lambda x: F.concat(F.lit("attr: "), short(x))),
         h.findings,
     )
     c2pa = F.exists(m, lambda x: x.c2pa) | F.exists(b, lambda x: x.rlike("(?i)c2pa|contentcredential")) | h.c2pa

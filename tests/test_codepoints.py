@@ -1,7 +1,10 @@
+import itertools
 import random
+import unicodedata
 
 import pytest
 
+from glyphlake.functions import codepoints
 from glyphlake.functions.codepoints import INSPECTION, CleanOptions, changed_by_nfkc, clean, clean_text, decisions, inspect_text
 
 
@@ -49,3 +52,45 @@ def test_columns(spark):
     assert rows[2].inspection.suspicious_total == 0
     rows = {r.id: r for r in clean_text(df).collect()}
     assert rows[1].cleaning.cleaned == "ab" and rows[2].cleaning is None and rows[4].cleaning.cleaned == "plain"
+
+
+def walked(text, options):
+    """decisions() as one walk over every code point."""
+    kept, out = None, []
+    places = range(len(text))
+    flags, pairs = codepoints._flag_tags(text, list(places)), codepoints._paired_embeddings(text, list(places))
+    for i, ch in enumerate(text):
+        c, before, after = ord(ch), ord(text[i - 1]) if i else None, ord(text[i + 1]) if i + 1 < len(text) else None
+        stays = not options.strip_bidi and (i in pairs or c in codepoints.BIDI_MARKS)
+        stays = stays or not options.strip_emoji_glue and (i in flags or codepoints._needed(c, before, after, kept))
+        if not stays and (c in codepoints._SINGLES or c in codepoints._ALWAYS):
+            out.append((i, None))
+        elif not stays and options.normalize_spaces and c in codepoints._SPACE_SET:
+            out.append((i, " "))
+            kept = 32
+        elif not stays and options.confusables and c in codepoints._CONFUSABLE:
+            out.append((i, codepoints._CONFUSABLE[c]))
+            kept = ord(codepoints._CONFUSABLE[c])
+        elif not stays and unicodedata.category(ch) == "Cf":
+            out.append((i, None))
+        elif not codepoints._glue(c):
+            kept = c
+    return out
+
+
+def test_places_of_interest_are_all_places():
+    rng = random.Random(1)
+    points = [0x61, 0x20, 0x200B, 0x200D, 0x200C, 0xA0, 0x202A, 0x202B, 0x202C, 0x202E, 0x2066, 0x1F468, 0x1F3F4, 0x430, 0xE0067, 0xE007F, 0xE0041, 0x3164, 0x4E00, 0xFE0F, 0x1780, 0x17B4, 0x180B, 0x1820, 0x115F, 0xAC00, 0x628, 0x915, 0x31, 0x23, 0x600, 0xFFFE, 0x13430, 0x13001, 0xE000, 0xE0100, 0xFF21, 0x34F, 0xDCFF, 0x3FFFF]
+    for options in (CleanOptions(*flags) for flags in itertools.product([False, True], repeat=4)):
+        for _ in range(300):
+            text = "".join(chr(rng.choice(points)) for _ in range(rng.randrange(14)))
+            assert [(i, new) for i, _, new, _ in decisions(text, options)] == walked(text, options)
+
+
+def test_bytes(spark):
+    rows = [(1, b"a\xffb"), (2, bytes.fromhex("E19E80FFE19EB4")), (3, b"a\xe2\x80\x8bb"), (4, None), (5, b"\xf0\x9f"), (6, b"")]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "id int, text binary")
+    got = {r.id: r.cleaning for r in clean_text(df).collect()}
+    assert {i: bytes(c.cleaned) if c else None for i, c in got.items()} == {1: b"a\xffb", 2: bytes.fromhex("E19E80FF"), 3: b"ab", 4: None, 5: b"\xf0\x9f", 6: b""}
+    found = {r.id: r.inspection for r in inspect_text(df).collect()}
+    assert [found[i].suspicious_total for i in range(1, 7)] == [0, 1, 1, 0, 0, 0] and found[3].hits[0].label == "U+200B ZERO WIDTH SPACE (Cf)"

@@ -47,7 +47,8 @@ def test_walkers():
     tag = b"ID3\x03\0\0\0\0\0\x0dTIT2\0\0\0\x03\0\0abc"
     assert [(p[2], p[3], p[4]) for p in binary.id3_frames(tag)] == [("TIT2", b"abc", "2.3")]
     for walk in binary.WALKERS.values():
-        assert list(walk(b"")) == [] and list(walk(b"plain text that is no media")) == list(walk(b"plain text that is no media"))
+        for data in (b"", b"plain text that is no media"):
+            assert all(part[5] for part in walk(data))
 
 
 def test_walker_in_sql(spark):
@@ -57,8 +58,19 @@ def test_walker_in_sql(spark):
 
 
 def test_corpus_lines(spark):
-    df = spark.createDataFrame([('{"text": "a"}',), ('{"other": 1}',), (" plain ",), ("",), (None,)], "value string")
-    assert sorted(r.text for r in corpus_texts(df).collect()) == ["a", "plain"]
+    lines = ['{"text": "a"}', '{"other": 1}', " plain ", "", None, "{not json", '{"text": 5}', '{"text": {"x": 1}}', '{"text": null}', '{"text": ""}', '[{"text": "b"}]', '\t{"text": "c"} ']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert sorted(r.text for r in corpus_texts(df).collect()) == ['[{"text": "b"}]', "a", "c", "plain", "{not json"]
+
+
+def test_a_root_may_have_any_name(spark, tmp_path):
+    root = tmp_path / ".data" / "build"
+    for name in ("a.txt", "vendor/b.txt", "build/c.txt", ".git/d.txt", "sub/.hidden/e.txt", "own/f.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    found = lambda **more: sorted(r.path.rpartition("build/")[2] for r in read_files(spark, str(root), **more).collect())
+    assert found() == ["a.txt", "own/f.txt", "vendor/b.txt"]
+    assert found(skipped=["own"]) == ["a.txt", "vendor/b.txt"]
 
 
 def test_files_and_landing(spark, tmp_path):

@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.functions import evidence, style
+from glyphlake.functions import arrays, evidence, style
 from glyphlake.operators import ngrams
 
 
@@ -90,7 +93,7 @@ def test_html_hidden_evidence(spark):
     uri = lambda raw, mime="png": f'<img src="data:image/{mime};base64,{base64.b64encode(raw).decode()}">'
     png = b"\x89PNG\r\n\x1a\n"
     packed = b"Software\0\0" + zlib.compress(b"made by Midjourney")
-    pages = ["<p>&#99;2pa</p>", uri(png + chunk(b"caBX", b"")), uri(png + chunk(b"zTXt", packed)), "<p>a &amp; b</p>" + uri(png + chunk(b"tEXt", b"Title\0x")), "<p>c2pa &amp; b</p>", '<img src="data:image/svg+xml,%3Csvg%3E%3Cmetadata/%3E">', uri(b"\xff\xd8\xff\xeb\0\4ab\xff\xd9", "jpeg"), None]
+    pages = ["<p>&#99;2pa</p>", uri(png + chunk(b"caBX", b"")), uri(png + chunk(b"zTXt", packed)), "<p>a &amp; b</p>" + uri(png + chunk(b"tEXt", b"Title\0x")), "<p>c2pa &amp; b</p>", '<img src="data:image/svg+xml,%3Csvg%3E%3Cmetadata%3Ex%3C/metadata%3E">', uri(b"\xff\xd8\xff\xeb\0\4ab\xff\xd9", "jpeg"), None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
     rows = {r.id: r for r in evidence.html_evidence(df).collect()}
     assert rows[0].has_c2pa and rows[0].findings == ["entity-encoded provenance markers: c2pa, C2PA, c2pa, C2PA"]
@@ -109,3 +112,31 @@ def test_holdout(spark):
     got = [(r.doc_id, r.holdout) for r in ngrams.holdout(df, "doc_id").collect()]
     assert len(got) == 20002 and all(h == (i is not None and i <= cut) for i, h in got)
     assert ngrams.kth_key(df, "doc_id", 17, parts=3, least=10) == sorted(ids)[16]
+
+
+def test_measures_of_many_texts(spark, monkeypatch):
+    """Texts measured together, and those apart, against their definitions."""
+    rng = random.Random(3)
+    parts = ["a", "b", "Éa", "it's", "x-", "-y", "'", "_", "1", " ", "  ", "\n", "\n\n", ".", "...", "! ", "?", "foo bar. ", "baz ", "é", "漢", "qux", "Ab", " \n", "\t", "-", "''"]
+    odd = ["```\n", "\u00a0", "\u03a3", "\u0130", "\x0b"]
+    texts = ["".join(rng.choice(parts + (odd if i % 4 == 0 else [])) for _ in range(rng.choice([0, 3, 10, 60, 400]))) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000, None)], "id int, text string")
+    rows = {r.id: r.style for r in style.style_measures(df).collect()}
+    for i, text in enumerate(texts):
+        n, k, diversity, cv = style.measures(text)
+        got = rows[i]
+        assert (got.n_words, got.n_sentences) == (n, k) and got.mattr == pytest.approx(diversity)
+        assert got.burstiness_cv is None if cv is None else got.burstiness_cv == pytest.approx(cv)
+    assert rows[1000].n_words == 0 and sum(rows[1000].hits) == 0
+    monkeypatch.setattr(arrays, "STRETCH", 100)
+    plain = [t.lower().rstrip() for i, t in enumerate(texts) if i % 4 and len(t.lower()) == len(t)]
+    together = [np.concatenate(x) for x in zip(*style._many(plain), strict=True)]
+    for i, text in enumerate(plain):
+        n, k, diversity, _ = style.measures(text)
+        assert (together[0][i], together[1][i]) == (n, k) and together[2][i] == pytest.approx(diversity)
+
+
+def test_marker_spans(spark):
+    df = spark.createDataFrame([("é We delve into it, and delve  INTO that.",), ("plain",), (None,)], "text string")
+    rows = [r.markers for r in style.marker_matches(df).collect()]
+    assert [(m.phrase, m["count"], m.samples, [(s.start, s.end) for s in m.spans]) for m in rows[0]] == [("delve into", 2, ["delve into", "delve  INTO"], [(5, 15), (24, 35)])] and rows[1:] == [[], []]
