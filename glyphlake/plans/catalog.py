@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codepoints, evidence, style
-from ..operators import ngrams
+from ..functions import codepoints, evidence, reports, style
+from ..operators import evaluation, ngrams
+from ..sources import tables, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,7 +35,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = tables.read_table(spark, sf_dir, name)
+    return tables.spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 # The tables hold no carrier and no style phrase, so queries about them put some in, by the same SQL text in both engines.
@@ -184,57 +186,32 @@ def style_scores(spark, sf_dir):
     return x.select("doc_id", "style.n_words", four("style.mattr"), four("style.burstiness_cv"), four("density"), four("score"), "density_tier", "confidence_level", "status")
 
 
-_GRAMS = """tok AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+|[^\\s\\p{L}\\p{Nd}_]') AS t FROM documents WHERE lang IN ('en', 'fr')),
+_GRAMS = """tok AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+|[^\\s\\p{L}\\p{Nd}_]') AS t FROM documents),
 flat AS (SELECT lang, doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM tok),
-grams AS (SELECT lang, tok, lag(tok, 2) OVER w AS c1, lag(tok, 1) OVER w AS c2 FROM flat WINDOW w AS (PARTITION BY lang, doc_id ORDER BY pos)),
-ctx AS (SELECT lang, c1, c2, tok, count(*) AS n FROM grams WHERE c1 IS NOT NULL GROUP BY ALL),
-tot AS (SELECT lang, c1, c2, sum(n) AS total FROM ctx GROUP BY ALL),
-uni AS (SELECT lang, tok, count(*) AS n FROM flat GROUP BY ALL),
-voc AS (SELECT lang, count(*) AS v, sum(n) AS s FROM uni GROUP BY lang)"""
-
-
-def _contrast(spark, sf_dir, **limits):
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", "text")
-    counts = ngrams.context_counts(docs, by=["lang"])
-    uni = docs.select("lang", F.explode(ngrams.tokens(F.col("text"))).alias("tok")).groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n"))
-    size = {r["lang"]: (r["v"], r["s"]) for r in uni.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("s")).collect()}  # two rows
-    (en, _), (fr, total) = size.get("en", (0, 0)), size.get("fr", (0, 0))
-    of = lambda df, lang: df.where(F.col("lang") == lang).drop("lang")
-    out = ngrams.contrast_scores(of(counts, "en"), of(counts, "fr"), of(uni, "fr"), en, fr, total, **limits)
-    return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
+grams AS (SELECT lang, doc_id, tok, lag(tok, 2) OVER w AS c1, lag(tok, 1) OVER w AS c2 FROM flat WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 
 
 @query(
     f"""WITH {_GRAMS},
-    p AS (SELECT a.c1, a.c2, a.tok, ln(((a.n + .4::DOUBLE) / greatest(ta.total + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'en'), 1) + 1e-6) /
-      ((CASE WHEN tb.total IS NOT NULL THEN (coalesce(b.n, 0) + .4::DOUBLE) / greatest(tb.total + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'fr'), 1)
-             ELSE (coalesce(u.n, 0) + .4::DOUBLE) / greatest((SELECT s FROM voc WHERE lang = 'fr') + .4::DOUBLE * (SELECT v FROM voc WHERE lang = 'fr'), 1) END) + 1e-6)) AS score
-      FROM ctx a JOIN tot ta USING (lang, c1, c2) LEFT JOIN tot tb ON tb.lang = 'fr' AND tb.c1 = a.c1 AND tb.c2 = a.c2
-      LEFT JOIN ctx b ON b.lang = 'fr' AND b.c1 = a.c1 AND b.c2 = a.c2 AND b.tok = a.tok LEFT JOIN uni u ON u.lang = 'fr' AND u.tok = a.tok WHERE a.lang = 'en' AND ta.total >= 2)
-    SELECT c1, c2, tok, rank, round(score, 5) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 12) DESC, tok))::INTEGER AS rank FROM p) WHERE rank <= 5"""
+    ctx AS (SELECT coalesce(lang = 'en', false) AS target, c1, c2, tok, count(*) AS n FROM grams WHERE c1 IS NOT NULL GROUP BY ALL),
+    tot AS (SELECT target, c1, c2, sum(n) AS total FROM ctx GROUP BY ALL),
+    uni AS (SELECT coalesce(lang = 'en', false) AS target, tok, count(*) AS n FROM flat GROUP BY ALL),
+    voc AS (SELECT target, count(*) AS v, sum(n) AS s FROM uni GROUP BY target),
+    p AS (SELECT a.c1, a.c2, a.tok, ln(((a.n + .4::DOUBLE) / greatest(ta.total + .4::DOUBLE * (SELECT v FROM voc WHERE target), 1) + 1e-6) /
+      ((CASE WHEN tb.total IS NOT NULL THEN (coalesce(b.n, 0) + .4::DOUBLE) / greatest(tb.total + .4::DOUBLE * (SELECT v FROM voc WHERE NOT target), 1)
+             ELSE (coalesce(u.n, 0) + .4::DOUBLE) / greatest((SELECT s FROM voc WHERE NOT target) + .4::DOUBLE * (SELECT v FROM voc WHERE NOT target), 1) END) + 1e-6)) AS score
+      FROM ctx a JOIN tot ta USING (target, c1, c2) LEFT JOIN tot tb ON NOT tb.target AND tb.c1 = a.c1 AND tb.c2 = a.c2
+      LEFT JOIN ctx b ON NOT b.target AND b.c1 = a.c1 AND b.c2 = a.c2 AND b.tok = a.tok LEFT JOIN uni u ON NOT u.target AND u.tok = a.tok WHERE a.target)
+    SELECT c1, c2, tok, rank, round(score, 5) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 12) DESC, tok))::INTEGER AS rank FROM p) WHERE rank <= 50"""
 )
 def ngram_contrast(spark, sf_dir):
-    """Contexts found twice or more and their five best; ngram_contrast_all has the operator's own limits."""
-    return _contrast(spark, sf_dir, min_context=2, top=5)
-
-
-@query(_SQL["ngram_contrast"].replace("ta.total >= 2", "ta.total >= 1").replace("rank <= 5", "rank <= 50"))
-def ngram_contrast_all(spark, sf_dir):
-    """Every context and its fifty best."""
-    return _contrast(spark, sf_dir)
+    """English against all other documents, with the operator's own limits: every context and its fifty best."""
+    out = ngrams.corpus_contrast(table(spark, sf_dir, "documents"), F.col("lang") == "en")
+    return out.select(F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "rank", "score")
 
 
-@query(f"WITH {_GRAMS} SELECT lang, c1, c2, tok, n FROM ctx")
+@query(f"WITH {_GRAMS} SELECT lang, c1, c2, tok, count(*) AS n FROM grams WHERE c1 IS NOT NULL GROUP BY ALL")
 def ngram_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')")
-    return ngrams.context_counts(docs, by=["lang"]).select("lang", F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "n")
-
-
-_ALL_GRAMS = _GRAMS.replace(" WHERE lang IN ('en', 'fr')", "")
-
-
-@query(f"WITH {_ALL_GRAMS} SELECT lang, c1, c2, tok, n FROM ctx")
-def ngram_counts_all(spark, sf_dir):
     """Trigrams of every language, null among them."""
     return ngrams.context_counts(table(spark, sf_dir, "documents"), by=["lang"]).select("lang", F.col("ctx")[0].alias("c1"), F.col("ctx")[1].alias("c2"), "tok", "n")
 
@@ -263,6 +240,27 @@ def turn_similarity(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", divergence.alias("divergence"), F.round(ngrams.preserved("[0-9]+", F.col("x"), F.col("y")), 6).alias("numbers"))
 
 
+_NUMBERED = "(SELECT conv_id, turn, x || ' see http://ex.com/' || length(x) % 3 || ' or https://ex.org' AS x, y || ' see http://ex.com/' || length(y) % 3 AS y FROM {turns}) t"
+
+
+@query(
+    f"""SELECT conv_id, turn, len(list_intersect(list_distinct(regexp_extract_all(x, 'https?://\\S+')), list_distinct(regexp_extract_all(y, 'https?://\\S+')))) / len(list_distinct(regexp_extract_all(x, 'https?://\\S+'))) AS urls,
+    greatest(1, length(x) // 4)::INTEGER AS tokens_in, round(length(y) / greatest(length(x), 1), 6) AS length_ratio FROM {_NUMBERED.replace('{turns}', _TURNS)}"""
+)
+def turn_quality(spark, sf_dir):
+    """URLs that a turn's answer keeps, tokens by length, and the ratio of lengths."""
+    t = spark.sql(f"SELECT * FROM {_NUMBERED}", turns=_turns(spark, sf_dir))
+    x, y = F.col("x"), F.col("y")
+    return t.select("conv_id", "turn", ngrams.preserved(r"https?://\S+", x, y).alias("urls"), evaluation.token_estimate(x).alias("tokens_in"), F.round(evaluation.length_ratio(x, y), 6).alias("length_ratio"))
+
+
+@query("SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS divergence FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_divergence(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", F.round(evaluation.semantic_divergence(F.col("embedding"), F.col("after")), 6).alias("divergence"))
+
+
 @query(
     """WITH x AS (SELECT n_chars::DOUBLE AS s, quality AS y FROM documents JOIN labels USING (doc_id)),
     r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM x)
@@ -289,18 +287,50 @@ def variant_skyline(spark, sf_dir):
     round(avg(value), 6) AS mean_value, list_sort(list(value))[(count(value) // 2 + 1)::BIGINT] AS upper_median, round(median(value), 9) AS true_median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"""
 )
 def variant_aggregate(spark, sf_dir):
-    """Rates with a zero guard, means, upper and true medians; the upper median comes from counts by value, not from collected rows."""
+    """Rates with a zero guard, means, upper and true medians."""
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "variant")
-    upper = F.col("below") <= F.floor(F.col("all") / 2)
-    by = e.where("value is not null").groupBy("variant", "value").agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("variant")
-    ranked = by.withColumn("below", F.coalesce(F.sum("k").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("k").over(w))
-    median = ranked.where(upper).groupBy("variant").agg(F.max("value").alias("upper_median"))
     cleared = F.count_if(F.col("value") > 60)
-    out = e.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), cleared.alias("cleared"), F.round(F.try_divide(cleared, F.count(F.lit(1))), 6).alias("clear_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.median("value"), 9).alias("true_median"), F.countDistinct("user_id").alias("users"))
-    return out.join(median, "variant", "left").select("variant", "n", "cleared", "clear_rate", "mean_value", "upper_median", "true_median", "users")
+    out = e.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), cleared.alias("cleared"), F.round(F.try_divide(cleared, F.count(F.lit(1))), 6).alias("clear_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.countDistinct("user_id").alias("users"))
+    medians = evaluation.grouped_medians(e, ["variant"], "value").select("variant", "upper_median", F.round("true_median", 9).alias("true_median"))
+    return out.join(medians, "variant", "left").select("variant", "n", "cleared", "clear_rate", "mean_value", "upper_median", "true_median", "users")
+
+
+# Events as result rows of a search: the same SQL text in both engines.
+_RESULTS = """(SELECT event_type AS variant, value > 20 AS before_pos, value > 80 AS after_pos, CASE WHEN value < 90 THEN value > 60 END AS cleared, value > 75 AS robust_cleared, value < 5 AS noop,
+  CASE WHEN user_id % 5 > 0 THEN value END AS score_before, CASE WHEN user_id % 7 > 0 THEN value / 2 END AS score_after, value - 50 AS margin, value / 10 AS seconds, CASE WHEN value < 95 THEN floor(value / 25) END AS attempts,
+  value / 1000 AS usd, CASE WHEN value > 10 THEN value / 100 END AS ai_style_score, CASE WHEN value > 30 THEN value / 100 END AS lexical, CASE WHEN value > 50 THEN value / 200 END AS semantic,
+  CASE WHEN value > 30 THEN CAST(floor(value) AS BIGINT) END AS tokens_out, CASE WHEN value > 92 THEN 'slow' WHEN value < 3 THEN 'identical watermarked generation' END AS note, floor(value / 20) AS level FROM events) r"""
+
+
+def _results(spark, sf_dir):
+    r = spark.sql("SELECT * FROM " + _RESULTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    quality = F.when(F.col("lexical").isNotNull(), F.struct(F.col("lexical").alias("lexical_divergence"), F.col("semantic").alias("semantic_divergence"), F.lit(1.0).alias("length_ratio"), F.lit(1.0).alias("numbers_preserved"), F.col("tokens_out").alias("tokens_in"), "tokens_out"))
+    return r.withColumns({"quality": quality, "notes": F.array_compact(F.array("note")), "semantic_divergence": F.col("semantic"), "lexical_divergence": F.col("lexical")})
+
+
+@query(
+    f"""SELECT variant, count(*) AS n, count(CASE WHEN before_pos THEN 1 END) AS before_positive, count(CASE WHEN cleared THEN 1 END) AS cleared, round(count(CASE WHEN cleared THEN 1 END) / nullif(count(CASE WHEN before_pos THEN 1 END), 0), 4) AS clear_rate,
+    count(CASE WHEN robust_cleared THEN 1 END) AS robust_cleared, count(CASE WHEN noop THEN 1 END) AS noop_n, count(ai_style_score) AS human_n, round(avg(score_before), 4) AS mean_score_before, round(avg(score_before - score_after), 4) AS mean_score_delta,
+    round(list_sort(list(score_before - score_after) FILTER (score_before - score_after IS NOT NULL))[(count(score_before - score_after) // 2 + 1)::BIGINT], 4) AS median_score_delta, count(semantic) AS semantic_n, round(avg(semantic), 4) AS mean_semantic_divergence,
+    round(avg(attempts), 2) AS mean_attempts, round(sum(coalesce(usd, 0)), 6) AS est_usd, coalesce(array_to_string(list_sort(list(DISTINCT note) FILTER (note IS NOT NULL)), ','), '') AS notes FROM {_RESULTS} GROUP BY variant"""
+)
+def variant_results(spark, sf_dir):
+    x = evaluation.variant_summary(_results(spark, sf_dir))
+    names = ["variant", "n", "before_positive", "cleared", "clear_rate", "robust_cleared", "noop_n", "human_n", "mean_score_before", "mean_score_delta", "median_score_delta", "semantic_n", "mean_semantic_divergence", "mean_attempts", "est_usd"]
+    return x.select(*names, F.array_join("notes", ",").alias("notes"))
+
+
+@query(
+    f"""SELECT count(cleared) AS n_samples, count(CASE WHEN cleared THEN 1 END) AS n_cleared, round(count(CASE WHEN cleared THEN 1 END) / count(cleared), 4) AS clear_rate, count(CASE WHEN cleared IS NULL AND coalesce(attempts, 0) = 0 THEN 1 END) AS n_excluded,
+    count(CASE WHEN starts_with(note, 'identical') THEN 1 END) AS n_duplicate_generations, round(avg(CASE WHEN cleared THEN level END), 4) AS mean_min_level, round(median(CASE WHEN cleared THEN level END), 4) AS median_min_level,
+    round(median(CASE WHEN cleared THEN semantic END), 4) AS median_min_semantic_divergence, round(avg(CASE WHEN cleared THEN margin END), 4) AS mean_min_margin, count(CASE WHEN cleared AND level = 3 THEN 1 END) AS at_level_3,
+    count(CASE WHEN cleared IS NULL AND coalesce(attempts, 0) = 0 AND note = 'slow' THEN 1 END) AS excluded_slow FROM {_RESULTS}"""
+)
+def search_summary(spark, sf_dir):
+    x = evaluation.minimal_summary(_results(spark, sf_dir))
+    names = ["n_samples", "n_cleared", "clear_rate", "n_excluded", "n_duplicate_generations", "mean_min_level", "median_min_level", "median_min_semantic_divergence", "mean_min_margin"]
+    at = F.coalesce(F.element_at("level_usage", F.lit(3.0)), F.lit(0)) if dict(x.dtypes)["level_usage"].startswith("map<double") else F.coalesce(F.element_at("level_usage", F.lit(3).cast("bigint")), F.lit(0))
+    return x.select(*names, at.alias("at_level_3"), F.coalesce(F.element_at("excluded_reasons", F.lit("slow")), F.lit(0)).alias("excluded_slow"))
 
 
 # Pages carry no evidence either: every third gets an AI generator tag, every third a CMS one, every third a JSON-LD block.
@@ -358,11 +388,20 @@ def page_markers(spark, sf_dir):
     CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '(?i)\\.html?$') THEN 'container' ELSE 'unknown' END AS kind FROM pages"""
 )
 def page_origins(spark, sf_dir):
-    url = F.col("url")
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    authority = F.try_parse_url(url, F.lit("AUTHORITY"))
-    port = F.coalesce(F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).cast("int"), F.when(scheme == "https", 443).when(scheme == "http", 80))
-    return table(spark, sf_dir, "pages").select("page_id", scheme.alias("scheme"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("host"), port.alias("port"), evidence.kind_by_extension(F.try_parse_url(url, F.lit("PATH"))).alias("kind"))
+    x = table(spark, sf_dir, "pages").withColumn("o", web.origin(F.col("url")))
+    return x.select("page_id", "o.scheme", "o.host", "o.port", evidence.kind_by_extension(F.try_parse_url("url", F.lit("PATH"))).alias("kind"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(?i)\\.html?$') THEN 'html' WHEN starts_with(ltrim(html, ' ' || chr(9) || chr(10) || chr(13)), '<') AND contains(lower(substr(html, 1, 480)), 'svg') THEN 'svg'
+    WHEN contains(lower(substr(html, 1, 2000)), '<html') OR starts_with(ltrim(html, ' ' || chr(9) || chr(10) || chr(13)), '<') THEN 'html' ELSE 'text' END AS by_content,
+    CASE WHEN length(html) % 3 = 0 THEN 'pdf' WHEN length(html) % 3 = 1 THEN 'html' ELSE 'mp4' END AS by_type FROM pages"""
+)
+def remote_kinds(spark, sf_dir):
+    """Kinds of fetched pages without a content type, and with one that their length names."""
+    kind = F.element_at(F.array(F.lit("application/pdf; x=y"), F.lit(" Text/HTML"), F.lit("video/quicktime")), (F.length("html") % 3 + 1).cast("int"))
+    body = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", web.remote_kind(F.col("url"), body, F.lit("")).alias("by_content"), web.remote_kind(F.col("url"), body, kind).alias("by_type"))
 
 
 _FINDINGS = ["Layer-A U+00A0 (space)", "Layer-A U+200B (zwj_family)", "PNG chunk caBX", "info: cms generator: x", "byte-scan hit: c2pa", "meta: generator", "truncated chunk", "XMP packet present", "attr: data-ai", "plain note", "softwareAgent found", "JPEG APP1 exif"]
@@ -376,24 +415,25 @@ def finding_confidences(spark, sf_dir):
     return x.withColumn("confidence", evidence.finding_confidence(F.col("finding")))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE text <> ''")
+_LINES = """(SELECT conv_id, turn, CASE length(text) % 5 WHEN 0 THEN text WHEN 1 THEN '{' || text WHEN 2 THEN '{"role": "' || role || '"}' WHEN 3 THEN '{"text": ' || length(text) || '}' ELSE ' {"text": "' || role || ' ' || length(text) || '"} ' END AS value FROM conversations) lines"""
+
+
+@query(
+    f"""SELECT conv_id, turn, text FROM (SELECT conv_id, turn, CASE WHEN starts_with(trim(value), '{{') AND json_valid(value) THEN CASE WHEN json_type(value, '$.text') = 'VARCHAR' THEN json_extract_string(value, '$.text') END
+    ELSE regexp_replace(value, '^\\s+|\\s+$', '', 'g') END AS text FROM {_LINES}) WHERE text <> ''"""
+)
 def jsonl_corpus(spark, sf_dir):
-    """Conversations as JSON lines, read back through the corpus reader."""
+    """Conversations as lines: plain ones, broken objects, objects without the field, with a number in it, and whole ones."""
     from ..sources.corpus import corpus_texts
 
-    c = table(spark, sf_dir, "conversations")
-    lines = c.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("value"))
+    lines = spark.sql("SELECT * FROM " + _LINES.replace("{", "{{").replace("}", "}}").replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, sf_dir, "conversations"))
     return corpus_texts(lines, "text").select("conv_id", "turn", "text")
 
 
 @query("WITH d AS (SELECT source, dense_rank() OVER (ORDER BY source) AS r FROM (SELECT DISTINCT source FROM documents)), n AS (SELECT max(r) AS k FROM d) SELECT source, r <= greatest(1, round_even(k * 0.3, 0)) AS holdout FROM d, n")
 def holdout_split(spark, sf_dir):
-    """The first share of the sorted keys is held out; the window runs over distinct keys."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").select("source").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("source")))
-    share = max(1, round(d.count() * 0.3))  # half to even
-    return d.select("source", (F.col("r") <= share).alias("holdout"))
+    """Sources split by name: the first share of the sorted ones is held out."""
+    return ngrams.holdout(table(spark, sf_dir, "documents").select("source").distinct(), "source")
 
 
 @query("WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id) AS r FROM documents), n AS (SELECT max(r) AS k FROM d) SELECT doc_id, r <= greatest(1, round_even(k * 0.3, 0)) AS holdout FROM d, n")
@@ -457,46 +497,37 @@ def binary_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content")).select("doc_id", evidence.binary_reason(F.col("content")).alias("reason"))
 
 
-@query(f"SELECT variant, round(0.5 * rate + 0.3 * (1 - loss / 100) + 0.2 * gain / 100, 6) AS weighted FROM {_VARIANTS} WHERE rate >= 0.1 ORDER BY round(0.5 * rate + 0.3 * (1 - loss / 100) + 0.2 * gain / 100, 6) DESC, variant LIMIT 1")
+@query(
+    f"""WITH v AS (SELECT variant, gain / 100 AS human_like, loss / 100 AS sem_div, rate FROM {_VARIANTS}),
+    front AS (SELECT * FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.rate >= a.rate AND b.sem_div <= a.sem_div AND b.human_like >= a.human_like AND (b.rate > a.rate OR b.sem_div < a.sem_div OR b.human_like > a.human_like)))
+    SELECT variant, round(0.5 * rate + 0.3 * (1 - sem_div) + 0.2 * human_like, 6) AS weighted FROM front WHERE rate >= 0.1"""
+)
 def variant_selection(spark, sf_dir):
-    """The best variant over a coverage floor by weighted axes (null if an axis is)."""
+    """The frontier's variants over a coverage floor, by weighted axes."""
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"))
     nine = lambda c: F.round(c, 9)
-    v = e.agg(nine(F.avg("value")).alias("gain"), nine(F.avg(F.abs(F.col("value") - 50))).alias("loss"), nine(F.count_if(F.col("value") > 60) / F.count(F.lit(1))).alias("rate"))
-    weighted = F.round(0.5 * F.col("rate") + 0.3 * (1 - F.col("loss") / 100) + 0.2 * F.col("gain") / 100, 6)
-    return v.where("rate >= 0.1").select("variant", weighted.alias("weighted")).orderBy(F.desc("weighted"), "variant").limit(1)
+    v = e.agg((nine(F.avg("value")) / 100).alias("human_like"), (nine(F.avg(F.abs(F.col("value") - 50))) / 100).alias("sem_div"), nine(F.count_if(F.col("value") > 60) / F.count(F.lit(1))).alias("robust_clear_rate"))
+    out = evaluation.ranked_on_frontier(v, "variant", (0.5, 0.3, 0.2), coverage_floor=0.1)
+    return out.select("variant", F.round("weighted_score", 6).alias("weighted"))
 
 
-@query("SELECT event_type AS variant, CASE WHEN count(value) = 0 THEN 'undetermined' WHEN max(value) >= 95 THEN 'removable' WHEN max(value) >= 50 THEN 'partial' ELSE 'resists' END AS verdict FROM events GROUP BY event_type")
+@query("SELECT event_type AS variant, CASE WHEN count(value) = 0 THEN 'undetermined' WHEN max(value) >= 100 THEN 'removable' WHEN max(value) > 0 THEN 'partial' ELSE 'resists' END AS verdict FROM events GROUP BY event_type")
 def variant_verdict(spark, sf_dir):
-    best = F.max("value")
-    verdict = F.when(best.isNull(), "undetermined").when(best >= 95, "removable").when(best >= 50, "partial").otherwise("resists")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant")).agg(verdict.alias("verdict"))
-
-
-def _sequence_scores(spark, sf_dir, least):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scorer = ngrams.context_counts(docs.where("lang = 'en'")).where(F.col("n") >= least).select("ctx", "tok", F.round(F.log(F.col("n") + 1.0), 5).alias("score"))
-    out = ngrams.sequence_scores(docs, scorer)
-    return out.select("doc_id", F.round("score_sum", 5).alias("score_sum"), "applied", F.round(F.try_divide(F.round("score_sum", 5), F.col("applied")), 4).alias("mean"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant")).agg(evaluation.verdict(F.max("value") / 100).alias("verdict"))
 
 
 @query(
     f"""WITH {_GRAMS},
-    hits AS (SELECT doc_id, sum(s.score) AS score_sum, count(*) AS applied FROM grams_doc g JOIN (SELECT c1, c2, tok, round(ln(n + 1), 5) AS score FROM ctx WHERE lang = 'en' AND n >= 3) s USING (c1, c2, tok) GROUP BY doc_id)
-    SELECT d.doc_id, round(coalesce(score_sum, 0), 5) AS score_sum, coalesce(applied, 0) AS applied, round(round(score_sum, 5) / applied, 4) AS mean FROM documents d LEFT JOIN hits USING (doc_id)""".replace(
-        "hits AS", "grams_doc AS (SELECT doc_id, tok, lag(tok, 2) OVER w AS c1, lag(tok, 1) OVER w AS c2 FROM (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+|[^\\s\\p{L}\\p{Nd}_]') AS t FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),\n    hits AS"
-    )
+    ctx AS (SELECT c1, c2, tok, round(ln(count(*) + 1), 5) AS score FROM grams WHERE c1 IS NOT NULL AND lang = 'en' GROUP BY ALL),
+    hits AS (SELECT doc_id, sum(score) AS score_sum, count(*) AS applied FROM grams JOIN ctx USING (c1, c2, tok) GROUP BY doc_id)
+    SELECT d.doc_id, round(coalesce(score_sum, 0), 5) AS score_sum, coalesce(applied, 0) AS applied, round(round(score_sum, 5) / applied, 4) AS mean FROM documents d LEFT JOIN hits USING (doc_id)"""
 )
 def sequence_scores(spark, sf_dir):
-    """Every document under a scorer of the frequent English trigrams; sequence_scores_all takes them all."""
-    return _sequence_scores(spark, sf_dir, 3)
-
-
-@query(_SQL["sequence_scores"].replace(" AND n >= 3", ""))
-def sequence_scores_all(spark, sf_dir):
     """Every document under a scorer of all English trigrams."""
-    return _sequence_scores(spark, sf_dir, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scorer = ngrams.context_counts(docs.where("lang = 'en'")).select("ctx", "tok", F.round(F.log(F.col("n") + 1.0), 5).alias("score"))
+    out = ngrams.sequence_scores(docs, scorer)
+    return out.select("doc_id", F.round("score_sum", 5).alias("score_sum"), "applied", F.round(F.try_divide(F.round("score_sum", 5), F.col("applied")), 4).alias("mean"))
 
 
 @query(
@@ -538,3 +569,64 @@ def content_kinds(spark, sf_dir):
     content = F.element_at(F.array(*(F.unhex(F.lit(s)) for s in samples)), i)
     path = F.element_at(F.array(*map(F.lit, ["/a/x.HTML", "/a/x", "/a/x.bin", "/x", "/x", "/x"])), i)
     return table(spark, sf_dir, "pages").select("page_id", evidence.kind_by_content(path, content).alias("kind"), evidence.av_format(content).alias("av"))
+
+
+# Documents and pages as files.
+
+
+@query(
+    f"""WITH {_UNITS}, per_doc AS (SELECT doc_id, count(kind) AS total, count(CASE WHEN kind <> 'space' THEN 1 END) AS probable FROM verdicts GROUP BY doc_id),
+    items AS (SELECT 'text' AS kind, false AS c2pa, false AS ai, coalesce(total, 0) AS total, coalesce(probable, 0) AS probable FROM documents LEFT JOIN per_doc USING (doc_id)
+      UNION ALL SELECT 'html', contains(html, '"p":"c2pa"'), contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"'), 0, CASE WHEN contains(html, '"p":"c2pa"') OR contains(html, 'content="Midjourney AI"') THEN 1 ELSE 0 END FROM {_PAGES})
+    SELECT kind, count(*) AS files, count(CASE WHEN c2pa THEN 1 END) AS with_c2pa, count(CASE WHEN ai THEN 1 END) AS with_ai_metadata, count(CASE WHEN total > 0 THEN 1 END) AS with_suspicious_text,
+    count(CASE WHEN c2pa OR probable > 0 THEN 1 END) AS actionable_files FROM items GROUP BY kind"""
+)
+def file_audit(spark, sf_dir):
+    """The audit of files by kind: documents as text files, pages as HTML files."""
+    texts = injected(spark, sf_dir).select(F.format_string("doc/%d.txt", "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    pages = _pages(spark, sf_dir).select(F.format_string("page/%d.html", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
+    items = reports.audit_items(reports.inspect_files(texts.unionByName(pages)))
+    summary = reports.audit_summary(items.withColumn("group", F.col("kind")), ["group"])
+    return summary.select(F.col("group").alias("kind"), F.col("total").alias("files"), "with_c2pa", "with_ai_metadata", "with_suspicious_text", "actionable_files")
+
+
+@query(
+    f"""WITH {_UNITS}, {_STYLE[5:]},
+    tiers AS (SELECT doc_id, CASE WHEN score IS NULL THEN 'uncalibrated' WHEN score >= .65 THEN 'high' WHEN score >= .4 THEN 'medium' ELSE 'low' END AS tier FROM scored)
+    SELECT doc_id, 'unicode' AS detector, kind AS what, count(*) AS hits, CASE WHEN kind = 'space' THEN 'informational' ELSE 'probable' END AS severity FROM verdicts WHERE kind IS NOT NULL GROUP BY doc_id, cp, kind
+    UNION ALL SELECT doc_id, 'stylometry', label, hits, tier FROM (SELECT doc_id, label, len(regexp_extract_all(text, pattern)) AS hits FROM {_INJECTED} CROSS JOIN (VALUES {_MARKER_ROWS}) m(n, pattern, label, weight)) JOIN tiers USING (doc_id) WHERE hits > 0"""
+)
+def flagged_texts(spark, sf_dir):
+    """Everything that the text audit flags, carriers and style markers."""
+    x = reports.text_audit(injected(spark, sf_dir), id_col="doc_id")
+    return x.select("doc_id", "detector", F.coalesce("kind", "phrase").alias("what"), F.col("count").alias("hits"), "severity")
+
+
+@query(
+    f"""WITH {_UNITS}, {_STYLE[5:]}, per_doc AS (SELECT doc_id, count(kind) AS total FROM verdicts GROUP BY doc_id)
+    SELECT doc_id, coalesce(score >= .65, false) OR coalesce(total, 0) > 0 AS suspicious, coalesce(score >= .65, false) AS detected FROM scored LEFT JOIN per_doc USING (doc_id)"""
+)
+def file_verdicts(spark, sf_dir):
+    """The verdict on each document as a file, and whether any detector that is there says yes."""
+    files = injected(spark, sf_dir).select("doc_id", F.format_string("doc/%d.txt", "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    x = reports.styled(reports.detect(reports.inspect_files(files)))
+    return x.select("doc_id", reports.is_suspicious(F.col("report"), F.col("style_score")).alias("suspicious"), reports.any_positive(F.col("detections")).alias("detected"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(length(text), 0) % 4 AS form, contains(coalesce(text, ''), 'the') AS marked FROM documents)
+    SELECT doc_id, CASE form WHEN 0 THEN 'gif' WHEN 1 THEN 'wav' WHEN 2 THEN 'pdf' ELSE 'latex' END AS format, marked AS has_ai_metadata,
+    CASE form WHEN 0 THEN 'GIF comment extension present' || CASE WHEN marked THEN '|GIF comment: AIGC, aigc' ELSE '' END WHEN 1 THEN CASE WHEN marked THEN 'WAV LIST INFO chunk: AIGC, aigc' ELSE '' END
+      WHEN 2 THEN CASE WHEN marked THEN 'pdf-structured:ai:AIGC|pdf-structured:ai:aigc' ELSE 'no PDF AI metadata markers found' END ELSE CASE WHEN marked THEN 'latex ai: hypersetup pdfauthor' ELSE 'info: latex hypersetup pdfauthor' END END AS findings FROM d"""
+)
+def built_files(spark, sf_dir):
+    """Files written around documents: a GIF comment, a WAV tag, a PDF with the text in a stream, or a LaTeX head; each marked if the text holds a word."""
+    told = "concat(coalesce(source, ''), if(contains(coalesce(text, ''), 'the'), ' AIGC', ''))"
+    one, word = f"unhex(lpad(hex(octet_length({told})), 2, '0'))", f"unhex(rpad(lpad(hex(octet_length({told}) + 4), 2, '0'), 8, '0'))"
+    gif = f"concat(unhex('47494638396100000000000000'), unhex('21FE'), {one}, cast({told} as binary), unhex('003B'))"
+    wav = f"concat(cast('RIFF' as binary), unhex('00000000'), cast('WAVELIST' as binary), {word}, cast('INFO' as binary), cast({told} as binary), unhex('00'))"
+    pdf = f"cast(concat('%PDF-1.4', chr(10), 'stream', chr(10), coalesce(text, ''), ' c2pa', chr(10), 'endstream', chr(10), '/Producer (', {told}, ')') as binary)"
+    tex = f"cast(concat('{chr(92) * 2}hypersetup{{pdfauthor={{', {told}, '}}}}') as binary)"
+    form = "coalesce(length(text), 0) % 4"
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", f"if({form} = 3, 'x.tex', 'x') AS path", f"CASE {form} WHEN 0 THEN {gif} WHEN 1 THEN {wav} WHEN 2 THEN {pdf} ELSE {tex} END AS content")
+    return reports.inspect_files(files).select("doc_id", "report.format", "report.has_ai_metadata", F.array_join("report.findings", "|").alias("findings"))

@@ -46,8 +46,8 @@ def test_whole_ngram_jobs(spark, tmp_path):
     docs = [(1, "a b c", "en"), (2, "a b d", "de"), (3, "a b e", None), (4, "x y " + " x y ".join(f"t{i:02}" for i in range(60)), "en"), (5, "a b c", "fr")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    assert {(r.lang, r.c1, r.c2, r.tok, r.n) for r in run("ngram_counts_all") if r.c1 == "a"} == {("en", "a", "b", "c", 1), ("de", "a", "b", "d", 1), (None, "a", "b", "e", 1), ("fr", "a", "b", "c", 1)}
-    contrast = run("ngram_contrast_all")
+    assert {(r.lang, r.c1, r.c2, r.tok, r.n) for r in run("ngram_counts") if r.c1 == "a"} == {("en", "a", "b", "c", 1), ("de", "a", "b", "d", 1), (None, "a", "b", "e", 1), ("fr", "a", "b", "c", 1)}
+    contrast = run("ngram_contrast")
     assert len([r for r in contrast if r.c1 == "a"]) == 1  # a context found once
     assert len([r for r in contrast if (r.c1, r.c2) == ("x", "y")]) == 50
-    assert {r.doc_id: r.applied for r in run("sequence_scores_all")} == {1: 1, 2: 0, 3: 0, 4: 178, 5: 1}
+    assert {r.doc_id: r.applied for r in run("sequence_scores")} == {1: 1, 2: 0, 3: 0, 4: 178, 5: 1}
