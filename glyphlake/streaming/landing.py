@@ -1,4 +1,4 @@
-"""Audit of files as they land: a file stream that takes each file once and appends its report."""
+"""Audit of files as they land: a file stream that takes each file once, whole, and appends its report."""
 
 from __future__ import annotations
 
@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.codepoints import inspect_text
+from ..functions import reports
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
-def audit_lines(lines: DataFrame) -> DataFrame:
-    """(path, lines, suspicious_total) of text lines with their file."""
-    x = inspect_text(lines, "value")
-    return x.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("inspection.suspicious_total").alias("suspicious_total"))
 
+def audit_batch(files: DataFrame, max_bytes: int) -> DataFrame:
+    """(path, kind, has_c2pa, has_ai_metadata, suspicious_total, findings, confidence, notes, error) of files; larger ones have an error."""
+    whole = files.withColumn("content", F.when(F.col("length") <= max_bytes, F.col("content")))
+    x = reports.inspect_files(whole)
+    items = reports.audit_items(x).withColumn("error", F.lit(None).cast("string"))
+    return items.unionByName(reports.audit_skipped(x).withColumnRenamed("reason", "error"), allowMissingColumns=True)
 
-def audit_landing(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Audits all files that are there now and were not seen before; whole files land in one batch."""
-    lines = spark.readStream.format("text").load(folder).withColumn("path", F.col("_metadata.file_path"))
+
+def audit_landing(spark: SparkSession, folder: str, out: str, checkpoint: str, max_bytes: int = reports.TOO_LARGE) -> StreamingQuery:
+    """Audits all files that are there now and were not seen before."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that is run again replaces its own part.
-        audit_lines(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        audit_batch(batch, max_bytes).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -80,7 +80,10 @@ def test_files_and_landing(spark, tmp_path):
     (folder / "sub" / "b.txt").write_text("z" * 50)
     rows = {r.path.rpartition("/")[2]: r for r in read_files(spark, str(folder), max_bytes=20).collect()}
     assert rows["a.txt"].content is not None and rows["b.txt"].error == "too large"
-    for _ in range(2):
-        audit_landing(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("f"), "lines", "suspicious_total").collect()
-    assert [tuple(r) for r in out] == [("a.txt", 2, 1)]
+    for late in ("b2.txt", None):
+        audit_landing(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"), max_bytes=20).awaitTermination()
+        if late:
+            (folder / late).write_bytes(b"\x89PNG\r\n\x1a\n")
+    out = spark.read.parquet(str(tmp_path / "out")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("f"), "suspicious_total", "error", "batch").collect()
+    assert sorted((r.f, r.suspicious_total, r.batch) for r in out if not r.error) == [("a.txt", 1, 0)]
+    assert sorted((r.f, r.batch) for r in out if r.error) == [("b.txt", 0), ("b2.txt", 1)]
