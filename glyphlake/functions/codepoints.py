@@ -37,6 +37,7 @@ WIDTHLESS = {0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x180E}
 MONGOLIAN_SELECTORS = {0x180B, 0x180C, 0x180D, 0x180F}
 KHMER_VOWELS = {0x17B4, 0x17B5}
 HANGUL_FILLERS = {0x115F, 0x1160, 0x3164, 0xFFA0}
+# Blocks of scripts and emoji, layout controls, and kinds.
 EMOJI_SINGLES = set(map(ord, "‼⁉ℹ⤴⤵©®™〰〽㊗㊙#*0123456789"))
 CJK = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)]
 JAMO = [(0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97C), (0xD7B0, 0xD7C6), (0xFFA1, 0xFFDC)]
@@ -234,13 +235,16 @@ def changed_by_nfkc(before: str, after: str) -> int:
     return len(before) - sum(b.size for b in blocks)
 
 
-def clean(text: str, options: CleanOptions) -> tuple[str, int, int]:
-    """(clean text, removed, replaced)."""
+def clean(text: str, options: CleanOptions, by_label: tuple[dict[str, int], dict[str, int]] | None = None) -> tuple[str, int, int]:
+    """(clean text, removed, replaced); by_label gets the counts of what was removed and replaced by label."""
     out, at, removed, replaced = [], 0, 0, 0
-    for i, _, new, _ in decisions(text, options):
+    for i, c, new, _ in decisions(text, options):
         out += [text[at:i], new or ""]
         at = i + 1
         removed, replaced = removed + (new is None), replaced + (new is not None)
+        if by_label is not None:
+            tally, name = by_label[new is not None], label(c)
+            tally[name] = tally.get(name, 0) + 1
     result = "".join([*out, text[at:]])
     if options.nfkc:
         folded = unicodedata.normalize("NFKC", result)
@@ -301,25 +305,39 @@ def inspect_text(df: DataFrame, text_col: str = "text", out_col: str = "inspecti
 
 
 def clean_text(df: DataFrame, options: CleanOptions = CleanOptions(), text_col: str = "text", out_col: str = "cleaning") -> DataFrame:  # noqa: B008
-    """df with a struct of the cleaned text and the numbers of removed and replaced code points (null for a null text).
+    """df with a struct of the cleaned text, the numbers of removed and replaced code points, these by label, and the lengths before and after (null for a null text).
 
     The column holds text or bytes, and so does ``cleaned``; invalid bytes stay.
+    What NFKC changes is counted as replaced, but has no label.
     """
     binary = dict(df.dtypes)[text_col] == "binary"
     kind = pa.binary() if binary else pa.string()
 
-    @F.arrow_udf(f"struct<cleaned: {'binary' if binary else 'string'}, removed: bigint, replaced: bigint>")
+    labels = pa.map_(pa.string(), pa.int64())
+
+    @F.arrow_udf(f"struct<cleaned: {'binary' if binary else 'string'}, removed: bigint, replaced: bigint, removed_labels: map<string, bigint>, replaced_labels: map<string, bigint>, length: bigint, cleaned_length: bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             removed, replaced = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             worth = _worth_rows(texts, "[^\\x00-\\x7F]" if options.nfkc else _worth(options.confusables))
             out = texts
+            tallies: list[list[list]] = [[[]] * len(texts), [[]] * len(texts)]
+            units = (pc.binary_length if binary else pc.utf8_length)(texts.fill_null(b"" if binary else "")).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = [units, units.copy()]
+            if binary and len(wide := _worth_rows(texts, "[^\\x00-\\x7F]")):
+                units[wide] = [len(_text(texts[i].as_py())) for i in wide.tolist()]
+                lengths[1] = units.copy()
             if len(worth):
                 values = texts.to_pylist()
                 for i in worth.tolist():
-                    cleaned, removed[i], replaced[i] = clean(_text(values[i]), options)
+                    by_label: tuple[dict[str, int], dict[str, int]] = ({}, {})
+                    cleaned, removed[i], replaced[i] = clean(_text(values[i]), options, by_label)
+                    lengths[1][i] = len(cleaned)
+                    for column, tally in zip(tallies, by_label, strict=True):
+                        column[i] = sorted(tally.items())
                     values[i] = cleaned.encode("utf-8", "surrogateescape") if binary else cleaned
                 out = pa.array(values, kind)
-            yield pa.StructArray.from_arrays([out.cast(kind), pa.array(removed), pa.array(replaced)], ["cleaned", "removed", "replaced"], mask=texts.is_null())
+            columns = [out.cast(kind), pa.array(removed), pa.array(replaced), *(pa.array(t, labels) for t in tallies), *map(pa.array, lengths)]
+            yield pa.StructArray.from_arrays(columns, ["cleaned", "removed", "replaced", "removed_labels", "replaced_labels", "length", "cleaned_length"], mask=texts.is_null())
 
     return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col) if binary else F.col(text_col).cast("string")))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -23,6 +24,25 @@ def simple_tokens(text: str) -> list[bytes]:
     return [hashlib.sha256(t.encode()).digest()[:8] for t in _TOKEN.findall(text.translate({c: c + 32 for c in range(65, 91)}))]
 
 
+def token_ids(raw: str) -> list[bytes]:
+    """Token ids as 8 bytes each, from a JSON array of integers or from lines (decimal, or hex with 0x); ValueError for anything else."""
+    text = raw.strip()
+    if text.startswith("["):
+        values = json.loads(text, parse_int=str, parse_float=str)
+        if not all(isinstance(v, str) for v in values):
+            raise ValueError("token-id JSON must be an array of integers")
+    else:
+        values = [line.strip() for line in text.split("\n") if line.strip()]
+    out = []
+    for i, value in enumerate(values):
+        hexadecimal = value[:2].lower() == "0x" and not text.startswith("[")
+        digits = value[2:] if hexadecimal else value
+        if not re.fullmatch("[0-9A-Fa-f]+" if hexadecimal else "[0-9]+", digits) or (number := int(digits, 16 if hexadecimal else 10)) >> 64:
+            raise ValueError(f"token id {i}: must be an unsigned 64-bit integer")
+        out.append(number.to_bytes(8, "big"))
+    return out
+
+
 def key_bytes(key: str) -> bytes:
     """A key in hex (with or without 0x), else its UTF-8."""
     raw = key.strip()
@@ -57,8 +77,12 @@ def replay(tokens: list[bytes], key: bytes, window: int = 4) -> tuple[int, int,
     return len(seen), max(0, len(tokens) - window) - len(seen), statistic
 
 
-def replay_test(df: DataFrame, key: str, *, text_col: str = "text", out_col: str = "replay", window: int = 4, threshold: float = 1e-6) -> DataFrame:
-    """df with a struct of counts, statistic, p_value, score (-log10 p, at most 300) and is_watermarked; a null text has no tokens."""
+def replay_test(df: DataFrame, key: str, *, text_col: str = "text", out_col: str = "replay", window: int = 4, threshold: float = 1e-6, ids: bool = False) -> DataFrame:
+    """df with a struct of counts, statistic, p_value, score (-log10 p, at most 300) and is_watermarked; a null text has no tokens.
+
+    With ids the column holds lists of token ids (see token_ids) instead of text; one
+    that is no such list has a null struct.
+    """
     if window < 1 or not 0 < threshold < 1:
         raise ValueError("window must be 1 or more and threshold between 0 and 1")
     secret = key_bytes(key)
@@ -68,13 +92,17 @@ def replay_test(df: DataFrame, key: str, *, text_col: str = "text", out_col: str
         for texts in batches:
             rows = []
             for text in texts.to_pylist():
-                tokens = simple_tokens(text or "")
+                try:
+                    tokens = token_ids(text or "") if ids else simple_tokens(text or "")
+                except ValueError:
+                    rows.append(None)
+                    continue
                 counted, repeated, statistic = replay(tokens, secret, window)
                 p = poisson_below(statistic, counted) if counted else 1.0
                 score = min(300.0, -math.log10(p)) if p > 0 else 300.0
                 rows.append((len(tokens), min(window, len(tokens)), repeated, counted, round(statistic, 6), p, round(score, 6) if counted else 0.0, counted > 0 and p < threshold))
             kinds = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.bool_()]
             names = ["tokens", "skipped_no_context", "skipped_repeated", "counted", "statistic", "p_value", "score", "is_watermarked"]
-            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            yield pa.StructArray.from_arrays([pa.array([r and r[i] for r in rows], k) for i, k in enumerate(kinds)], names, mask=pa.array([r is None for r in rows]))
 
     return df.withColumn(out_col, run(F.col(text_col).cast("string")))

@@ -68,6 +68,7 @@ MARKERS: list[tuple[str, str, float]] = [
     (r"\bthe\s+future\s+looks\s+bright\b", "the future looks bright", 0.9),
     (r"\b(?:sure\s+thing!?|great\s+question!?|happy\s+to\s+help)\b", "assistant chatter (sure thing/great question)", 0.6),
 ]
+# Words that a score needs at least, and for full weight, and words of a window.
 MIN_WORDS, FULL_WORDS, WINDOW = 30, 100, 50
 
 #: A word: letters, numbers and underscores, with apostrophes and hyphens inside.
@@ -280,6 +281,7 @@ def _ladder(value: Column, steps: list[tuple[float, object]], otherwise, at_leas
 
 def style_score(style: Column) -> dict[str, Column]:
     """Columns density, score, density_tier, confidence_level and status from a ``style`` struct."""
+    # The ladders, weights and tiers below.
     n, cv = style["n_words"], style["burstiness_cv"]
     weights = F.array(*(F.lit(w) for _, _, w in MARKERS))
     weight = F.aggregate(F.zip_with(style["hits"], weights, lambda h, w: h * w), F.lit(0.0), lambda a, b: a + b)

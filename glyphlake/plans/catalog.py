@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codepoints, evidence, reports, style
+from ..functions import codepoints, evidence, markers, reports, style
 from ..operators import evaluation, ngrams
 from ..sources import tables, web
 
@@ -121,7 +121,9 @@ def carrier_control(spark, sf_dir):
 
 @query(
     f"""WITH {_UNITS},
-    done AS (SELECT *, CASE WHEN kind = 'bidi' AND cp IN (8234, 8236) AND doc_id % 13 = 0 THEN NULL ELSE kind END AS act FROM verdicts),
+    marks AS (SELECT doc_id, pos, cp, CASE WHEN cp = 8236 THEN depth + 1 ELSE depth END AS level FROM near WHERE cp IN (8234, 8235, 8236, 8237, 8238)),
+    pairs AS (SELECT doc_id, pos, CASE WHEN cp = 8236 THEN lag(cp) OVER w IN (8234, 8235) ELSE cp IN (8234, 8235) AND lead(cp) OVER w = 8236 END AS paired FROM marks WINDOW w AS (PARTITION BY doc_id, level ORDER BY pos)),
+    done AS (SELECT v.*, CASE WHEN coalesce(paired, false) THEN NULL ELSE kind END AS act FROM verdicts v LEFT JOIN pairs USING (doc_id, pos)),
     built AS (SELECT doc_id, string_agg(CASE WHEN act IS NULL THEN chr(cp::INTEGER) WHEN act = 'space' THEN ' ' ELSE '' END, '' ORDER BY pos) AS cleaned,
                      count(CASE WHEN act <> 'space' THEN 1 END) AS removed, count(CASE WHEN act = 'space' THEN 1 END) AS replaced FROM done GROUP BY doc_id)
     SELECT i.doc_id, md5(coalesce(b.cleaned, i.text)) AS cleaned_md5, coalesce(removed, 0) AS removed, coalesce(replaced, 0) AS replaced FROM {_INJECTED.replace(') injected', ') i')} LEFT JOIN built b USING (doc_id)"""
@@ -373,13 +375,17 @@ def page_sarif(spark, sf_dir):
     return evidence.sarif_results(x).select("uri", "rule_id", "level", "confidence")
 
 
-@query(
-    f"""SELECT page_id, array_to_string([m for m in ['{"', '".join(evidence.AI_HINTS)}'] if contains(lower(html), lower(m))], '|') AS ai_hints,
-    array_to_string([m for m in ['{"', '".join(evidence.C2PA_MARKERS)}'] if contains(lower(html), lower(m))], '|') AS c2pa_hints FROM {_PAGES}"""
-)
+# Two thirds of the pages' evidence and, where a page is long, the name of a product and a comment's hint.
+_MARKED = _PAGES.replace("END) AS html FROM pages", "END) || CASE WHEN length(html) % 2 = 0 THEN ' made with Firefly' ELSE ' dcterms:provenance' END AS html FROM pages")
+_VOCABULARIES = {"ai_hints": markers.AI_HINTS, "c2pa_hints": markers.C2PA_MARKERS, "products": markers.PRODUCTS, "comment_hints": markers.COMMENT_HINTS, "jpeg_hints": markers.JPEG_C2PA}
+
+
+@query("SELECT page_id, " + ", ".join(f"""array_to_string([m for m in ['{"', '".join(v)}'] if contains(lower(html), lower(m))], '|') AS {name}""" for name, v in _VOCABULARIES.items()) + f" FROM {_MARKED}")
 def page_markers(spark, sf_dir):
-    html = F.col("html")
-    return _pages(spark, sf_dir).select("page_id", F.array_join(evidence.marker_hits(html, evidence.AI_HINTS), "|").alias("ai_hints"), F.array_join(evidence.marker_hits(html, evidence.C2PA_MARKERS), "|").alias("c2pa_hints"))
+    """What each of the five vocabularies finds in a page."""
+    text = _MARKED.replace("{", "{{").replace("}", "}}").replace("FROM pages", "FROM {pages}")
+    pages = spark.sql("SELECT * FROM " + text, pages=table(spark, sf_dir, "pages"))
+    return pages.select("page_id", *(F.array_join(evidence.marker_hits(F.col("html"), v), "|").alias(name) for name, v in _VOCABULARIES.items()))
 
 
 @query(

@@ -51,6 +51,7 @@ def test_columns(spark):
     assert rows[1].inspection.suspicious_total == 2 and rows[1].inspection.hits[0].sample_offsets == [1, 3]
     assert rows[2].inspection.suspicious_total == 0
     rows = {r.id: r for r in clean_text(df).collect()}
+    assert rows[1].cleaning.removed_labels == {"U+200B ZERO WIDTH SPACE (Cf)": 2} and (rows[1].cleaning.length, rows[1].cleaning.cleaned_length, rows[4].cleaning.length) == (4, 2, 5)
     assert rows[1].cleaning.cleaned == "ab" and rows[2].cleaning is None and rows[4].cleaning.cleaned == "plain"
 
 
@@ -92,5 +93,6 @@ def test_bytes(spark):
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "id int, text binary")
     got = {r.id: r.cleaning for r in clean_text(df).collect()}
     assert {i: bytes(c.cleaned) if c else None for i, c in got.items()} == {1: b"a\xffb", 2: bytes.fromhex("E19E80FF"), 3: b"ab", 4: None, 5: b"\xf0\x9f", 6: b""}
+    assert got[3].removed_labels == {"U+200B ZERO WIDTH SPACE (Cf)": 1} and got[3].replaced_labels == {} and (got[3].length, got[3].cleaned_length) == (3, 2) and (got[1].length, got[2].cleaned_length) == (3, 2)
     found = {r.id: r.inspection for r in inspect_text(df).collect()}
     assert [found[i].suspicious_total for i in range(1, 7)] == [0, 1, 1, 0, 0, 0] and found[3].hits[0].label == "U+200B ZERO WIDTH SPACE (Cf)"

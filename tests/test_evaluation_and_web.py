@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.operators import evaluation
+from glyphlake.operators.ngrams import skyline
 from glyphlake.sources import web
 
 QUALITY = "struct<lexical_divergence: double, semantic_divergence: double, length_ratio: double, numbers_preserved: double, tokens_in: long, tokens_out: long>"
@@ -77,6 +78,16 @@ def test_summaries(spark):
     assert none.n_samples == 0 and none.median_min_level is None and not none.level_usage
 
 
+def test_frontier(spark):
+    rng = random.Random(4)
+    rows = [(i, float(rng.randrange(12)), float(rng.randrange(12)), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, up double, down double, more double").repartition(7)
+    full = [r for r in rows if r[3] is not None]
+    beats = lambda b, a: b[1] >= a[1] and b[2] <= a[2] and b[3] >= a[3] and b[1:] != a[1:]
+    assert sorted(r.id for r in skyline(df, "id", ["up", "more"], ["down"]).collect()) == sorted(a[0] for a in full if not any(beats(b, a) for b in full))
+    assert skyline(df.limit(0), "id", ["up"], ["down"]).count() == 0
+
+
 def test_ranking_and_verdicts(spark):
     rows = [("a", 0.9, 0.2, 0.5, 0.1), ("b", 0.8, 0.1, 0.6, 0.9), ("c", 0.7, 0.3, 0.4, 0.9), ("d", None, 0.0, 1.0, 1.0), ("e", 0.2, 0.0, 0.9, None)]
     df = spark.createDataFrame(rows, "id string, robust_clear_rate double, sem_div double, human_like double, holdout_robust_clear_rate double")

@@ -1,3 +1,7 @@
+import hashlib
+import hmac
+import math
+import random
 import struct
 
 import pytest
@@ -18,6 +22,42 @@ def test_replay_golden():
     assert keyed.key_bytes("0x6162") == b"ab" and keyed.key_bytes("secret") == b"secret"
 
 
+def test_token_ids(spark):
+    one = (1).to_bytes(8, "big")
+    assert keyed.token_ids("[1, 18446744073709551615]") == [one, b"\xff" * 8] == keyed.token_ids("1\n\n 0xFFFFFFFFFFFFFFFF\n")
+    for bad in ("[1.5]", "[-1]", "[true]", '["1"]x', "[18446744073709551616]", "0x", "-1", "a", "[1] [2]"):
+        with pytest.raises(ValueError):
+            keyed.token_ids(bad)
+    df = spark.createDataFrame([("[1,2,3,4,5,6]",), ("x",), (None,), ("7\n" * 9,)], "text string")
+    rows = [r.replay for r in keyed.replay_test(df, "secret", ids=True).collect()]
+    ids = [i.to_bytes(8, "big") for i in range(1, 7)]
+    assert rows[0].counted == 2 and rows[0].statistic == pytest.approx(keyed.replay(ids, b"secret")[2], abs=1e-6) and rows[1] is None and rows[2].tokens == 0 and rows[3].counted == 1
+
+
+def plain_replay(words, key, window=4):
+    """Statistic and p-value from their definition, with every context spelled out."""
+    tokens = [hashlib.sha256(w.encode()).digest()[:8] for w in words]
+    seen, total, n = [], 0.0, 0
+    for i in range(window, len(tokens)):
+        context = tuple(tokens[i - window : i])
+        if context not in seen:
+            seen.append(context)
+            seed = hmac.new(key, b"".join(context), hashlib.sha256).digest()
+            draw = hmac.new(seed, tokens[i], hashlib.sha256).digest()
+            total += -math.log(1 - (int.from_bytes(draw[:8], "big") + 0.5) / 2**64)
+            n += 1
+    below = sum(math.exp(-total) * total**k / math.factorial(k) for k in range(n))
+    return n, total, below if n else 1.0
+
+
+def test_replay_against_its_definition(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60))) for _ in range(30)]
+    for text, r in zip(texts, keyed.replay_test(spark.createDataFrame([(t,) for t in texts], "text string"), "secret").collect(), strict=True):
+        n, total, p = plain_replay(text.split(), b"secret")
+        assert (r.replay.counted, r.replay.statistic) == (n, pytest.approx(total, abs=1e-6)) and r.replay.p_value == pytest.approx(p, rel=1e-6)
+
+
 def test_poisson():
     assert keyed.poisson_below(2.0, 1) == pytest.approx(0.1353352832)
     assert keyed.poisson_below(2.0, 3) == pytest.approx(0.6766764162)
