@@ -292,7 +292,7 @@ def _merge(k: int):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, replicas: int = 3, boundary_ratio: float = 1.02, recall: float = 0.94
+    vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, replicas: int = 3, boundary_ratio: float = 1.02, recall: float = 0.96
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id divides by ``every``, the k nearest others found.
 

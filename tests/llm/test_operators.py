@@ -113,6 +113,36 @@ def test_substring_dedup(docs, empty, monkeypatch, hot):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_backward_search():
+    """Intervals of the index against counting, and window owners against a dictionary."""
+    from glyphlake.llm.substring_dedup import FmIndex, window_owners
+
+    rng = random.Random(6)
+    for alphabet in (2, 5, 60):
+        codes = np.array([rng.randrange(1, alphabet + 1) if rng.random() < 0.95 else 0 for _ in range(400)] + [0])
+        index = FmIndex(codes, 4, np.arange(len(codes)))
+        for _ in range(60):
+            at = rng.randrange(396)
+            pattern = codes[at : at + rng.randrange(1, 5)]
+            if not pattern.all():  # separators are in no pattern
+                continue
+            lo, hi = index.before[pattern[-1]], index.before[pattern[-1] + 1]
+            for symbol in pattern[-2::-1]:
+                lo, hi = index.step(np.array([symbol, symbol]), np.array([lo, hi]))
+            want = [i for i in range(len(codes) - len(pattern) + 1) if (codes[i : i + len(pattern)] == pattern).all()]
+            assert sorted(index.values[lo:hi].tolist()) == want
+    sizes = np.array([rng.randrange(3, 30) for _ in range(40)])
+    words = np.array([rng.randrange(3) for _ in range(sizes.sum())], np.uint64)
+    lows = np.array([rng.randrange(100) for _ in sizes])
+    owner, cut = window_owners(words, sizes, lows, 3)
+    first, begin = {}, np.concatenate(([0], np.cumsum(sizes)))
+    windows = [[tuple(words[begin[f] + i : begin[f] + i + 3].tolist()) for i in range(n - 2)] for f, n in enumerate(sizes.tolist())]
+    for f, own in enumerate(windows):
+        for w in own:
+            first[w] = min(first.get(w, 1000), int(lows[f]))
+    assert [owner[cut[f] : cut[f + 1]].tolist() for f in range(40)] == [[first[w] for w in own] for own in windows]
+
+
 def test_substring_dedup_rows(docs, spark):
     from glyphlake.llm.substring_dedup import substring_dedup
 
@@ -290,6 +320,31 @@ def test_secrets(spark):
     assert rows[6].n_random == 0 and rows[7].n_random == 0
 
 
+def test_odd_rows(spark, empty):
+    """Repeated rows, empty tables and very long texts of the narrow operators."""
+    from glyphlake.llm.quality_classifier import score_quality, train_quality_model
+    from glyphlake.llm.queries import URL_RULES
+    from glyphlake.llm.secrets import secret_scan
+    from glyphlake.llm.url_filter import url_filter
+
+    urls = spark.createDataFrame([(1, "http://a.com/en/" + "x/" * 100_000)] * 2, "page_id long, url string")
+    assert [(r.verdict, r.rule, len(r.path)) for r in url_filter(urls, URL_RULES).collect()] == [("block", "com/en/", 200_004)] * 2
+    assert url_filter(urls.limit(0), URL_RULES).count() == 0
+    key = "xK9pQ2vL7mZ4tR8wB3nY6cF1"
+    texts = spark.createDataFrame([(1, "words " * 300_000 + key)] * 2, "doc_id long, text string")
+    assert [r.secrets.spans for r in secret_scan(texts).collect()] == [f"random:1800000:{1800000 + len(key)}"] * 2
+    assert secret_scan(empty).count() == 0
+    rows = [(i, ("good clean words " if i % 2 else "zzz qqq xxx ") * 3) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(1, 0), (3, None), (5, 7)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows * 2 + [(21, None), (21, "")], "doc_id long, text string")
+    model = train_quality_model(docs, labels, F.lit(True))
+    scores = [(r.doc_id, r.quality_score) for r in score_quality(docs, model).collect()]
+    assert len(scores) == 42 and all((s > 0.5) == (i % 2 == 1) for i, s in scores if i < 20) and scores[-1][1] == scores[-2][1]
+    assert score_quality(empty, model).count() == 0
+    small = train_quality_model(docs, labels, F.lit(True), max_bytes=1)  # one id is learned whatever its size
+    assert len({s for _, s in ((r.doc_id, r.quality_score) for r in score_quality(docs, small).collect())}) == 1
+
+
 def test_random_strings():
     import random
     import string
