@@ -412,7 +412,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     for seed in range(8):
-        described = scratch.table(base.mapInArrow(_describe(k, seed), "doc_id long, tag long, n_shingles long, id long, proof long, hits long"))
+        described = scratch.table(base.mapInArrow(kernel.lean(_describe(k, seed)), "doc_id long, tag long, n_shingles long, id long, proof long, hits long"))
         # One row for each distinct set, with the first of its documents.
         named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
         sets = described.where("hits = 0 and n_shingles > 0").groupBy("id")
@@ -449,8 +449,8 @@ def _components(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch
 
     postings = sets.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + SHARED)).first()[0] or 0
     buckets = max(8 * partitions(spark), int(postings) // BUCKET_POSTINGS)
-    posted = texts.mapInArrow(_post(k, percent, frequent, buckets, seed), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
-    pairs = posted.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), "a long, b long, times long, need long")
+    posted = texts.mapInArrow(kernel.lean(_post(k, percent, frequent, buckets, seed)), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
+    pairs = posted.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(kernel.lean(_lists(percent)), "a long, b long, times long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
     edges = scratch.table(pairs.where("times >= need").select("a", "b"))
     del pairs
@@ -461,7 +461,7 @@ def _components(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch
 
     # Groups by the number of their hashes; those over the limit are cut into blocks in order of size.
     large = scratch.table(groups.join(sets.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > GROUP_HASHES).select("root"))
-    found = texts.mapInArrow(_contents(k, wanted, seed), "id long, hashes binary")
+    found = texts.mapInArrow(kernel.lean(_contents(k, wanted, seed)), "id long, hashes binary")
     links = _links_in(found, groups if large.isEmpty() else groups.join(large, "root", "left_anti"), percent)
     if not large.isEmpty():
         links = links.unionByName(_large_groups(scratch.table(_once(found, groups.join(large, "root"))), percent, scratch))
@@ -482,7 +482,7 @@ def _once(found: DataFrame, groups: DataFrame) -> DataFrame:
 def _links_in(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sets = _once(found, groups).select(F.col("root").alias("grp"), F.lit(0).alias("side"), "id", "hashes")
     n = partitions(found.sparkSession)
-    return sets.repartition(n, "grp").sortWithinPartitions("grp", "id").mapInArrow(_search(percent, False), "a long, b long")
+    return sets.repartition(n, "grp").sortWithinPartitions("grp", "id").mapInArrow(kernel.lean(_search(percent, False)), "a long, b long")
 
 
 def _large_groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -508,4 +508,4 @@ def _large_groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     right = cells.join(right, ["root", "class"]).select("root", F.col("other").alias("class"), F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias("block"), F.col("class").alias("class2"), F.col("block").alias("block2"), F.lit(1).alias("side"), "id", "hashes")
     right = right.where("class < class2 or block < block2")
     rows = left.unionByName(right).select(F.xxhash64("root", "class", "block", "class2", "block2").alias("grp"), "side", "id", "hashes")
-    return rows.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "side", "id").mapInArrow(_search(percent, True), "a long, b long")
+    return rows.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "side", "id").mapInArrow(kernel.lean(_search(percent, True)), "a long, b long")

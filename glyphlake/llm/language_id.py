@@ -212,6 +212,7 @@ def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: s
     shared = model if isinstance(model, Broadcast) else df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
+    @kernel.lean
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], object)

@@ -280,12 +280,13 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A
     document is its ids and ``end_id``; only documents longer than ``length`` are
     cut.  A null text is an empty one (one piece of one id).  Every row is
-    packed, repeated ones and null ids too.
+    packed, repeated ones and null ids too; lengths tie in any order.  Other
+    columns, whatever their names, are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = base.mapInArrow(_token_pieces(vocabulary, length, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = base.mapInArrow(kernel.lean(_token_pieces(vocabulary, length, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # Ranks inside a length come in two steps, so that no length meets in one task: lots first, then places in a lot.
     pieces = scratch.table(pieces.withColumn("lot", F.spark_partition_id()))
     counts = pieces.groupBy("length", "lot").count()
