@@ -10,7 +10,7 @@ as fragments:
 
 1. keys that occur in one document only are dropped (a membership filter of
    fixed size holds the others; strangers it lets through cost work only);
-2. fragments are dealt out by key, equal ones of a block of documents once, with
+2. fragments are dealt out by key, equal ones of a stretch of text once, with
    their smallest and largest document.  Keys with more than HOT fragments send
    single windows, dealt out by the window itself, so no shard gets them all;
 3. each shard builds an FM-index of its distinct fragments (a suffix array
@@ -18,11 +18,12 @@ as fragments:
    of packed bits with block ranks) and runs the fragments' windows through it by
    backward search, all at once; a window leaves the search when only its own
    place matches.  The matched intervals give the smallest document of each;
-4. the answers are joined to the fragments' places, and documents with a
-   removed word are cut.
+4. the answers are joined to the places of the fragments that have one (found by
+   a second pass over the text, which costs less than keeping all places), and
+   documents with a removed word are cut.
 
-Words, grams and fragments are compared by 64-bit hashes (32 bits of each word
-inside an index).
+Words and grams are compared by 64-bit hashes, a window by those of all its
+words; fragments by their hash and their key together.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import Scratch, members, partitions
+from .scratch import Members, Scratch, members, partitions
 
 GRAM = 5
 #: Bytes of text whose keys and fragments are merged before they are sent.
@@ -131,61 +132,74 @@ def _sequence_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) ->
     return kernel.mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _fragments(window: int, shared, hot, buckets: int):
-    """Two kinds of rows: contents for the shards (with a bucket), and places (without)."""
+class _Fragments:
+    """The fragments of a block: first word and words, hash, key, whether of a hot key, and document."""
 
-    def of(block, ids, tags):
-        words, start, count, key, doc = _runs(block, window)
-        keep = np.flatnonzero(shared.value.has(key))
+    def __init__(self, block: kernel.Block, window: int, shared: Members, hot: Members):
+        self.words, start, count, key, doc = _runs(block, window)
+        keep = np.flatnonzero(shared.has(key))
         start, count, key, doc = start[keep], count[keep], key[keep], doc[keep]
-        single = hot.value.has(key)
+        single = hot.has(key)
         times = np.where(single, count, 1)
         each = np.repeat(np.arange(len(start)), times)
-        start = kernel.ragged(start, times)
-        size = np.where(single, 1, count)[each] + window - 1
-        frag = _sequence_hashes(words, start, size)
-        doc = doc[each]
-        owner = ids[doc]
-        once, low, high = _distinct(frag, owner, owner)
-        bucket = _bucket(np.where(single[each[once]], frag[once], key[each[once]]), buckets)
-        code = (words >> np.uint64(32)).astype(np.uint32)
-        content = frag[once], low, high, size[once], bucket, code[kernel.ragged(start[once], size[once])]
-        return content, (frag, owner, tags[doc], start - block.word_offs[doc])
+        self.start = kernel.ragged(start, times)
+        self.size = np.where(single, 1, count)[each] + window - 1
+        self.frag = _sequence_hashes(self.words, self.start, self.size)
+        self.key, self.single, self.doc = key[each], single[each], doc[each]
+
+
+def _places(window: int, shared, hot, wanted):
+    """(frag, key, doc_id, tag, place) of the fragments that may have an answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in kernel.blocks(batch.column(2)):
+                f = _Fragments(block, window, shared.value, hot.value)
+                some = np.flatnonzero(wanted.value.has(f.frag))
+                doc = f.doc[some]
+                rows = pa.array(doc + block.first)
+                place = (f.start[some] - block.word_offs[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(f.frag[some].view(np.int64)), pa.array(f.key[some].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)], ["frag", "key", "doc_id", "tag", "place"])
+
+    return run
+
+
+def _contents(window: int, shared, hot, buckets: int):
+    """Distinct fragments of each stretch of text for the shards, by bucket."""
+
+    def of(block, ids, tags):
+        f = _Fragments(block, window, shared.value, hot.value)
+        owner = ids[f.doc]
+        once, low, high = _distinct(f.frag, f.key, owner, owner)
+        bucket = _bucket(np.where(f.single[once], f.frag[once], f.key[once]), buckets)
+        return f.frag[once], f.key[once], low, high, f.size[once], bucket, f.words[kernel.ragged(f.start[once], f.size[once])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "frags", "lows", "highs", "sizes", "codes", "frag", "doc_id", "tag", "place"]
-        binary = lambda parts: pa.array(parts, pa.binary())
         for held in _stretches(batches, of):
-            for _, (frag, doc, tag, place) in held:
-                if n := len(frag):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 5, pa.array(frag.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(place.astype(np.int32))], names)
-            frag, low, high, size, bucket, code = (np.concatenate(x) for x in zip(*(content for content, _ in held), strict=True))
+            frag, key, low, high, size, bucket, words = (np.concatenate(x) for x in zip(*held, strict=True))
             if not len(frag):
                 continue
-            once, low, high = _distinct(frag, low, high)
+            once, low, high = _distinct(frag, key, low, high)
             order = np.argsort(bucket[once], kind="stable")
             once, low, high = once[order], low[order], high[order]
             offs = np.concatenate(([0], np.cumsum(size)))
             cut = np.searchsorted(bucket[once], np.arange(buckets + 1))
-            full = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            part = lambda x: binary([x[cut[i] : cut[i + 1]].tobytes() for i in full])
-            codes = []
-            for i in full:
-                o = once[cut[i] : cut[i + 1]]
-                codes.append(code[kernel.ragged(offs[o], size[o])].tobytes())
-            none = [pa.nulls(len(full), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(frag[once]), part(low), part(high), part(size[once].astype(np.int32)), binary(codes), *none, pa.nulls(len(full), pa.int32())], names)
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            part = lambda x: pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())
+            own = [once[cut[i] : cut[i + 1]] for i in full]
+            contents = pa.array([words[kernel.ragged(offs[o], size[o])].tobytes() for o in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(frag[once]), part(key[once]), part(low), part(high), part(size[once].astype(np.int32)), contents], ["bucket", "frags", "keys", "lows", "highs", "sizes", "words"])
 
     return run
 
 
-def _distinct(frag: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of the first of each distinct fragment, with the smallest low and largest high of its equals."""
+def _distinct(frag: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first of each distinct (fragment, key), with the smallest low and largest high of its equals."""
     if not len(frag):
         return np.zeros(0, np.int64), low, high
-    order = np.argsort(frag, kind="stable")
-    ranked = frag[order]
-    head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    order = np.lexsort((key, frag))
+    ranked, by = frag[order], key[order]
+    head = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (by[1:] != by[:-1]))))
     return order[head], np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head)
 
 
@@ -193,13 +207,17 @@ class FmIndex:
     """FM-index of a code sequence (0 separates) for patterns of up to ``depth`` codes.
 
     The suffix array is sorted by the first ``depth`` codes at least, which is
-    all that intervals of such patterns need.
+    all that intervals of such patterns need.  It goes when the transform is
+    made; what stays beside the wavelet matrix is ``values``, given for each
+    place of the sequence, in the order of the suffixes.
     """
 
-    def __init__(self, codes: np.ndarray, depth: int):
+    def __init__(self, codes: np.ndarray, depth: int, values: np.ndarray):
         n = len(codes)
-        self.suffixes = self._sort(codes, depth)
-        bwt = codes[self.suffixes - 1]
+        suffixes = self._sort(codes, depth)
+        self.values = values[suffixes]
+        bwt = codes[suffixes - 1]
+        del suffixes
         sigma = int(codes.max()) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=sigma))))
         self.levels = []
@@ -254,8 +272,8 @@ def window_owners(codes: np.ndarray, sizes: np.ndarray, lows: np.ndarray, window
     text = np.zeros(len(code) + n_fragments, np.int64)
     where = np.arange(len(code)) + np.repeat(np.arange(n_fragments), sizes)
     text[where] = code + 1
-    fragment = np.repeat(np.arange(n_fragments), sizes + 1)
-    index = FmIndex(text, window)
+    docs, owner_code = np.unique(lows, return_inverse=True)  # codes in the order of ids
+    index = FmIndex(text, window, np.repeat(owner_code.astype(np.int32), sizes + 1))
     count = sizes - window + 1
     start = kernel.ragged(offs[:-1] + np.arange(n_fragments), count)
     owner = np.repeat(lows, count)
@@ -273,29 +291,28 @@ def window_owners(codes: np.ndarray, sizes: np.ndarray, lows: np.ndarray, window
     more = np.flatnonzero(hi - lo > 1)
     active, lo, hi = active[more], lo[more], hi[more]
     if len(active):
-        docs = np.append(lows[fragment[index.suffixes]], np.iinfo(np.int64).max)
         first, at = np.unique(lo, return_index=True)
         ends = np.stack([first, hi[at]], 1).ravel()
-        least = np.minimum.reduceat(docs, ends)[::2]
+        least = docs[np.minimum.reduceat(np.append(index.values, len(docs) - 1), ends)[::2]]
         owner[active] = least[np.searchsorted(first, lo)]
     return owner, np.concatenate(([0], np.cumsum(count)))
 
 
 def _shards(window: int):
-    """Rows of one bucket after another -> (frag, owners) where some document of the fragment isn't the first."""
+    """Rows of one bucket after another -> (frag, key, owners) where some document of the fragment isn't the first."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        frag, low, high, size, code = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.uint32)))
+        frag, key, low, high, size, words = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint64)))
         size = size.astype(np.int64)
         offs = np.concatenate(([0], np.cumsum(size)))
-        once, low, high = _distinct(frag, low, high)
-        owner, cut = window_owners(code[kernel.ragged(offs[once], size[once])], size[once], low, window)
+        once, low, high = _distinct(frag, key, low, high)
+        owner, cut = window_owners(words[kernel.ragged(offs[once], size[once])], size[once], low, window)
         if not len(owner):
             return
         later = np.flatnonzero(np.minimum.reduceat(owner, cut[:-1]) < high)
         for at in range(0, len(later), 8192):
             part = later[at : at + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(frag[once][part].view(np.int64)), pa.array([owner[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], ["frag", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array(frag[once][part].view(np.int64)), pa.array(key[once][part].view(np.int64)), pa.array([owner[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary())], ["frag", "key", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in kernel.by_first(batches):
@@ -353,13 +370,15 @@ def _finish(window: int, with_text: bool):
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_rows: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text, row) for every row of docs; exact.
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text, row) for every row of docs.
 
     kept_text and row are filled with_rows only: the kept words joined by one
     space (the text itself where nothing was removed), and the input row's other
     columns as a struct.  A null or wordless text has no windows.  Rows with a null id take no
     part and keep all words.  Rows that share an id are one document for the
-    comparison of ids: they never remove words of each other.
+    comparison of ids: they never remove words of each other; repeated rows are
+    cut alike.  Very long texts are searched whole.  Columns of docs may have any
+    names; an empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -369,24 +388,27 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), row.alias("row"))
     texts = base.where("doc_id is not null").select("doc_id", "tag", "text")
-    sent = texts.mapInArrow(_keys(window, buckets), "bucket int, keys binary, docs binary, sizes binary")
-    keys = scratch.table(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, fragments long"))
+    sent = texts.mapInArrow(kernel.lean(_keys(window, buckets)), "bucket int, keys binary, docs binary, sizes binary")
+    keys = scratch.table(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kernel.lean(_shared_keys), "key long, fragments long"))
     del sent
     scratch.release()
     shared = spark.sparkContext.broadcast(members(keys, "key"))
     hot = spark.sparkContext.broadcast(members(keys.where(F.col("fragments") > HOT), "key"))
-    made = scratch.table(texts.mapInArrow(_fragments(window, shared, hot, buckets), "bucket int, frags binary, lows binary, highs binary, sizes binary, codes binary, frag long, doc_id long, tag long, place int"))
-    content = made.where("bucket is not null").select("bucket", "frags", "lows", "highs", "sizes", "codes")
-    owners = content.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shards(window), "frag long, owners binary")
-    places = made.where("frag is not null").select("frag", "doc_id", "tag", "place")
-    found = places.join(owners, "frag").select("doc_id", "tag", "place", "owners").mapInArrow(_removed, "doc_id long, tag long, starts binary")
+    sent = texts.mapInArrow(kernel.lean(_contents(window, shared, hot, buckets)), "bucket int, frags binary, keys binary, lows binary, highs binary, sizes binary, words binary")
+    shards = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kernel.lean(_shards(window)), "frag long, key long, owners binary")
+    owners = scratch.table(shards)
+    del sent, shards
+    scratch.release()
+    wanted = spark.sparkContext.broadcast(members(owners, "frag"))
+    places = texts.mapInArrow(kernel.lean(_places(window, shared, hot, wanted)), "frag long, key long, doc_id long, tag long, place int")
+    found = places.join(owners, ["frag", "key"]).select("doc_id", "tag", "place", "owners").mapInArrow(kernel.lean(_removed), "doc_id long, tag long, starts binary")
     spans = scratch.table(found.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts")))
-    del found, owners, content, places
-    scratch.drop(made)
+    del found, places
+    scratch.drop(owners, keys)
     scratch.release()
     if spans.isEmpty():
         joined = base.withColumn("starts", F.lit(None).cast("array<binary>"))
     else:
         joined = base.join(spans, ["doc_id", "tag"], "left")
     row_type = base.schema["row"].dataType.simpleString()
-    return joined.select("doc_id", "text", "starts", "row").mapInArrow(_finish(window, with_rows), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, row {row_type}")
+    return joined.select("doc_id", "text", "starts", "row").mapInArrow(kernel.lean(_finish(window, with_rows)), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, row {row_type}")
