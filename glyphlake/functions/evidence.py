@@ -265,12 +265,6 @@ def data_uris(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(DATA_URI), F.lit(0)), parse)
 
 
-def sitemap_locations(xml: Column) -> Column:
-    """Locations of a sitemap or index; null for documents with a DTD or entities, which are refused."""
-    unsafe = F.upper(xml).rlike("<!DOCTYPE|<!ENTITY")
-    return F.when(~unsafe, F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc\s*>\s*(.*?)\s*</(?:\w+:)?loc\s*>"), F.lit(1)), lambda x: F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))))
-
-
 def evidence_classes(has_c2pa: Column, has_ai_metadata: Column, suspicious_total: Column, detected: Column, style_score: Column, threshold: float = 0.65) -> Column:
     """The four classes of evidence and their disjunction; a detector or score that is null is no verdict, not a negative one."""
     provenance = F.coalesce(has_c2pa, F.lit(False)) | F.coalesce(has_ai_metadata, F.lit(False))

@@ -562,7 +562,7 @@ def sitemap_urls(spark, sf_dir):
     """Sitemaps of one page each; those with a DTD are refused."""
     head = F.when(F.col("page_id") % 4 == 0, "<!DOCTYPE x>").otherwise("<?xml version='1.0'?>")
     xml = F.concat(head, F.lit("<urlset><url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(evidence.sitemap_locations(xml)).alias("location"))
+    return table(spark, sf_dir, "pages").select("page_id", web.sitemap(xml.cast("binary")).alias("s")).select("page_id", F.explode("s.locations").alias("location"))
 
 
 @query(
