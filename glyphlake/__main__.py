@@ -38,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def emit(rows: DataFrame, out: str | None) -> None:
+    if "path" in rows.columns:
+        rows = rows.orderBy("path")  # reports without content: the order in which a walk meets files
     lines = rows if rows.columns == ["value"] else reports.json_reports(rows)
     if out:
         lines.write.mode("overwrite").text(out)

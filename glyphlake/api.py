@@ -5,6 +5,10 @@ A file is a row (path, content), as ``read_files`` gives them.
 
 from __future__ import annotations
 
+import os
+import sys
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +19,28 @@ from .functions.style import marker_matches, style_measures, style_score
 from .operators.evaluation import batch_counters
 from .sources.corpus import read_corpus, read_files
 
-__all__ = ["CleanOptions", "audit", "batch_counters", "clean_text", "detect", "files_of", "inspect", "inspect_text", "marker_matches", "read_corpus", "read_files", "replay_test", "style_measures", "style_score", "text_audit"]
+__all__ = ["CleanOptions", "audit", "batch_counters", "clean_text", "detect", "files_of", "inspect", "inspect_text", "marker_matches", "read_corpus", "read_files", "replay_test", "standard_input", "style_measures", "style_score", "text_audit"]
 
 text_audit = reports.text_audit
 
 
+#: Bounds in bytes of a file, unless the environment names another, and of the standard input.
+MAX_FILE = int(os.environ.get("GLYPHLAKE_MAX_INPUT_BYTES") or reports.TOO_LARGE)
+MAX_INPUT = 64 << 20
+
+
+def standard_input(spark: SparkSession, stream=None) -> DataFrame:
+    """The standard input as one file of text; ValueError if it is over MAX_INPUT."""
+    data = (stream or sys.stdin.buffer).read(MAX_INPUT + 1)
+    if len(data) > MAX_INPUT:
+        raise ValueError(f"standard input exceeds {MAX_INPUT} bytes")
+    return spark.createDataFrame([("<stdin>.txt", len(data), bytearray(data), None)], "path string, length long, content binary, error string")
+
+
 def files_of(spark: SparkSession, paths: list[str], skipped: list[str] | None = None) -> DataFrame:
-    """All files of some folders or files, with (path, length, content, error)."""
-    out = read_files(spark, paths[0], skipped=skipped)
-    for path in paths[1:]:
-        out = out.unionByName(read_files(spark, path, skipped=skipped))
-    return out
+    """All files of some folders or files, and of the standard input for ``-``, with (path, length, content, error)."""
+    parts = [standard_input(spark) if path == "-" else read_files(spark, path, MAX_FILE, skipped) for path in paths]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inspect(files: DataFrame, *, forced: str = "", force_text: bool = False, style: bool = False, threshold: float = reports.STYLE_THRESHOLD) -> DataFrame:

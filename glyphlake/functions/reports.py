@@ -234,7 +234,7 @@ def detect(reports: DataFrame, *, key: str = "", content_col: str = "content", r
     x = reports.withColumn("_text", F.when(r.kind == "text", _decoded(content_col)).otherwise(""))
     x = style.style_measures(x, "_text", "_style")
     score = style.style_score(F.col("_style"))["score"]
-    gumbel = _detector("gumbel", error="no same-key detector configured (set WATERMARKS_GUMBEL_KEY)")
+    gumbel = _detector("gumbel", error="no same-key detector configured (give a key)")
     if key.strip():
         x = keyed.replay_test(x, key, text_col="_text", out_col="_replay")
         gumbel = _detector("gumbel", is_watermarked=F.col("_replay.is_watermarked"), score=F.col("_replay.score"), p_value=F.col("_replay.p_value"))

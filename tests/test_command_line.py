@@ -1,7 +1,10 @@
+import io
 import json
+import sys
 
 import pytest
 
+from glyphlake import api
 from glyphlake.__main__ import run
 from test_reports import FILES
 
@@ -16,6 +19,15 @@ def folder(tmp_path):
     return root
 
 
+def test_standard_input(spark, monkeypatch, capsys):
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO("a\u200bb".encode())))
+    assert run(spark, ["inspect", "-"]) == 1
+    assert json.loads(capsys.readouterr().out)["report"]["suspicious_total"] == 1
+    monkeypatch.setattr(api, "MAX_INPUT", 3)
+    with pytest.raises(ValueError):
+        api.standard_input(spark, io.BytesIO(b"abcd"))
+
+
 def test_verbs(spark, folder, tmp_path, capsys):
     lines = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert run(spark, ["audit", str(folder), "--skip", "own"]) == 1
