@@ -68,12 +68,15 @@ _REPORT = pa.struct([("kind", pa.string()), ("format", pa.string()), ("has_c2pa"
 _REPORT_SQL = "struct<kind: string, format: string, has_c2pa: boolean, has_ai_metadata: boolean, suspicious_total: bigint, findings: array<string>, notes: array<string>, hits: array<struct<part: string, codepoint: int, label: string, kind: string, count: bigint, sample_offsets: array<int>>>, error: string>"
 
 
+_NOTHING = {"kind": "unknown", "format": "", "has_c2pa": False, "has_ai_metadata": False, "suspicious_total": 0, "findings": [], "notes": [], "hits": []}
+
+
 def inspect_bytes(path: str, data: bytes, forced: str = "", force_text: bool = False) -> dict:
     """The report of one file."""
     kind = FORCED[forced] if forced else file_kind(path, data)
     if kind == "unknown" and force_text and not forced:
         kind = "text"
-    out = {"kind": kind, "format": "", "has_c2pa": False, "has_ai_metadata": False, "suspicious_total": 0, "findings": [], "notes": [], "hits": [], "error": None}
+    out = _NOTHING | {"kind": kind, "error": None}
     if kind == "text" and not force_text and (why := looks_binary(data)):
         return out | {"kind": "unknown", "error": f"refusing to treat {path} as text: it looks like {why}; use --force-text or --as"}
     hits: list = []
@@ -102,12 +105,23 @@ def inspect_bytes(path: str, data: bytes, forced: str = "", force_text: bool = F
     return out
 
 
+def report_of(path: str, data: bytes | None, forced: str = "", force_text: bool = False) -> dict:
+    """The report of one file; whatever goes wrong with it becomes its error, so that one file never fails an audit."""
+    if data is None:
+        return _NOTHING | {"error": "no content"}
+    try:
+        return inspect_bytes(path, data, forced, force_text)
+    except Exception as error:
+        return _NOTHING | {"error": f"{type(error).__name__}: {error}"}
+
+
 def inspect_files(files: DataFrame, *, path_col: str = "path", content_col: str = "content", forced: str = "", force_text: bool = False, out_col: str = "report") -> DataFrame:
     """files with a struct ``out_col``: kind, format, has_c2pa, has_ai_metadata, suspicious_total, findings, notes, hits, error, confidences and partial.
 
     ``forced`` sets the kind of all files; force_text reads unknown and binary
     content as text.  A file that is refused, or whose members exceed the bound,
-    has an error and nothing else; null content is one too.  Narrow.
+    has an error and nothing else; null content, and whatever goes wrong with one
+    file, are errors of that file.  Narrow.
     """
     if forced and forced not in FORCED:
         raise ValueError(f'invalid forced type "{forced}"')
@@ -115,12 +129,7 @@ def inspect_files(files: DataFrame, *, path_col: str = "path", content_col: str
     @F.arrow_udf(_REPORT_SQL)
     def inspect(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for paths, contents in batches:
-            rows = []
-            for path, data in zip(paths.to_pylist(), contents, strict=True):
-                if not data.is_valid:
-                    rows.append({"kind": "unknown", "format": "", "has_c2pa": False, "has_ai_metadata": False, "suspicious_total": 0, "findings": [], "notes": [], "hits": [], "error": "no content"})
-                else:
-                    rows.append(inspect_bytes(path or "", data.as_py(), forced, force_text))
+            rows = [report_of(path or "", data.as_py(), forced, force_text) for path, data in zip(paths.to_pylist(), contents, strict=True)]
             yield pa.array(rows, _REPORT)
 
     made = files.withColumn(out_col, inspect.asNondeterministic()(F.col(path_col), F.col(content_col)))

@@ -47,6 +47,14 @@ def test_reports(files):
         reports.inspect_files(files, forced="sheet")
 
 
+def test_one_file_never_fails_an_audit(monkeypatch):
+    def broken(*_):
+        raise RecursionError("too deep")
+
+    monkeypatch.setattr(reports, "inspect_bytes", broken)
+    assert reports.report_of("a.txt", b"x")["error"] == "RecursionError: too deep" and reports.report_of("a.txt", None)["error"] == "no content"
+
+
 def test_verdicts(files):
     x = reports.styled(reports.inspect_files(files))
     rows = {r.path: (r.plain, r.styled) for r in x.select("path", reports.is_suspicious(F.col("report")).alias("plain"), reports.is_suspicious(F.col("report"), F.col("style_score")).alias("styled")).collect()}
