@@ -278,11 +278,13 @@ def _list_edges(size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> np.ndarray:
+def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None = None, links: list[tuple[int, int]] | None = None) -> np.ndarray:
     """Component (smallest index) of each set under links of at least percent.
 
     sets are distinct-valued hash arrays.  With sides (0 or 1 for each set),
-    only links between the two sides count.
+    only links between the two sides count.  With a list for links, every
+    candidate pair is decided, those inside a component too, and the linked ones
+    (indices) are added to it.
     """
     n = len(sets)
     given = np.argsort([len(s) for s in sets], kind="stable")  # sets are handled in order of size
@@ -319,7 +321,7 @@ def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None =
             lo += int(np.searchsorted(sizes[lo:at], least))  # skip the blocks of sets that are too small
             if lo < at:
                 near = slice(lo, at)
-                ok = (np.minimum(rest[near], rest[at]) >= _required(sizes[near], size[x], percent)) & (root[owner[near]] != root[x])
+                ok = (np.minimum(rest[near], rest[at]) >= _required(sizes[near], size[x], percent)) & ((root[owner[near]] != root[x]) | (links is not None))
                 found.append(owner[near][ok])
         mine: dict[int, int] = {}
         answers.append(mine)
@@ -330,7 +332,7 @@ def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None =
             other = other[side[other] != side[x]]
         like, extra = -1, 0
         for o in other[::-1].tolist():
-            if root[o] == root[x]:
+            if root[o] == root[x] and links is None:
                 continue
             need = int(_required(size[o], size[x], percent))
             bound = answers[like].get(o) if like >= 0 else None
@@ -341,6 +343,8 @@ def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None =
             if overlap < need:
                 mine[o] = overlap
                 continue
+            if links is not None:
+                links.append((int(given[o]), int(given[x])))
             low, high = sorted((int(root[o]), int(root[x])))
             root[root == high] = low
             if like < 0 or size[x] - overlap < extra:
@@ -352,12 +356,16 @@ def search_group(sets: list[np.ndarray], percent: int, sides: list[int] | None =
     return out
 
 
-def _search(percent: int, paired: bool):
-    """Sorted rows (grp, side, id, hashes) -> links (a, b) to each component's first set."""
+def _search(percent: int, paired: bool, every: bool):
+    """Sorted rows (grp, side, id, hashes) -> links (a, b): to each component's first set, or every one."""
 
     def solve(ids: list[int], sets: list[np.ndarray], sides: list[int]) -> pa.RecordBatch | None:
-        root = search_group(sets, percent, sides if paired and 1 in sides else None)
+        links: list[tuple[int, int]] | None = [] if every else None
+        root = search_group(sets, percent, sides if paired and 1 in sides else None, links)
         own = np.array(ids, np.int64)
+        if links is not None:
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], ["a", "b"]) if len(a) else None
         moved = np.flatnonzero(root != np.arange(len(own)))
         if not len(moved):
             return None
@@ -393,7 +401,7 @@ def _contents(k: int, wanted, seed: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_first: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_first: bool = False, with_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
@@ -406,6 +414,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     with_first adds tag (xxhash64 of the text) and is_first: of each component,
     the rows with the smallest (doc_id, tag); of an empty set, every row.
+    with_links adds n_links, the number of other rows that the document links
+    with.  Every candidate pair of sets is then decided; without it, pairs inside
+    a component are skipped as soon as that is known, which large groups of near
+    copies need.  Equal sets are counted, never paired.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -416,28 +428,35 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         # One row for each distinct set, with the first of its documents.
         named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
         sets = described.where("hits = 0 and n_shingles > 0").groupBy("id")
-        sets = scratch.table(sets.agg(F.first("n_shingles").alias("n"), F.min(named).alias("first"), F.min("proof").alias("low"), F.max("proof").alias("high")))
+        sets = scratch.table(sets.agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.min("proof").alias("low"), F.max("proof").alias("high")))
         if sets.where("low <> high").isEmpty():
             break
         scratch.drop(described, sets)
     else:
         raise RuntimeError("sets can't be told apart")
-    sets = sets.select("id", "n", "first")
-    final = _components(base.select("text"), described, sets, scratch, k, percent, seed)
+    sets = sets.select("id", "n", "copies", "first")
+    links = _links(base.select("text"), described, sets, scratch, k, percent, seed, with_links)
+    final = connected_components(links, scratch)
     linked = sets.join(final, "id").select("id", "root", "first")
     best = scratch.table(linked.groupBy("root").agg(F.min("first").alias("best")))
     linked = linked.join(best, "root").select("id", "best")
-    answers = sets.join(linked, "id", "left").select("id", F.coalesce("best", "first").alias("first"))
+    counts = F.lit(None).cast("long")
+    if with_links:  # links of a set: the rows of the sets it links with, and its own other rows
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = ends.join(sets.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+        linked = linked.join(others, "id", "left")
+        counts = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    answers = sets.join(linked, "id", "left").select("id", F.coalesce("best", "first").alias("first"), counts.alias("n_links"))
     rows = described.where("hits = 0")
     solid = rows.where("n_shingles > 0").join(scratch.table(answers), "id", "left")
-    solid = solid.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "tag", F.struct("doc_id", "tag").eqNullSafe(F.col("first")).alias("is_first"))
-    hollow = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("is_first"))
+    solid = solid.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "tag", F.struct("doc_id", "tag").eqNullSafe(F.col("first")).alias("is_first"), "n_links")
+    hollow = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("is_first"), F.lit(0).cast("long").alias("n_links"))
     out = solid.unionByName(hollow)
-    return out if with_first else out.drop("tag", "is_first")
+    return out.drop(*([] if with_first else ["tag", "is_first"]), *([] if with_links else ["n_links"]))
 
 
-def _components(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, seed: int) -> DataFrame:
-    """(id, root) of every set that has a link."""
+def _links(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, seed: int, every: bool) -> DataFrame:
+    """(a, b) of linked sets: enough to connect each component, or every link once."""
     spark = texts.sparkSession
     top = described.where("hits > 0").groupBy("id").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "id").limit(FREQUENT).toPandas()
     token = top["id"].to_numpy(np.int64).view(np.uint64)
@@ -462,16 +481,14 @@ def _components(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch
     # Groups by the number of their hashes; those over the limit are cut into blocks in order of size.
     large = scratch.table(groups.join(sets.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > GROUP_HASHES).select("root"))
     found = texts.mapInArrow(kernel.lean(_contents(k, wanted, seed)), "id long, hashes binary")
-    links = _links_in(found, groups if large.isEmpty() else groups.join(large, "root", "left_anti"), percent)
+    links = _links_in(found, groups if large.isEmpty() else groups.join(large, "root", "left_anti"), percent, every)
     if not large.isEmpty():
-        links = links.unionByName(_large_groups(scratch.table(_once(found, groups.join(large, "root"))), percent, scratch))
-    links = scratch.table(links)
+        links = links.unionByName(_large_groups(scratch.table(_once(found, groups.join(large, "root"))), percent, scratch, every))
+    links = scratch.table(links.distinct() if every else links)
     del found
     scratch.drop(edges, groups)
     scratch.release()
-    final = connected_components(links, scratch)
-    scratch.drop(links)
-    return final
+    return links
 
 
 def _once(found: DataFrame, groups: DataFrame) -> DataFrame:
@@ -479,13 +496,13 @@ def _once(found: DataFrame, groups: DataFrame) -> DataFrame:
     return found.join(groups, "id").groupBy("id").agg(F.first("hashes").alias("hashes"), F.first("root").alias("root"))
 
 
-def _links_in(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _links_in(found: DataFrame, groups: DataFrame, percent: int, every: bool) -> DataFrame:
     sets = _once(found, groups).select(F.col("root").alias("grp"), F.lit(0).alias("side"), "id", "hashes")
     n = partitions(found.sparkSession)
-    return sets.repartition(n, "grp").sortWithinPartitions("grp", "id").mapInArrow(kernel.lean(_search(percent, False)), "a long, b long")
+    return sets.repartition(n, "grp").sortWithinPartitions("grp", "id").mapInArrow(kernel.lean(_search(percent, False, every)), "a long, b long")
 
 
-def _large_groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _large_groups(sets: DataFrame, percent: int, scratch: Scratch, every: bool) -> DataFrame:
     """Links inside groups that exceed one task, from pairs of blocks of near sizes.
 
     Sets of a group are dealt to blocks of at most a quarter of GROUP_HASHES by
@@ -508,4 +525,4 @@ def _large_groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     right = cells.join(right, ["root", "class"]).select("root", F.col("other").alias("class"), F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)).alias("block"), F.col("class").alias("class2"), F.col("block").alias("block2"), F.lit(1).alias("side"), "id", "hashes")
     right = right.where("class < class2 or block < block2")
     rows = left.unionByName(right).select(F.xxhash64("root", "class", "block", "class2", "block2").alias("grp"), "side", "id", "hashes")
-    return rows.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "side", "id").mapInArrow(kernel.lean(_search(percent, True)), "a long, b long")
+    return rows.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "side", "id").mapInArrow(kernel.lean(_search(percent, True, every)), "a long, b long")

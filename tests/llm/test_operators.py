@@ -58,6 +58,8 @@ def test_jaccard(docs, empty):
                 root = {k: low if r == high else r for k, r in root.items()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()}
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    links = {i: sum(j != i and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    assert {r.doc_id: (r.component_id, r.n_links) for r in ngram_jaccard_join(docs, with_links=True).collect()} == {i: (root[i], links[i]) for i in sets}
     assert ngram_jaccard_join(empty).count() == 0
 
 
@@ -85,6 +87,9 @@ def test_jaccard_large_groups_and_null_ids(spark, monkeypatch):
     least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
     want = sorted(((rows[i][0], least[root[i]]) for i in range(len(rows))), key=str)
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want
+    links = [sum(j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(len(rows))) for i in range(len(rows))]
+    counted = jaccard_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), with_links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in counted), key=str) == sorted(((rows[i][0], links[i]) for i in range(len(rows))), key=str)
 
 
 def brute_dedup(rows, window=13):
