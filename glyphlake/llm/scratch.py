@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -52,9 +53,29 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that are no longer referenced."""
+        """Lets Spark delete the shuffle files of plans that are no longer referenced.
+
+        The JVM hears of Python's dead objects through a queue that a thread
+        empties once a second; it is emptied here first.  What a first collection
+        sets free holds the last plan's shuffles, so there is a second.  Otherwise
+        the next shuffle's files would stand beside the last one's.
+        """
         gc.collect()
-        self.spark._jvm.System.gc()
+        queue = getattr(self.spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+        while queue:
+            try:
+                task = queue.pop()
+            except IndexError:
+                break
+            if not isinstance(task, tuple):  # the thread's own sign to end
+                queue.append(task)
+                break
+            client, dead = task
+            client.garbage_collect_object(dead, False)
+        collect = self.spark._jvm.System.gc
+        collect()
+        time.sleep(0.3)
+        collect()
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
