@@ -3,9 +3,11 @@
 Documents are sets of k-word shingles (64-bit hashes).  Equal sets are one set
 from the start (the closest set relation).  For the rest:
 
-1. Shingles found often are ranked last in one global order (lossy counting
-   over all documents), all others stand in hash order.  Any order is correct;
-   this one keeps frequent passages out of the prefixes.
+1. Shingles stand in one global order, the rarer first.  How often one occurs
+   is read from a table of CELLS counters that all documents fill, by hash; it
+   may only be too high.  Any order is correct; this one keeps passages and
+   phrases that many documents hold out of the prefixes, however large the table
+   is, so posting lists stay short.
 2. Two sets of similarity t share c shingles (or all of a smaller
    intersection) among the first n - ceil(t n) + c of each.  Only those postings
    are dealt out, as columnar blocks by shingle range; equal sets of a block
@@ -43,8 +45,8 @@ from .scratch import Members, Scratch, members, partitions
 
 #: Bytes of text whose sets are counted and sent together.
 WINDOW = 8 << 20
-#: Entries of the table of frequent shingles (8 bytes each); the rest keep hash order.
-FREQUENT = 1 << 18
+#: Counters of shingles (one byte each when they are sent out), a power of two, and the slices that they are added up in.
+CELLS, SLICES = 1 << 24, 64
 #: Shingle hashes that one task searches at once; larger groups are cut.
 GROUP_HASHES = 6 << 20
 #: Shared prefix shingles that make a pair a candidate.
@@ -103,51 +105,76 @@ def _distinct(values: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> tuple[np
     return values[picked], np.concatenate(([0], np.cumsum(size[first]))), ids[first]
 
 
+_DESCRIBED = ["doc_id", "tag", "n_shingles", "id", "proof", "slice", "counters"]
+
+
+def _cells(values: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (values >> np.uint64(65 - CELLS.bit_length())).astype(np.uint32)
+
+
 def _describe(k: int, seed: int):
-    """A row for each document, and one (with hits) for each shingle that a stretch holds more than twice."""
+    """A row for each document, and then one for each slice of the counters of the task's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = None
         for rows, values, offs, ids in _windows(batches, k, 2, seed):
             docs, tags = (pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1))
             n = len(docs)
             checks = set_ids(values, offs, 2 * seed + 1)
-            once, _, _ = _distinct(values, offs, ids)
-            token, count = np.unique(once, return_counts=True)
-            token, count = token[count > 2], count[count > 2]
-            none = np.zeros(len(token), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([docs, pa.nulls(len(token), docs.type)]),
-                    pa.concat_arrays([tags, pa.nulls(len(token), tags.type)]),
-                    pa.array(np.concatenate([np.diff(offs), none])),
-                    pa.array(np.concatenate([ids, token]).view(np.int64)),
-                    pa.array(np.concatenate([checks.view(np.int64), none])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), count])),
-                ],
-                ["doc_id", "tag", "n_shingles", "id", "proof", "hits"],
-            )
+            if counters is None:
+                counters = np.zeros(CELLS, np.uint16)
+            cells = np.sort(_cells(_distinct(values, offs, ids)[0]))
+            first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))[: len(cells)])
+            cells, count = cells[first], np.diff(np.concatenate((first, [len(cells)])))
+            counters[cells] = np.minimum(counters[cells] + count, 0xFFFF)
+            columns = [docs, tags, pa.array(np.diff(offs)), pa.array(ids.view(np.int64)), pa.array(checks.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _DESCRIBED)
+        if counters is not None:
+            data = {i: part for i, part in enumerate(counters.reshape(SLICES, -1)) if part.any()}
+            packed = pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True) for part in data.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(data), pa.int64()) for _ in range(5)), pa.array(list(data), pa.int32()), packed], _DESCRIBED)
 
     return run
 
 
-def _in_order(values: np.ndarray, offs: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Indices of values by document and global order."""
-    if not len(frequent) or not len(values):
-        return np.arange(len(values))
-    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-    late = np.where(frequent[at] == values, rank[at] + 1, 0)
-    return np.lexsort((late, np.repeat(np.arange(len(offs) - 1), np.diff(offs))))
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, packed counters) -> (slice, twelve times the logarithm to base 2 of its sums, as bytes)."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at in range(batch.num_rows):
+            i, part = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            own = total.setdefault(i, np.zeros(CELLS // SLICES, np.uint32))
+            own += np.frombuffer(pa.decompress(part, CELLS // SLICES * 2, "zstd", asbytes=True), np.uint16)
+    if total:
+        levels = [np.minimum(12 * np.log2(1 + own.astype(np.float32)), 255).astype(np.uint8).tobytes() for own in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
+
+
+def _frequencies(described: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each counter are: CELLS bytes."""
+    n = min(SLICES, partitions(described.sparkSession))
+    rows = described.where("slice is not null").select("slice", "counters").repartition(n, "slice").mapInArrow(kernel.lean(_added), "slice int, levels binary").collect()
+    out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+    for row in rows:
+        out[row.slice] = np.frombuffer(row.levels, np.uint8)
+    return out.ravel()
+
+
+def _in_order(values: np.ndarray, offs: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Indices of values by document and global order: the rare first, those of one level by hash (as they come)."""
+    return np.lexsort((level[_cells(values)], np.repeat(np.arange(len(offs) - 1), np.diff(offs))))
 
 
-def _post(k: int, percent: int, frequent, buckets: int, seed: int):
+def _post(k: int, percent: int, frequencies, buckets: int, seed: int):
     """Columnar blocks of postings by shingle range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = frequent.value
+        level = frequencies.value
         for _, values, offs, ids in _windows(batches, k, 0, seed):
             values, offs, ids = _distinct(values, offs, ids)
             size = np.diff(offs)
-            values = values[_in_order(values, offs, hot, rank)]
+            values = values[_in_order(values, offs, level)]
             length = _prefix(size, percent, SHARED)
             token = values[kernel.ragged(offs[:-1], length)]
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), length)
@@ -424,10 +451,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     for seed in range(8):
-        described = scratch.table(base.mapInArrow(kernel.lean(_describe(k, seed)), "doc_id long, tag long, n_shingles long, id long, proof long, hits long"))
+        described = scratch.table(base.mapInArrow(kernel.lean(_describe(k, seed)), "doc_id long, tag long, n_shingles long, id long, proof long, slice int, counters binary"))
         # One row for each distinct set, with the first of its documents.
         named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
-        sets = described.where("hits = 0 and n_shingles > 0").groupBy("id")
+        sets = described.where("slice is null and n_shingles > 0").groupBy("id")
         sets = scratch.table(sets.agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.min("proof").alias("low"), F.max("proof").alias("high")))
         if sets.where("low <> high").isEmpty():
             break
@@ -447,7 +474,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         linked = linked.join(others, "id", "left")
         counts = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
     answers = sets.join(linked, "id", "left").select("id", F.coalesce("best", "first").alias("first"), counts.alias("n_links"))
-    rows = described.where("hits = 0")
+    rows = described.where("slice is null")
     solid = rows.where("n_shingles > 0").join(scratch.table(answers), "id", "left")
     solid = solid.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "tag", F.struct("doc_id", "tag").eqNullSafe(F.col("first")).alias("is_first"), "n_links")
     hollow = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "tag", F.lit(True).alias("is_first"), F.lit(0).cast("long").alias("n_links"))
@@ -458,17 +485,11 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def _links(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, seed: int, every: bool) -> DataFrame:
     """(a, b) of linked sets: enough to connect each component, or every link once."""
     spark = texts.sparkSession
-    top = described.where("hits > 0").groupBy("id").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "id").limit(FREQUENT).toPandas()
-    token = top["id"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(token)
-    hits = top["hits"].to_numpy(np.int64)
-    rank = np.empty(len(top), np.int64)
-    rank[np.lexsort((token, hits))] = np.arange(len(top))
-    frequent = spark.sparkContext.broadcast((token[by], rank[by]))
+    frequencies = spark.sparkContext.broadcast(_frequencies(described))
 
     postings = sets.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + SHARED)).first()[0] or 0
     buckets = max(8 * partitions(spark), int(postings) // BUCKET_POSTINGS)
-    posted = texts.mapInArrow(kernel.lean(_post(k, percent, frequent, buckets, seed)), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
+    posted = texts.mapInArrow(kernel.lean(_post(k, percent, frequencies, buckets, seed)), "bucket int, token binary, owner binary, place binary, ids binary, sizes binary")
     pairs = posted.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(kernel.lean(_lists(percent)), "a long, b long, times long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
     edges = scratch.table(pairs.where("times >= need").select("a", "b"))

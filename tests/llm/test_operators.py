@@ -92,6 +92,26 @@ def test_jaccard_large_groups_and_null_ids(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_links) for r in counted), key=str) == sorted(((rows[i][0], links[i]) for i in range(len(rows))), key=str)
 
 
+def test_jaccard_common_passage_makes_no_candidates(spark, monkeypatch):
+    """A passage that many documents hold, but no task often, stays out of the prefixes."""
+    from glyphlake.llm import jaccard_join
+
+    edges, real = [], jaccard_join.connected_components
+
+    def components(df, scratch):
+        edges.append(df.count())
+        return real(df, scratch)
+
+    monkeypatch.setattr(jaccard_join, "connected_components", components)
+    passage = " ".join(f"p{i}" for i in range(10))
+    rows = [(i, " ".join([*(f"d{i}x{j}" for j in range(25)), passage, *(f"d{i}y{j}" for j in range(25))])) for i in range(450)]
+    rows += [(450, rows[3][1] + " more"), (451, rows[3][1])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 226), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.ngram_jaccard_join(docs).collect()}
+    assert got == {i: 3 if i > 449 else i for i in range(452)}
+    assert edges[0] == 1  # of the two texts that are near
+
+
 def brute_dedup(rows, window=13):
     first, out = {}, {}
     words = {i: WORDS.findall(t or "") for i, t in rows}
