@@ -683,6 +683,46 @@ def test_neighbours_over_many_lists(spark, monkeypatch):
     assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * 20 * 150
 
 
+def test_neighbours_hold_little_in_the_driver():
+    """Calibration takes no memory for each pair of a sampled vector and a centroid."""
+    import tracemalloc
+
+    from glyphlake.llm import ann
+
+    x = np.random.default_rng(3).normal(size=(8192, 8))
+    whole = np.concatenate((x, np.zeros((len(x), 1))), 1)
+    index = ann._Index(ann.CentroidGraph(whole[:2048]), 8, "<f8", float((x**2).sum(1).max()), 3, 1.02)
+    tracemalloc.start()
+    index.calibrate(x, 20, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.probe_ratio > 1 and peak < 2 * len(x) * 2048
+
+
+def test_neighbours_send_a_query_once_a_block(spark, monkeypatch):
+    """Rows dealt out and rows sent to the driver stay few: no query goes to each of its lists, no partition sends its share of the sample."""
+    from glyphlake.llm import ann
+
+    monkeypatch.setattr(ann, "LIST_SIZE", 32)
+    monkeypatch.setattr(ann, "SAMPLE_PER_LIST", 16)
+    x = np.random.default_rng(9).normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    taken, written = [], []
+    to_pandas, table = type(df).toPandas, ann.Scratch.table
+    monkeypatch.setattr(type(df), "toPandas", lambda self: taken.append(out := to_pandas(self)) or out)
+    monkeypatch.setattr(ann.Scratch, "table", lambda self, df: written.append(out := table(self, df)) or out)
+    near = ann.nearest_neighbours(df).collect()
+    assert len(taken) == 1 and 900 < len(taken[0]) < 1200
+    assert written[-1].count() <= 100 * spark.sparkContext.defaultParallelism  # probes: blocks, not 62 lists
+    got = {}
+    for r in near:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x[::20] @ x.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    want = np.argsort(-scores, 1)[:, :20]
+    assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * 20 * 100
+
+
 def test_components(spark):
     from glyphlake.llm.components import connected_components
     from glyphlake.llm.scratch import Scratch
