@@ -486,6 +486,7 @@ def _links(texts: DataFrame, described: DataFrame, sets: DataFrame, scratch: Scr
     """(a, b) of linked sets: enough to connect each component, or every link once."""
     spark = texts.sparkSession
     frequencies = spark.sparkContext.broadcast(_frequencies(described))
+    scratch.release()
 
     postings = sets.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + SHARED)).first()[0] or 0
     buckets = max(8 * partitions(spark), int(postings) // BUCKET_POSTINGS)
