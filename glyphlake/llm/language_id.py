@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
+from .scratch import Scratch
 
 UNDETERMINED = "und"
 #: Bytes of a worker's table of costs that were worked out before.
 TABLE_BYTES = 32 << 20
 #: Bytes of all languages' samples together.
 SAMPLE_BYTES = 32 << 20
+#: Runs of four bytes that a model counted over whole tables keeps, of all languages together; the most frequent if there are more.
+MAX_RUNS = 1 << 21
 #: More distinct labels than this are no languages: an error.
 MAX_LANGUAGES = 4096
 #: Bytes scored at a time.
@@ -52,11 +55,17 @@ def _grams(buf: np.ndarray, offs: np.ndarray, a: int = 0, b: int | None = None)
 class _Tree:
     """Counts of one language: of each order, the runs that occur, and of each context its total, kinds, and what its symbols total one order lower."""
 
-    def __init__(self, grams: np.ndarray):
+    def __init__(self, grams: np.ndarray, times: np.ndarray | None = None):
+        """From every run of four bytes, or from distinct ones and how often each stands."""
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.contexts: list[tuple[np.ndarray, ...]] = []
         for order in range(4):
-            run, count = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_counts=True)
+            own = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            if times is None:
+                run, count = np.unique(own, return_counts=True)
+            else:
+                run, place = np.unique(own, return_inverse=True)
+                count = np.bincount(place, times, len(run))
             count = count.astype(np.float64)
             context, first = np.unique(run >> np.uint32(8), return_index=True)
             lower = np.zeros(len(run))
@@ -106,6 +115,14 @@ class PpmModel:
             self.trees.append(_Tree(_grams(np.frombuffer(b"".join(texts), np.uint8), offs)))
         self._known: tuple[np.ndarray, np.ndarray] | None = None
 
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
+        """From each language's distinct runs of four bytes and their counts."""
+        out = cls({})
+        out.languages = sorted(counts)
+        out.trees = [_Tree(*counts[x]) for x in out.languages]
+        return out
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": None}
 
@@ -199,6 +216,69 @@ def train_language_model(
     return PpmModel({lang: [t.encode() for t in part["text"]] for lang, part in picked.groupby("lang")})
 
 
+def _labelled(docs: DataFrame, condition, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, h, text) of the rows with an id, a text and a language; h is a hash of the text."""
+    rows = docs.where(condition).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().where("text <> ''")
+    return rows.select("lang", F.xxhash64("text").alias("h"), "text")
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, run of four bytes, how often it stands)."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, (run, count) in held.items():
+            for at in range(0, len(run), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run[part]), pa.string()), pa.array(run[part].astype(np.int64)), pa.array(count[part])], ["lang", "run", "times"])
+        held.clear()
+
+    for batch in batches:
+        langs = np.array(batch.column(0).to_pylist(), object)
+        for lang in sorted(set(langs)):
+            for block in kernel.blocks(batch.column(1).filter(pa.array(langs == lang))):
+                for at in range(0, len(block.buf), _STRETCH):
+                    run, count = np.unique(_grams(block.buf, block.offs, at, min(at + _STRETCH, len(block.buf))), return_counts=True)
+                    if lang in held:
+                        run, place = np.unique(np.concatenate((held[lang][0], run)), return_inverse=True)
+                        count = np.bincount(place, np.concatenate((held[lang][1], count))).astype(np.int64)
+                    held[lang] = run, count
+        if sum(len(run) for run, _ in held.values()) > MAX_RUNS:
+            yield from out()
+    yield from out()
+
+
+def count_language_model(docs: DataFrame, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
+    """Context trees of every language, counted over the whole of all rows where ``learn`` holds.
+
+    A text teaches a language once, however many rows hold it.  Rows with null
+    id, text or language and empty texts teach nothing; without any other the
+    model knows no language.  More than MAX_LANGUAGES are refused.  If the
+    languages have more than MAX_RUNS distinct runs of four bytes, each keeps its
+    most frequent ones, with their counts over all texts.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    texts = _labelled(docs, learn, id_col, text_col, lang_col).dropDuplicates(["lang", "h"]).select("lang", "text")
+    counted = texts.mapInArrow(kernel.lean(_count_runs), "lang string, run long, times long").groupBy("lang", "run").agg(F.sum("times").alias("times"))
+    counted = scratch.table(counted)
+    found = counted.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not found:
+        return PpmModel({})
+    names = sorted(r["lang"] for r in found)
+    kept = counted
+    if sum(r["count"] for r in found) > MAX_RUNS:
+        order = Window.partitionBy("lang").orderBy(F.desc("times"), "run")
+        kept = counted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_RUNS // len(names))
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(names)), "number int, lang string"))
+    table = kept.join(numbers, "lang").select("number", "run", "times").toArrow()
+    number, run, times = (table.column(i).to_numpy() for i in range(3))
+    scratch.drop(counted)
+    scratch.release()
+    return PpmModel.of_counts({lang: (run[number == i].astype(np.uint32), times[number == i]) for i, lang in enumerate(names)})
+
+
 def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """df with a struct column ``out_col``: lang_pred, score, bits_per_byte.
 
@@ -238,7 +318,7 @@ def identify_language(df: DataFrame, model: PpmModel | Broadcast, *, text_col: s
 
 
 class RateLimits:
-    """Bits a byte above which a text is in no language of the model: of each language, from (rate, bytes) of its texts that were not learned.
+    """Bits a byte above which a text is in no language of the model: of each language, from its texts that were not learned.
 
     A text of n bytes may lie over the median rate by three times what the 99th
     percentile does, and by three deviations of a byte over the root of n.
@@ -248,17 +328,9 @@ class RateLimits:
 
     LEAST = 20
 
-    def __init__(self, held_out: dict[str, list[tuple[float, int]]]):
-        pooled = [x for part in held_out.values() for x in part]
-        self.pooled = self._figures(pooled) if pooled else None
-        self.by_language = {lang: self._figures(part) for lang, part in held_out.items() if len(part) >= self.LEAST}
-
-    @staticmethod
-    def _figures(part: list[tuple[float, int]]) -> tuple[float, float]:
-        rate, n = np.array(part, np.float64).T
-        middle = np.median(rate)
-        spread = max(np.quantile(rate, 0.99) - middle, 0.25)
-        return float(middle + 3 * spread), float(3 * 1.4826 * np.median(np.abs(rate - middle) * np.sqrt(n)))
+    def __init__(self, pooled: tuple[float, float] | None, by_language: dict[str, tuple[float, float]]):
+        """Of all languages and of each: the median rate with its allowance, and the allowance that shrinks with a text's length."""
+        self.pooled, self.by_language = pooled, by_language
 
     def exceeded(self, lang_pred, rate, n_bytes):
         """Columns to a column: whether the rate is over the predicted language's limit."""
@@ -271,13 +343,43 @@ class RateLimits:
         return rate > limit
 
 
-def held_out_rates(docs: DataFrame, model: PpmModel | Broadcast, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400) -> RateLimits:
-    """Limits from the rows where ``learn`` does not hold: some docs_per_language distinct (id, text) of each language, drawn by hash; the same rows are ignored as for learning."""
-    drawn, languages = _thinned(docs, ~learn, docs_per_language, id_col, text_col, lang_col)
-    if not languages:
-        return RateLimits({})
-    found = identify_language(drawn.dropDuplicates(["lang", "h"]), model).where(F.col("language.lang_pred") != UNDETERMINED)
-    parts: dict[str, list[tuple[float, int]]] = {}
-    for r in found.select("language.lang_pred", "language.bits_per_byte", F.octet_length("text").alias("n")).collect():
-        parts.setdefault(r.lang_pred, []).append((r.bits_per_byte, r.n))
-    return RateLimits(parts)
+#: Steps of a bit a byte, and of the logarithm of a deviation, in which held-out texts are counted.
+_RATE_STEPS, _DEVIATION_STEPS = 1024, 1024
+
+
+def _quantile(bins: np.ndarray, times: np.ndarray, q: float) -> int:
+    """The bin that a share q of all reaches."""
+    order = np.argsort(bins)
+    total = np.cumsum(times[order])
+    return int(bins[order][np.searchsorted(total, q * total[-1])])
+
+
+def held_out_rates(docs: DataFrame, model: PpmModel | Broadcast, learn, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RateLimits:
+    """Limits from all distinct texts of the rows where ``learn`` does not hold; the same rows are ignored as for learning.
+
+    Texts are counted by steps of their rates and deviations, so only the counts
+    come to the driver.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = identify_language(_labelled(docs, ~learn, id_col, text_col, lang_col), model).where(F.col("language.lang_pred") != UNDETERMINED)
+    found = found.select("lang", "h", F.col("language.lang_pred").alias("pred"), F.col("language.bits_per_byte").alias("rate"), F.octet_length("text").alias("n"))
+    found = scratch.table(found.dropDuplicates(["lang", "h"]).select("pred", "rate", "n"))
+    rates = found.groupBy("pred", F.round(F.col("rate") * _RATE_STEPS).cast("int").alias("bin")).count().toPandas()
+    if rates.empty:
+        return RateLimits(None, {})
+    parts: dict[str | None, tuple[float, float]] = {}
+    for lang, part in [(None, rates), *rates.groupby("pred")]:
+        if lang is None or part["count"].sum() >= RateLimits.LEAST:
+            middle, high = (_quantile(part["bin"].to_numpy(), part["count"].to_numpy(), q) / _RATE_STEPS for q in (0.5, 0.99))
+            parts[lang] = middle, middle + 3 * max(high - middle, 0.25)
+    middles = docs.sparkSession.createDataFrame([("" if lang is None else f"={lang}", middle) for lang, (middle, _) in parts.items()], "group string, middle double")
+    # Every text counts for its language and, under an empty name that no limit is asked for, for all.
+    groups = found.select(F.explode(F.array(F.concat(F.lit("="), "pred"), F.lit(""))).alias("group"), "rate", "n").join(F.broadcast(middles), "group")
+    step = F.round(F.log1p(F.abs(F.col("rate") - F.col("middle")) * F.sqrt("n")) * _DEVIATION_STEPS).cast("int")
+    deviations = groups.groupBy("group", step.alias("bin")).count().toPandas()
+    scratch.drop(found)
+    figures = {}
+    for group, part in deviations.groupby("group"):
+        typical = float(np.expm1(_quantile(part["bin"].to_numpy(), part["count"].to_numpy(), 0.5) / _DEVIATION_STEPS))
+        figures[group] = parts[group[1:] if group else None][1], 3 * 1.4826 * typical
+    return RateLimits(figures[""], {group[1:]: x for group, x in figures.items() if group})

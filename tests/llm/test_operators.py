@@ -541,6 +541,32 @@ def test_language_stage_rejects_strange_texts(spark):
     assert kept.count() >= 0.98 * docs.where("text rlike '[a-z]'").count()
 
 
+def test_pipeline_language_model_counts_all_texts(spark, monkeypatch):
+    from glyphlake.llm import language_id
+
+    words = ["alpha", "beta", "gamma", "delta", "épsilon"]
+    texts = [f"{words[i % 5]} {i} {words[i % 3]}" for i in range(1200)] + ["long " * 30_000]
+    rows = [(i, t, "xx" if i % 2 else "yy") for i, t in enumerate(texts)] + [(5000 + i, texts[0], "yy") for i in range(50)]
+    df = spark.createDataFrame([*rows, (None, "no id", "zz"), (9000, "no language", None)], "doc_id long, text string, lang string").repartition(5)
+    model = language_id.count_language_model(df, F.lit(True))
+    whole = language_id.PpmModel({lang: [t.encode() for i, t in enumerate(texts) if i % 2 == odd] for lang, odd in (("xx", 1), ("yy", 0))})
+    assert model.languages == whole.languages
+    for one, other in zip(model.trees, whole.trees, strict=True):
+        for x, y in zip([*one.runs, *one.contexts], [*other.runs, *other.contexts], strict=True):
+            assert all(np.array_equal(a, b) for a, b in zip(x, y, strict=True))
+    monkeypatch.setattr(language_id, "MAX_RUNS", 100)
+    assert [len(t.runs[3][0]) for t in language_id.count_language_model(df, F.lit(True)).trees] == [50, 50]
+    # Limits: of all texts that teach nothing, each once.
+    rates = {r.text: (r.language.lang_pred, r.language.bits_per_byte) for r in language_id.identify_language(df.dropna(), model).collect()}
+    limits = language_id.held_out_rates(df, model, F.lit(False))
+    for lang, figures in limits.by_language.items():
+        rate, n = np.array([(b, len(t.encode())) for t, (p, b) in rates.items() if p == lang]).T
+        middle = np.median(rate)
+        want = middle + 3 * max(np.quantile(rate, 0.99) - middle, 0.25), 3 * 1.4826 * np.median(np.abs(rate - middle) * np.sqrt(n))
+        assert figures == pytest.approx(want, rel=0.03)
+    assert set(limits.by_language) == {p for p, _ in rates.values()}
+
+
 def test_language_accuracy(spark):
     from glyphlake.llm.queries import op5_language_id
 
